@@ -1,0 +1,584 @@
+"""The registered queries: every operator over the whole test tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import date, datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from checks.adapters import TABLES, adapter
+from opsgauge.functions.calendar import weekdays
+from opsgauge.operators import audit, fleet, jobs, latency, maintenance, usage
+from opsgauge.operators.compaction import compact
+from opsgauge.operators.export import export_delimited, render_inserts, sanitize_for_export
+from opsgauge.operators.profiling import profile_columns, wasted_space, wasted_space_all
+from opsgauge.operators.splitting import filter_by_list, split_rows
+from opsgauge.operators.translation import generate_ddl, translate_types
+from opsgauge.plans.maintenance import maintenance_plan
+from opsgauge.session import working_path
+from opsgauge.sources import versioned
+from opsgauge.sources.layout import layout_stats
+from opsgauge.sources.logs import append_log, logged_since
+from opsgauge.streaming.latency import ProbeParams, stream_latency
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+LINEITEM_WIDTHS = {"l_returnflag": 10, "l_linestatus": 10}
+TABLE_WIDTHS = {
+    "lineitem": LINEITEM_WIDTHS,
+    "part": {"p_name": 55, "p_brand": 10, "p_type": 25},
+    "customer": {"c_name": 25, "c_mktsegment": 10},
+    "orders": {"o_orderstatus": 1, "o_orderpriority": 15},
+    "documents": {"lang": 10},
+    "conversations": {"role": 10},
+}
+SUPPLIER_LIST = " Supplier#000000003,,Supplier#000000007 ,Supplier#000000042,nobody,Supplier#000000003"
+SUNDAY = date(2024, 1, 7)
+HISTORY_RUN = datetime(2024, 2, 1, 12, 0)
+PURGE_CUTOFF = datetime(2024, 1, 15, 12, 0)
+
+
+def query(name: str) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        QUERIES[name] = function
+        return function
+
+    return register
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _inputs(spark: SparkSession, sf: str, *names: str, **tables: DataFrame) -> dict[str, DataFrame]:
+    return {name: adapter(spark, sf, name, **tables) for name in names}
+
+
+def _objects(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.with_schema_names(adapter(spark, sf, "objects"), adapter(spark, sf, "schemas"))
+
+
+# Profiling
+
+
+@query("wasted_space_lineitem")
+def wasted_space_lineitem(spark, sf):
+    return wasted_space(_table(spark, sf, "lineitem"), LINEITEM_WIDTHS)
+
+
+@query("wasted_space_all")
+def wasted_space_every_table(spark, sf):
+    tables = {name: _table(spark, sf, name) for name in TABLES}
+    return wasted_space_all(tables, TABLE_WIDTHS, unit="KB")
+
+
+
+@query("wasted_space_compat")
+def wasted_space_compat(spark, sf):
+    return wasted_space(_table(spark, sf, "orders"), TABLE_WIDTHS["orders"], 25, "KB", compat=True)
+
+
+@query("profile_strings")
+def profile_strings(spark, sf):
+    return profile_columns(_table(spark, sf, "documents"), ["text", "lang", "source"])
+
+
+@query("profile_lineitem")
+def profile_lineitem(spark, sf):
+    return profile_columns(_table(spark, sf, "lineitem"))
+
+
+# Splitting and list filters
+
+
+@query("split_documents")
+def split_documents(spark, sf):
+    return split_rows(_table(spark, sf, "documents"), "text", ",", ["doc_id"], with_pos=True)
+
+
+@query("split_words")
+def split_words(spark, sf):
+    words = split_rows(_table(spark, sf, "documents"), "text", " ", ["lang"])
+    return words.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("words"), F.sum(F.length("stringValue")).alias("characters")
+    )
+
+
+@query("split_filter_list")
+def split_filter_list(spark, sf):
+    return filter_by_list(_table(spark, sf, "supplier"), "s_name", SUPPLIER_LIST)
+
+
+# Export and rendering
+
+
+@query("export_sanitized")
+def export_sanitized(spark, sf):
+    documents = _table(spark, sf, "documents")
+    return sanitize_for_export(documents, not_null=["source"], widths={"source": 4})
+
+
+@query("export_delimited_files")
+def export_delimited_files(spark, sf):
+    customers = _table(spark, sf, "customer").drop("c_acctbal")
+    clean = sanitize_for_export(customers, "#", not_null=["c_name"], widths={"c_name": 5})
+    path = working_path(spark, "export")
+    export_delimited(clean, path, "#")
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in clean.dtypes)
+    return spark.read.schema(schema).option("sep", "#").option("quote", "").csv(path)
+
+
+@query("render_inserts_part")
+def render_inserts_part(spark, sf):
+    parts = _table(spark, sf, "part").withColumn("p_retailprice", F.col("p_retailprice").cast("decimal(18,2)"))
+    return render_inserts(parts, "mart.tmp_part", top=None)
+
+
+@query("render_inserts_events")
+def render_inserts_events(spark, sf):
+    events = _table(spark, sf, "events").select(
+        "event_id", "ts", "event_type", F.when(F.col("event_type") != "view", F.col("props")).alias("props")
+    )
+    return render_inserts(events, "mart.tmp_events", top=None)
+
+
+# Schema translation
+
+
+@query("translated_types")
+def translated_types(spark, sf):
+    catalog = adapter(spark, sf, "fleet_columns")
+    return translate_types(catalog).select(
+        "server", "database", "table", "column_id", "type", "target_type", "null_clause"
+    )
+
+
+@query("ddl_from_catalog")
+def ddl_from_catalog(spark, sf):
+    return generate_ddl(adapter(spark, sf, "fleet_columns"), "mart", max_identifier=30)
+
+
+@query("ddl_compat")
+def ddl_compat(spark, sf):
+    return generate_ddl(adapter(spark, sf, "fleet_columns"), "mart", "landing", compat=True)
+
+
+# Definition audit
+
+
+@query("key_and_included_columns")
+def key_and_included_columns(spark, sf):
+    return audit.key_and_included_columns(**_inputs(spark, sf, "index_columns", "columns"))
+
+
+@query("index_inventory")
+def index_inventory(spark, sf):
+    inputs = _inputs(spark, sf, "indexes", "partitions", "index_columns", "columns")
+    return audit.index_inventory(
+        tables=adapter(spark, sf, "objects"),
+        schemes=adapter(spark, sf, "partition_schemes"),
+        functions=adapter(spark, sf, "partition_functions"),
+        **inputs,
+    )
+
+
+def _definition_inputs(spark, sf, **tables):
+    inputs = _inputs(spark, sf, "indexes", "index_columns", "columns", "databases", **tables)
+    return {"tables": adapter(spark, sf, "objects"), **inputs}
+
+
+@query("index_definitions")
+def index_definitions(spark, sf):
+    return audit.index_definitions(**_definition_inputs(spark, sf))
+
+
+@query("index_definitions_table")
+def index_definitions_table(spark, sf):
+    return audit.index_definitions(**_definition_inputs(spark, sf), table="Supplier#000000005")
+
+
+@query("index_definitions_fleet")
+def index_definitions_fleet(spark, sf):
+    return audit.index_definitions_fleet(**_definition_inputs(spark, sf))
+
+
+@query("definition_drift")
+def definition_drift(spark, sf):
+    lines = _table(spark, sf, "lineitem")
+    environments = [
+        audit.index_definitions(
+            **_definition_inputs(spark, sf, lineitem=lines.where(F.col("l_linestatus") == status))
+        )
+        for status in ("F", "O")
+    ]
+    return audit.definition_drift(*environments)
+
+
+# Usage and advice
+
+
+@query("partition_rollup")
+def partition_rollup(spark, sf):
+    return usage.partition_rollup(adapter(spark, sf, "partitions"))
+
+
+def _usage_inputs(spark, sf):
+    inputs = _inputs(spark, sf, "indexes", "partitions", "databases")
+    return {"usage": adapter(spark, sf, "index_usage"), "objects": _objects(spark, sf), **inputs}
+
+
+@query("usage_report")
+def usage_report(spark, sf):
+    return usage.usage_report(**_usage_inputs(spark, sf))
+
+
+@query("usage_report_filtered")
+def usage_report_filtered(spark, sf):
+    return usage.usage_report(
+        **_usage_inputs(spark, sf),
+        index_type="UNIQUE NONCLUSTERED",
+        min_rows=60,
+        max_rows=95,
+        min_reads=65,
+        max_reads=90,
+    )
+
+
+@query("usage_by_database")
+def usage_by_database(spark, sf):
+    inputs = _usage_inputs(spark, sf)
+    chosen = fleet.user_databases(inputs["databases"], names="nation_4,nation_5,nation_6,nation_7,nation_9")
+    return fleet.for_each_database(usage.usage_report, inputs, chosen)
+
+
+@query("user_databases")
+def user_databases(spark, sf):
+    return fleet.user_databases(adapter(spark, sf, "databases"))
+
+
+def _part_inputs(spark, sf):
+    return {
+        "indexes": adapter(spark, sf, "part_indexes"),
+        "usage": adapter(spark, sf, "part_usage"),
+        "partitions": adapter(spark, sf, "part_partitions"),
+        "objects": adapter(spark, sf, "part_objects"),
+        "databases": adapter(spark, sf, "databases"),
+    }
+
+
+@query("unused_parts")
+def unused_parts(spark, sf):
+    return usage.unused(**_part_inputs(spark, sf))
+
+
+@query("unused_parts_never_seen")
+def unused_parts_never_seen(spark, sf):
+    return usage.unused(**_part_inputs(spark, sf), max_reads=1, include_never_seen=True)
+
+
+def _missing_inputs(spark, sf):
+    return {
+        "groups": adapter(spark, sf, "missing_groups"),
+        "group_stats": adapter(spark, sf, "missing_group_stats"),
+        "details": adapter(spark, sf, "missing_details"),
+        "tables": adapter(spark, sf, "nation_tables"),
+    }
+
+
+@query("missing_candidates")
+def missing_candidates(spark, sf):
+    return usage.missing_candidates(**_missing_inputs(spark, sf))
+
+
+@query("missing_candidates_top")
+def missing_candidates_top(spark, sf):
+    return usage.missing_candidates(**_missing_inputs(spark, sf), top_k=3)
+
+
+@query("missing_statements")
+def missing_statements(spark, sf):
+    return usage.missing_statements(usage.missing_candidates(**_missing_inputs(spark, sf)), date(2024, 1, 5))
+
+
+def _hot(spark, sf):
+    return usage.hot_plans(
+        adapter(spark, sf, "query_stats"), datetime(2024, 1, 31), last_executed_in_days=20, min_executions=25
+    )
+
+
+@query("hot_plans")
+def hot_plans(spark, sf):
+    return _hot(spark, sf)
+
+
+@query("plan_log_missing")
+def plan_log_missing(spark, sf):
+    return usage.plans_with_missing_index(_hot(spark, sf), adapter(spark, sf, "query_plans"))
+
+
+@query("missing_plan_log")
+def missing_plan_log(spark, sf):
+    found = usage.plans_with_missing_index(_hot(spark, sf), adapter(spark, sf, "query_plans"))
+    path = working_path(spark, "plan-log")
+    for run in (datetime(2024, 1, 30, 6), datetime(2024, 1, 31, 6)):
+        rows = usage.named_missing_plans(found, _objects(spark, sf), adapter(spark, sf, "databases"), run)
+        append_log(rows, path, "executionDate")
+    return logged_since(spark, path, "executionDate", datetime(2024, 1, 31, 6))
+
+
+# Maintenance
+
+
+def _candidates(spark, sf):
+    return maintenance.scan_candidates(**_inputs_as(spark, sf, physical="index_physical", operational="index_operational"))
+
+
+def _inputs_as(spark, sf, **names):
+    return {argument: adapter(spark, sf, name) for argument, name in names.items()}
+
+
+@query("maintenance_candidates")
+def maintenance_candidates(spark, sf):
+    return _candidates(spark, sf)
+
+
+@query("maintenance_without_latest")
+def maintenance_without_latest(spark, sf):
+    return maintenance.exclude_latest_partition(_candidates(spark, sf), adapter(spark, sf, "partitions"))
+
+
+@query("maintenance_calendar")
+def maintenance_calendar(spark, sf):
+    masked = maintenance.apply_exclusion_mask(_candidates(spark, sf), adapter(spark, sf, "exclusions"))
+    return maintenance.eligible_on(masked, SUNDAY)
+
+
+@query("maintenance_pending")
+def maintenance_pending(spark, sf):
+    status = adapter(spark, sf, "maintenance_status")
+    return maintenance.pending(status, min_size=9, max_size=14, print_only=True).drop("defragDate")
+
+
+@query("maintenance_queue")
+def maintenance_queue(spark, sf):
+    return maintenance.prioritize(_candidates(spark, sf), "page_count", "DESC")
+
+
+@query("maintenance_actions")
+def maintenance_actions(spark, sf):
+    inputs = _inputs(spark, sf, "partitions", "columns", "indexes")
+    decided = maintenance.choose_action(_candidates(spark, sf), **inputs, rebuild_threshold=50)
+    named = maintenance.resolve_names(
+        decided, **_inputs(spark, sf, "objects", "schemas", "databases"), indexes=inputs["indexes"]
+    )
+    return maintenance.render_commands(named)
+
+
+@query("maintenance_plan")
+def maintenance_plan_queue(spark, sf):
+    return maintenance_plan(
+        **_inputs_as(spark, sf, physical="index_physical", operational="index_operational"),
+        **_inputs(spark, sf, "partitions", "columns", "indexes", "exclusions"),
+        as_of=SUNDAY,
+        settings=maintenance.MaintenanceSettings(exclude_latest=True, rebuild_threshold=50.0, order_by="none"),
+    )
+
+
+
+@query("maintenance_budget")
+def maintenance_budget(spark, sf):
+    units = _table(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count(F.lit(1)).alias("size"))
+    order = [F.desc("size"), F.asc("l_suppkey"), F.asc("l_linenumber")]
+    return maintenance.within_budget(units, F.col("size"), minutes=5000 / 60, order=order)
+
+
+@query("maintenance_budget_by_database")
+def maintenance_budget_by_database(spark, sf):
+    order = [F.desc("fragmentation"), F.asc("object_id"), F.asc("index_id"), F.asc("partition_number")]
+    return maintenance.within_budget(
+        _candidates(spark, sf), F.col("page_count"), 5, order, pause_seconds=2, per=["server", "database_id"]
+    )
+
+
+@query("maintenance_log_summary")
+def maintenance_log_summary(spark, sf):
+    path = working_path(spark, "maintenance-log")
+    append_log(adapter(spark, sf, "maintenance_log"), path, "event_ts")
+    log = spark.read.parquet(path)
+    return maintenance.maintenance_summary(log, datetime(2024, 1, 10))
+
+
+@query("maintenance_estimates")
+def maintenance_estimates(spark, sf):
+    log = adapter(spark, sf, "maintenance_log")
+    return maintenance.estimates(log)
+
+
+@query("maintenance_retry")
+def maintenance_retry(spark, sf):
+    return maintenance.to_retry(adapter(spark, sf, "maintenance_log"))
+
+
+def _small_files(spark, sf, root):
+    """Orders by status, every status spread over several files."""
+    orders = _table(spark, sf, "orders").withColumn("status", F.col("o_orderstatus"))
+    versioned.create(orders.repartition(6, "o_custkey"), root, ["status"])
+
+
+@query("layout_stats")
+def layout_report(spark, sf):
+    root = working_path(spark, "layout")
+    _small_files(spark, sf, root)
+    stats = layout_stats(versioned.current_files(spark, root), 1 << 30, ["status"])
+    return stats.select("status", "page_count", "fragmentation", (F.col("total_bytes") > 0).alias("has_bytes"))
+
+
+
+@query("compaction")
+def compaction(spark, sf):
+    root = working_path(spark, "compaction")
+    _small_files(spark, sf, root)
+    before = layout_stats(versioned.current_files(spark, root), 1 << 30, ["status"])
+    compact(spark, before, root, ["status"], target_bytes=1 << 30, sort_by=["o_orderkey"])
+    after = layout_stats(versioned.current_files(spark, root), 1 << 30, ["status"])
+    rows = versioned.read_current(spark, root).groupBy("status").agg(
+        F.count(F.lit(1)).alias("orders"),
+        F.sum("o_orderkey").alias("key_sum"),
+        F.sum("o_custkey").alias("customer_sum"),
+    )
+    files = before.select("status", F.col("page_count").alias("_before")).join(
+        after.select("status", F.col("page_count").alias("_after")), "status"
+    )
+    return rows.join(files, "status").select(
+        "status", "orders", "key_sum", "customer_sum", (F.col("_after") <= F.col("_before")).alias("not_more_files")
+    )
+
+
+# Jobs
+
+
+@query("job_run_summary")
+def job_run_summary(spark, sf):
+    return jobs.job_run_summary(adapter(spark, sf, "job_history"))
+
+
+@query("job_last_start")
+def job_last_start(spark, sf):
+    summary = jobs.job_run_summary(adapter(spark, sf, "job_history"))
+    return summary.select("job_id", "last_execution_id", "last_execution_start")
+
+
+@query("weekday_masks")
+def weekday_masks(spark, sf):
+    events = _table(spark, sf, "events")
+    mask = (F.col("event_id") % 128).cast("int")
+    return events.select("event_id", mask.alias("mask"), weekdays(mask).alias("days"))
+
+
+def _schedules(spark, sf):
+    return jobs.decode_schedule(**_inputs(spark, sf, "schedules", "job_schedules"))
+
+
+@query("schedule_text")
+def schedule_text(spark, sf):
+    every = adapter(spark, sf, "schedules").select(
+        "server",
+        "schedule_id",
+        F.col("schedule_id").cast("string").alias("job_id"),
+        F.lit(20240201).alias("next_run_date"),
+        F.col("active_start_time").alias("next_run_time"),
+    )
+    return jobs.decode_schedule(adapter(spark, sf, "schedules"), every)
+
+
+@query("job_status_report")
+def job_status_report(spark, sf):
+    summary = jobs.job_run_summary(adapter(spark, sf, "job_history"))
+    return jobs.job_status_report(adapter(spark, sf, "jobs"), _schedules(spark, sf), summary)
+
+
+@query("recent_jobs")
+def recent_jobs(spark, sf):
+    summary = jobs.job_run_summary(adapter(spark, sf, "job_history"))
+    report = jobs.job_status_report(adapter(spark, sf, "jobs"), _schedules(spark, sf), summary)
+    since = datetime(2024, 1, 30, 0, 0)
+    return jobs.recent(report, since).select("jobID", "lastExecutionID", "lastExecutionStart")
+
+
+# Latency
+
+
+def _latency(spark, sf):
+    return latency.token_latency(**_inputs(spark, sf, "posts", "receipts"))
+
+
+@query("token_latency")
+def token_latency(spark, sf):
+    return _latency(spark, sf)
+
+
+@query("latency_batch")
+def latency_batch(spark, sf):
+    return latency.normalize_latency(_latency(spark, sf))
+
+
+@query("latency_history")
+def latency_history(spark, sf):
+    path = working_path(spark, "latency")
+    measured = _latency(spark, sf)
+    for run in (HISTORY_RUN, HISTORY_RUN, datetime(2024, 2, 2, 12, 0)):
+        latency.append_monitor(measured, path, run, None, "publisher")
+    return spark.read.parquet(path).drop("monitorDay", "runKey")
+
+
+@query("latency_purge")
+def latency_purge(spark, sf):
+    """A history with a run per hour of the events, purged in place."""
+    path = working_path(spark, "purge")
+    history = adapter(spark, sf, "posts").select(
+        F.date_trunc("hour", "post_ts").cast("timestamp_ntz").alias("monitorDate"), "publication", "tracer_id"
+    )
+    latency.write_history(history.repartition("monitorDate"), path)
+    latency.purge_history_table(spark, path, PURGE_CUTOFF)
+    return spark.read.parquet(path).drop("monitorDay", "runKey")
+
+
+@query("latency_stream")
+def latency_stream(spark, sf):
+    """The batch measurement as a stream, run until all input is read.
+
+    The watermark must pass the last token for it to be reported, so the input
+    ends with a delivered token of a later hour, which is not part of the result.
+    """
+    source, out, checkpoint = (working_path(spark, name) for name in ("stream-in", "stream-out", "stream-state"))
+    streams = {}
+    for name, moment in (("posts", "post_ts"), ("receipts", "seen_ts")):
+        rows = adapter(spark, sf, name)
+        if name == "receipts":
+            rows = rows.withColumn("seen_ts", F.coalesce("subscriber_ts", "distributor_ts"))
+        kinds = [
+            F.col(field.name).cast("timestamp") if field.name.endswith("_ts") else F.col(field.name)
+            for field in rows.schema.fields
+        ]
+        rows = rows.select(*kinds)
+        end = rows.agg(F.max(moment).alias("_end")).select(
+            *[
+                (F.col("_end") + F.expr("INTERVAL 1 HOUR")).alias(field.name) if field.name == moment
+                else (F.lit(-1) if field.name == "tracer_id" else F.lit(None)).cast(field.dataType).alias(field.name)
+                for field in rows.schema.fields
+            ]
+        )
+        rows.unionByName(end).write.parquet(f"{source}/{name}")
+        streams[name] = spark.readStream.schema(rows.schema).parquet(f"{source}/{name}")
+    running = (
+        stream_latency(**streams)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**ProbeParams(bounded=True).trigger())
+        .start(out)
+    )
+    running.awaitTermination()
+    return spark.read.parquet(out).where(F.col("tracer_id") >= 0)
