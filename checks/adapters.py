@@ -8,6 +8,7 @@ or for another adapter.  Every adapter reads its whole table.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -258,13 +259,19 @@ FROM {part}""",
 }
 
 
+@lru_cache(maxsize=64)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table; its footer is read once per session."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def adapter(spark: SparkSession, sf_dir: str, name: str, **tables: DataFrame) -> DataFrame:
     """An adapter as a DataFrame; ``tables`` replaces test tables."""
     text = ADAPTERS[name]
     inputs = {
         used: tables[used] if used in tables
         else adapter(spark, sf_dir, used, **tables) if used in ADAPTERS
-        else spark.read.parquet(f"{sf_dir}/{used}.parquet")
+        else table(spark, sf_dir, used)
         for used in set(_references(text))
     }
     return spark.sql(text, **inputs)

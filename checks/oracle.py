@@ -606,8 +606,10 @@ SELECT run.moment AS monitorDate, publication AS publicationName, 'publisher' AS
 FROM ({_LATENCY})
 CROSS JOIN (VALUES (TIMESTAMP '2024-02-01 12:00:00'), (TIMESTAMP '2024-02-02 12:00:00')) AS run(moment)"""
 ORACLE["latency_purge"] = """
-SELECT date_trunc('hour', post_ts) AS monitorDate, publication, tracer_id
-FROM {posts} WHERE date_trunc('hour', post_ts) >= TIMESTAMP '2024-01-15 12:00:00'"""
+SELECT * FROM (
+    SELECT time_bucket(INTERVAL 6 HOURS, post_ts, TIMESTAMP '2024-01-01 00:00:00') AS monitorDate, publication, tracer_id
+    FROM {posts})
+WHERE monitorDate >= TIMESTAMP '2024-01-15 12:00:00'"""
 ORACLE["latency_stream"] = f"""
 SELECT publication, tracer_id, {_HOPS} FROM {{posts}} LEFT JOIN {{receipts}} USING (tracer_id)"""
 

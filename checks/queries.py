@@ -8,7 +8,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.adapters import TABLES, adapter
+from checks.adapters import TABLES, adapter, table
 from opsgauge.functions.calendar import weekdays
 from opsgauge.operators import audit, fleet, jobs, latency, maintenance, usage
 from opsgauge.operators.compaction import compact
@@ -49,10 +49,6 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
-def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 def _inputs(spark: SparkSession, sf: str, *names: str, **tables: DataFrame) -> dict[str, DataFrame]:
     return {name: adapter(spark, sf, name, **tables) for name in names}
 
@@ -66,29 +62,29 @@ def _objects(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("wasted_space_lineitem")
 def wasted_space_lineitem(spark, sf):
-    return wasted_space(_table(spark, sf, "lineitem"), LINEITEM_WIDTHS)
+    return wasted_space(table(spark, sf, "lineitem"), LINEITEM_WIDTHS)
 
 
 @query("wasted_space_all")
-def wasted_space_every_table(spark, sf):
-    tables = {name: _table(spark, sf, name) for name in TABLES}
+def wasted_space_everytable(spark, sf):
+    tables = {name: table(spark, sf, name) for name in TABLES}
     return wasted_space_all(tables, TABLE_WIDTHS, unit="KB")
 
 
 
 @query("wasted_space_compat")
 def wasted_space_compat(spark, sf):
-    return wasted_space(_table(spark, sf, "orders"), TABLE_WIDTHS["orders"], 25, "KB", compat=True)
+    return wasted_space(table(spark, sf, "orders"), TABLE_WIDTHS["orders"], 25, "KB", compat=True)
 
 
 @query("profile_strings")
 def profile_strings(spark, sf):
-    return profile_columns(_table(spark, sf, "documents"), ["text", "lang", "source"])
+    return profile_columns(table(spark, sf, "documents"), ["text", "lang", "source"])
 
 
 @query("profile_lineitem")
 def profile_lineitem(spark, sf):
-    return profile_columns(_table(spark, sf, "lineitem"))
+    return profile_columns(table(spark, sf, "lineitem"))
 
 
 # Splitting and list filters
@@ -96,12 +92,12 @@ def profile_lineitem(spark, sf):
 
 @query("split_documents")
 def split_documents(spark, sf):
-    return split_rows(_table(spark, sf, "documents"), "text", ",", ["doc_id"], with_pos=True)
+    return split_rows(table(spark, sf, "documents"), "text", ",", ["doc_id"], with_pos=True)
 
 
 @query("split_words")
 def split_words(spark, sf):
-    words = split_rows(_table(spark, sf, "documents"), "text", " ", ["lang"])
+    words = split_rows(table(spark, sf, "documents"), "text", " ", ["lang"])
     return words.groupBy("lang").agg(
         F.count(F.lit(1)).alias("words"), F.sum(F.length("stringValue")).alias("characters")
     )
@@ -109,7 +105,7 @@ def split_words(spark, sf):
 
 @query("split_filter_list")
 def split_filter_list(spark, sf):
-    return filter_by_list(_table(spark, sf, "supplier"), "s_name", SUPPLIER_LIST)
+    return filter_by_list(table(spark, sf, "supplier"), "s_name", SUPPLIER_LIST)
 
 
 # Export and rendering
@@ -117,13 +113,13 @@ def split_filter_list(spark, sf):
 
 @query("export_sanitized")
 def export_sanitized(spark, sf):
-    documents = _table(spark, sf, "documents")
+    documents = table(spark, sf, "documents")
     return sanitize_for_export(documents, not_null=["source"], widths={"source": 4})
 
 
 @query("export_delimited_files")
 def export_delimited_files(spark, sf):
-    customers = _table(spark, sf, "customer").drop("c_acctbal")
+    customers = table(spark, sf, "customer").drop("c_acctbal")
     clean = sanitize_for_export(customers, "#", not_null=["c_name"], widths={"c_name": 5})
     path = working_path(spark, "export")
     export_delimited(clean, path, "#")
@@ -133,13 +129,13 @@ def export_delimited_files(spark, sf):
 
 @query("render_inserts_part")
 def render_inserts_part(spark, sf):
-    parts = _table(spark, sf, "part").withColumn("p_retailprice", F.col("p_retailprice").cast("decimal(18,2)"))
+    parts = table(spark, sf, "part").withColumn("p_retailprice", F.col("p_retailprice").cast("decimal(18,2)"))
     return render_inserts(parts, "mart.tmp_part", top=None)
 
 
 @query("render_inserts_events")
 def render_inserts_events(spark, sf):
-    events = _table(spark, sf, "events").select(
+    events = table(spark, sf, "events").select(
         "event_id", "ts", "event_type", F.when(F.col("event_type") != "view", F.col("props")).alias("props")
     )
     return render_inserts(events, "mart.tmp_events", top=None)
@@ -196,7 +192,7 @@ def index_definitions(spark, sf):
 
 
 @query("index_definitions_table")
-def index_definitions_table(spark, sf):
+def index_definitionstable(spark, sf):
     return audit.index_definitions(**_definition_inputs(spark, sf), table="Supplier#000000005")
 
 
@@ -207,7 +203,7 @@ def index_definitions_fleet(spark, sf):
 
 @query("definition_drift")
 def definition_drift(spark, sf):
-    lines = _table(spark, sf, "lineitem")
+    lines = table(spark, sf, "lineitem")
     environments = [
         audit.index_definitions(
             **_definition_inputs(spark, sf, lineitem=lines.where(F.col("l_linestatus") == status))
@@ -390,7 +386,7 @@ def maintenance_plan_queue(spark, sf):
 
 @query("maintenance_budget")
 def maintenance_budget(spark, sf):
-    units = _table(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count(F.lit(1)).alias("size"))
+    units = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count(F.lit(1)).alias("size"))
     order = [F.desc("size"), F.asc("l_suppkey"), F.asc("l_linenumber")]
     return maintenance.within_budget(units, F.col("size"), minutes=5000 / 60, order=order)
 
@@ -424,7 +420,7 @@ def maintenance_retry(spark, sf):
 
 def _small_files(spark, sf, root):
     """Orders by status, every status spread over several files."""
-    orders = _table(spark, sf, "orders").withColumn("status", F.col("o_orderstatus"))
+    orders = table(spark, sf, "orders").withColumn("status", F.col("o_orderstatus"))
     versioned.create(orders.repartition(6, "o_custkey"), root, ["status"])
 
 
@@ -473,7 +469,7 @@ def job_last_start(spark, sf):
 
 @query("weekday_masks")
 def weekday_masks(spark, sf):
-    events = _table(spark, sf, "events")
+    events = table(spark, sf, "events")
     mask = (F.col("event_id") % 128).cast("int")
     return events.select("event_id", mask.alias("mask"), weekdays(mask).alias("days"))
 
@@ -536,12 +532,14 @@ def latency_history(spark, sf):
 
 @query("latency_purge")
 def latency_purge(spark, sf):
-    """A history with a run per hour of the events, purged in place."""
+    """A history with four runs a day, purged in place."""
     path = working_path(spark, "purge")
     history = adapter(spark, sf, "posts").select(
-        F.date_trunc("hour", "post_ts").cast("timestamp_ntz").alias("monitorDate"), "publication", "tracer_id"
+        F.window("post_ts", "6 hours")["start"].alias("monitorDate"),
+        "publication",
+        "tracer_id",
     )
-    latency.write_history(history.repartition("monitorDate"), path)
+    latency.write_history(history.repartition(8, "monitorDate"), path)
     latency.purge_history_table(spark, path, PURGE_CUTOFF)
     return spark.read.parquet(path).drop("monitorDay", "runKey")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Mask bit order is Sunday = 1 to Saturday = 64.
@@ -60,6 +60,11 @@ def weekdays(mask: Column) -> Column:
     return F.when(text != "", text)
 
 
+def moment(value: datetime, like: DataFrame, name: str) -> Column:
+    """A literal of the type of a timestamp column, free of the driver's time zone."""
+    return F.lit(value.isoformat(sep=" ")).cast(like.schema[name].dataType)
+
+
 def weekday_bit(day: date | datetime) -> int:
     """The mask bit of a date, Sunday = 1."""
     return 1 << (day.isoweekday() % 7)

@@ -8,14 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def column(name: str) -> Column:
-    """A column by its exact name, also when the name holds dots or spaces."""
-    return F.col("`" + name.replace("`", "``") + "`")
+def quoted(name: str) -> str:
+    """A column name for SQL text, also when it holds dots or spaces."""
+    return "`" + name.replace("`", "``") + "`"
+
 
+def literal(text: str) -> str:
+    """A string for SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def stored_length(value: Column) -> Column:
-    """Characters without trailing blanks."""
-    return F.length(F.rtrim(value))
+
+def column(name: str) -> Column:
+    """A column by its exact name."""
+    return F.col(quoted(name))
 
 
 def is_blank(value: Column) -> Column:
@@ -37,15 +42,15 @@ def literal_pattern(text: str) -> str:
     return "".join(ch if ch.isalnum() or ord(ch) > 127 else "\\" + ch for ch in text)
 
 
-def split_kept(value: Column, delimiter: str) -> Column:
-    """The elements of a delimited string that are not blank, untrimmed.
-
-    The whole string is trimmed first; NULL stays NULL.
-    """
+def split_all(value: Column, delimiter: str) -> Column:
+    """All elements of a delimited string, untrimmed; the whole is trimmed first."""
     if not delimiter:
         raise ValueError("delimiter must not be empty")
-    parts = F.split(F.trim(value), literal_pattern(delimiter), -1)
-    return F.filter(parts, lambda part: F.length(F.trim(part)) > 0)
+    return F.split(F.trim(value), literal_pattern(delimiter), -1)
+
+
+def is_empty(part: Column) -> Column:
+    return F.length(F.trim(part)) == 0
 
 
 def parse_list(text: str) -> list[str]:

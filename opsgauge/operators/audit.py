@@ -54,6 +54,7 @@ def index_inventory(
     named_tables = tables.select(*OBJECT, F.col("name").alias("table_name"))
     if table is not None:
         named_tables = named_tables.where(F.col("table_name") == table)
+        indexes, partitions, index_columns = _only(named_tables, indexes, partitions, index_columns)
     sizes = partitions.groupBy(*INDEX).agg(
         F.count("partition_number").alias("partition_count"), F.sum("rows").alias("row_count")
     )
@@ -69,9 +70,9 @@ def index_inventory(
         ).alias("index_description"),
     )
     return (
-        described.join(named_tables, list(OBJECT))
-        .join(sizes, list(INDEX))
+        described.join(sizes, list(INDEX))
         .join(key_and_included_columns(index_columns, columns), list(INDEX), "left")
+        .join(named_tables, list(OBJECT))
         .join(placed, [*SCOPE, "data_space_id"], "left")
         .select(
             *SCOPE,
@@ -102,6 +103,7 @@ def index_definitions(
     named_tables = tables.select(*OBJECT, F.col("name").alias("tableName"))
     if table is not None:
         named_tables = named_tables.where(F.col("tableName") == table)
+        indexes, index_columns = _only(named_tables, indexes, index_columns)
     is_key = "NOT is_included_column AND key_ordinal > 0"
     marked = "concat(column_name, CASE WHEN is_descending_key THEN ' DESC' ELSE '' END)"
     lists = (
@@ -119,8 +121,8 @@ def index_definitions(
     )
     named_databases = databases.select(*SCOPE, F.col("name").alias("databaseName"))
     return (
-        indexes.join(named_tables, list(OBJECT))
-        .join(lists, list(INDEX))
+        indexes.join(lists, list(INDEX))
+        .join(named_tables, list(OBJECT))
         .join(named_databases, list(SCOPE))
         .select(
             F.col("server").alias("serverName"),
@@ -196,5 +198,11 @@ def _named(index_columns: DataFrame, columns: DataFrame) -> DataFrame:
     return index_columns.join(names, [*OBJECT, "column_id"])
 
 
+def _only(chosen: DataFrame, *frames: DataFrame) -> list[DataFrame]:
+    """The rows of the chosen tables, so that nothing else is aggregated."""
+    keys = chosen.select(*OBJECT)
+    return [frame.join(keys, list(OBJECT), "left_semi") for frame in frames]
+
+
 def _prefixed(df: DataFrame, prefix: str, names: list[str]) -> DataFrame:
     return df.select(*[F.col(name).alias(prefix + name) for name in names], F.lit(True).alias(f"{prefix}_here"))

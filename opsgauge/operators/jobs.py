@@ -11,6 +11,7 @@ from opsgauge.functions.calendar import (
     decode_packed_datetime,
     format_packed_duration,
     frequency_text,
+    moment,
     padded_time,
     subday_text,
 )
@@ -134,4 +135,4 @@ def job_status_report(
 
 def recent(report: DataFrame, since: datetime) -> DataFrame:
     """Jobs of a status report whose last run started since a moment."""
-    return report.where(F.col("lastExecutionStart") >= F.lit(since).cast("timestamp_ntz"))
+    return report.where(F.col("lastExecutionStart") >= moment(since, report, "lastExecutionStart"))

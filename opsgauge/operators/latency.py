@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsgauge.functions.calendar import moment
 from opsgauge.operators.maintenance import whole_seconds
 from opsgauge.plans.ordering import ranked
 from opsgauge.sources.layout import data_files, remove_folders
@@ -30,7 +31,8 @@ def token_latency(posts: DataFrame, receipts: DataFrame) -> DataFrame:
 
     Tokens are numbered from 1 within their publication in the order they were posted.
     """
-    numbered = ranked(posts, [F.asc("post_ts"), F.asc("tracer_id")], ["publication"], "iteration")
+    tokens = posts.select("publication", "tracer_id", "post_ts")
+    numbered = ranked(tokens, [F.asc("post_ts"), F.asc("tracer_id")], ["publication"], "iteration")
     joined = numbered.join(receipts, "tracer_id", "left")
     return joined.select("publication", "iteration", "tracer_id", *latency_columns())
 
@@ -76,7 +78,7 @@ def append_monitor(
     name = F.col("publication") if publication is None else F.lit(publication)
     iteration = F.col("iteration") if "iteration" in latencies.columns else F.lit(None)
     stamped = normalize_latency(latencies).select(
-        F.lit(run_ts).cast("timestamp_ntz").alias("monitorDate"),
+        F.lit(run_ts.isoformat(sep=" ")).cast("timestamp_ntz").alias("monitorDate"),
         name.alias("publicationName"),
         F.lit(publication_db).alias("publicationDB"),
         iteration.cast("bigint").alias("iteration"),
@@ -101,7 +103,7 @@ def purge_history(history: DataFrame, cutoff: datetime) -> DataFrame:
     """The history without tokens older than ``cutoff``; older days are not read."""
     return history.where(
         (F.col("monitorDay") >= F.lit(cutoff.date()))
-        & (F.col("monitorDate") >= F.lit(cutoff).cast("timestamp_ntz"))
+        & (F.col("monitorDate") >= moment(cutoff, history, "monitorDate"))
     )
 
 

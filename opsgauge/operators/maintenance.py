@@ -15,7 +15,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsgauge.functions.calendar import weekday_bit
+from opsgauge.functions.calendar import moment, weekday_bit
 from opsgauge.functions.statements import REBUILD_OPTIONS, maintenance_command
 from opsgauge.functions.text import quote_name
 from opsgauge.operators import INDEX, OBJECT, SCOPE, UNIT
@@ -183,8 +183,8 @@ def choose_action(
     unlocked = unlocked.withColumn("page_locks_off", F.lit(True))
     flagged = (
         candidates.join(counts, list(INDEX), "left")
-        .join(lobs, list(OBJECT), "left")
         .join(unlocked, list(INDEX), "left")
+        .join(lobs, list(OBJECT), "left")
         .withColumns(
             {
                 "partition_count": F.coalesce("partition_count", F.lit(0).cast("bigint")),
@@ -260,25 +260,26 @@ def maintenance_state(log: DataFrame, keys: Sequence[str] = ("run_id", *UNIT)) -
     happened = F.col("event_ts")
     # A tie in time is won by the end of the attempt.
     code = F.when(F.col("event") == STARTED, 0).when(F.col("event") == FINISHED, 1).otherwise(2)
-    moment = F.unix_micros(happened.cast("timestamp")) * 2 + (code > 0).cast("bigint")
-    state = (
-        log.groupBy(*keys)
-        .agg(
-            F.max(F.when(F.col("event") == STARTED, happened)).alias("dateTimeStart"),
-            F.max(F.when(F.col("event") != STARTED, happened)).alias("_end"),
-            F.max_by(code, moment).alias("_code"),
-            F.max_by(F.when(code == 2, F.col("error_message")), moment).alias("errorMessage"),
-        )
-        .withColumn("dateTimeEnd", F.when(F.col("_code") > 0, F.col("_end")))
+    place = F.unix_micros(happened.cast("timestamp")) * 2 + (code > 0).cast("bigint")
+    # Fixed-size states only, so each task combines its events in a hash table.
+    # Texts would force a sort of the whole log; only failed events carry one.
+    state = log.groupBy(*keys).agg(
+        F.max(F.when(F.col("event") == STARTED, happened)).alias("dateTimeStart"),
+        F.max(F.when(F.col("event") != STARTED, happened)).alias("_end"),
+        F.max_by(code, place).alias("_code"),
+    )
+    errors = (
+        log.where(F.col("event") == FAILED).groupBy(*keys).agg(F.max_by("error_message", place).alias("_error"))
     )
-    seconds = whole_seconds(F.col("dateTimeStart"), F.col("dateTimeEnd"))
-    return state.select(
+    code, end = F.col("_code"), F.when(F.col("_code") > 0, F.col("_end"))
+    seconds = F.when(code == 2, F.lit(-1).cast("bigint")).otherwise(whole_seconds(F.col("dateTimeStart"), end))
+    return state.join(errors, list(keys), "left").select(
         *keys,
-        F.when(F.col("_code") == 0, "RUNNING").when(F.col("_code") == 1, "DONE").otherwise("FAILED").alias("status"),
+        F.when(code == 0, "RUNNING").when(code == 1, "DONE").otherwise("FAILED").alias("status"),
         "dateTimeStart",
-        "dateTimeEnd",
-        F.when(F.col("_code") == 2, F.lit(-1).cast("bigint")).otherwise(seconds).alias("durationSeconds"),
-        "errorMessage",
+        end.alias("dateTimeEnd"),
+        seconds.alias("durationSeconds"),
+        F.when(code == 2, F.col("_error")).alias("errorMessage"),
     )
 
 
@@ -286,7 +287,7 @@ def maintenance_summary(
     log: DataFrame, since: datetime, keys: Sequence[str] = ("run_id", *UNIT), include_failed: bool = True
 ) -> DataFrame:
     """Units worked on and ended since a moment, in the order they ended."""
-    ended = maintenance_state(log, keys).where(F.col("dateTimeEnd") >= F.lit(since).cast("timestamp_ntz"))
+    ended = maintenance_state(log, keys).where(F.col("dateTimeEnd") >= moment(since, log, "event_ts"))
     if not include_failed:
         ended = ended.where(F.col("status") == "DONE")
     return ended.orderBy("dateTimeEnd", *keys)

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsgauge.functions.sizing import UNIT_BYTES, SizedColumn, profilable_columns, required_bytes
-from opsgauge.functions.text import column, stored_length
+from opsgauge.functions.text import literal, quoted
 
-_PROFILE = ("column", "kind", "max", "min", "max_len", "avg_len", "row_count")
+_NUMBERS = ("max", "min", "max_len", "avg_len", "row_count", "declared")
+_PROFILE = ("column", "kind", *_NUMBERS[:-1])
 
 
 def profile_columns(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
@@ -36,8 +37,8 @@ def wasted_space(
     A column with only NULLs or without a declared width has NULL and does not
     count in the total.
     """
-    sized = _reductions(df, declared_lengths, percent_growth, compat, cols)
-    return _with_totals(sized, ["columnName"], unit)
+    profile = _profile(df, profilable_columns(df.schema, cols, declared_lengths))
+    return _with_totals(_reductions(profile, percent_growth, compat), ["columnName"], unit)
 
 
 def wasted_space_all(
@@ -48,60 +49,54 @@ def wasted_space_all(
     compat: bool = False,
 ) -> DataFrame:
     """``wasted_space`` of every table, each read once, with totals per table and overall."""
-    widths = declared_lengths or {}
-    parts = [
-        _reductions(df, widths.get(name), percent_growth, compat).withColumn("tableName", F.lit(name))
-        for name, df in tables.items()
-        if profilable_columns(df.schema)
-    ]
-    if not parts:
+    profiles = []
+    for name, df in tables.items():
+        fields = profilable_columns(df.schema, None, (declared_lengths or {}).get(name))
+        if fields:
+            profiles.append(_profile(df, fields).selectExpr(f"{literal(name)} AS tableName", "*"))
+    if not profiles:
         raise ValueError("no table has an integer or character column")
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return _with_totals(union, ["tableName", "columnName"], unit)
+    sized = _reductions(_union(profiles), percent_growth, compat)
+    return _with_totals(sized, ["tableName", "columnName"], unit)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    """Union in pairs, so that the plan stays shallow for many tables."""
+    while len(frames) > 1:
+        pairs = [frames[at : at + 2] for at in range(0, len(frames), 2)]
+        frames = [pair[0].union(pair[1]) if len(pair) == 2 else pair[0] for pair in pairs]
+    return frames[0]
 
 
 def _profile(df: DataFrame, fields: list[SizedColumn]) -> DataFrame:
+    """The profile with declared widths: one aggregate, then one row per column.
+
+    Written as SQL expressions because a table may have thousands of columns and
+    each ``Column`` object costs the driver a round trip.
+    """
     if not fields:
         raise ValueError("no integer or character column to profile")
-    measures = [F.count(F.lit(1)).alias("rows")]
-    rows = []
+    measures, rows = ["count(1) AS rows"], []
     for at, field in enumerate(fields):
-        value = column(field.name)
+        value = quoted(field.name)
         high, low, total, known = (f"{part}_{at}" for part in ("high", "low", "total", "known"))
         if field.is_integer:
-            measures += [
-                F.max(value).cast("bigint").alias(high),
-                F.min(value).cast("bigint").alias(low),
-            ]
-            found = [F.col(high), F.col(low), F.lit(None), F.lit(None)]
+            measures += [f"max({value}) AS {high}", f"min({value}) AS {low}"]
+            found = (high, low, "NULL", "NULL")
         else:
-            length = stored_length(value)
-            measures += [
-                F.max(length).cast("bigint").alias(high),
-                F.sum(length).alias(total),
-                F.count(value).alias(known),
-            ]
-            average = F.call_function("div", F.col(total), F.nullif(F.col(known), F.lit(0)))
-            found = [F.lit(None), F.lit(None), F.col(high), average]
-        rows.append(
-            F.struct(
-                F.lit(field.name).alias("column"),
-                F.lit(field.kind).alias("kind"),
-                *[
-                    item.cast("bigint").alias(name)
-                    for item, name in zip(found, ("max", "min", "max_len", "avg_len"))
-                ],
-                F.col("rows").alias("row_count"),
-                F.lit(field.declared).cast("bigint").alias("declared"),
-            )
+            length = f"length(rtrim({value}))"
+            measures += [f"max({length}) AS {high}", f"sum({length}) AS {total}", f"count({value}) AS {known}"]
+            found = ("NULL", "NULL", high, f"{total} div nullif({known}, 0)")
+        declared = "NULL" if field.declared is None else field.declared
+        numbers = ", ".join(
+            f"'{name}', CAST({item} AS BIGINT)"
+            for name, item in zip(_NUMBERS, (*found, "rows", declared), strict=True)
         )
-    return df.agg(*measures).select(F.inline(F.array(*rows)))
+        rows.append(f"named_struct('column', {literal(field.name)}, 'kind', '{field.kind}', {numbers})")
+    return df.selectExpr(*measures).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def _reductions(df, declared_lengths, percent_growth, compat, cols=None) -> DataFrame:
-    profile = _profile(df, profilable_columns(df.schema, cols, declared_lengths))
+def _reductions(profile: DataFrame, percent_growth: int, compat: bool) -> DataFrame:
     needed = required_bytes(
         F.col("kind") != "string",
         F.col("max"),
@@ -110,12 +105,7 @@ def _reductions(df, declared_lengths, percent_growth, compat, cols=None) -> Data
         percent_growth,
         compat,
     )
-    return profile.select(
-        F.col("column").alias("columnName"),
-        (F.col("declared") - needed).alias("byteReduction"),
-        "avg_len",
-        "row_count",
-    )
+    return profile.withColumnRenamed("column", "columnName").withColumn("byteReduction", F.col("declared") - needed)
 
 
 def _with_totals(sized: DataFrame, levels: list[str], unit: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsgauge.functions.text import column, parse_list, split_kept
+from opsgauge.functions.text import column, is_empty, parse_list, split_all
 
 # A longer list is joined instead of written into the filter.
 MAX_FILTER_VALUES = 1000
@@ -24,10 +24,12 @@ def split_rows(
 
     Only those columns and the string are read.  ``pos`` counts kept elements from 1.
     """
-    parts = split_kept(column(col), delimiter)
     kept = [column(name) for name in keep]
     if not with_pos:
-        return df.select(*kept, F.explode(parts).alias("stringValue"))
+        # Filtering the rows stays in generated code; filtering the array would not.
+        rows = df.select(*kept, F.explode(split_all(column(col), delimiter)).alias("stringValue"))
+        return rows.where(~is_empty(F.col("stringValue")))
+    parts = F.filter(split_all(column(col), delimiter), lambda part: ~is_empty(part))
     return df.select(*kept, F.posexplode(parts).alias("pos", "stringValue")).withColumn(
         "pos", F.col("pos") + 1
     )

@@ -8,6 +8,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsgauge.functions.calendar import moment
 from opsgauge.functions.statements import create_index_statement, drop_statement, index_type_text
 from opsgauge.operators import INDEX, OBJECT, SCOPE
 from opsgauge.operators.fleet import REPORT_EXCLUDED
@@ -52,11 +53,10 @@ def usage_report(
         typed = typed.where(F.col("indexType") == index_type)
     read = _between(usage.withColumn("reads", _reads()), F.col("reads"), min_reads, max_reads)
     sizes = _between(partition_rollup(partitions), F.col("row_count"), min_rows, max_rows)
-    tables = objects.where(F.col("is_user_table"))
+    # The joins on the index come first: all three sides share that partitioning.
+    sized = typed.join(read, list(INDEX)).join(sizes, list(INDEX))
     return (
-        _named(typed, tables, kept_databases)
-        .join(read, list(INDEX))
-        .join(sizes, list(INDEX))
+        _named(sized, objects.where(F.col("is_user_table")), kept_databases)
         .select(
             F.col("database_name").alias("databaseName"),
             F.col("object_name").alias("objectName"),
@@ -91,15 +91,14 @@ def unused(
     candidates = indexes.where((F.col("type") == 2) & ~F.col("is_unique"))
     counters = ("user_seeks", "user_scans", "user_lookups", "user_updates")
     counted = usage.select(*INDEX, *counters)
-    named = _named(candidates, objects, databases)
     if include_never_seen:
-        seen = named.join(counted, list(INDEX), "left")
+        seen = candidates.join(counted, list(INDEX), "left")
         seen = seen.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in counters})
     else:
-        seen = named.join(counted, list(INDEX))
+        seen = candidates.join(counted, list(INDEX))
+    sized = seen.where(_reads() <= max_reads).join(partition_rollup(partitions), list(INDEX))
     return (
-        seen.where(_reads() <= max_reads)
-        .join(partition_rollup(partitions), list(INDEX))
+        _named(sized, objects, databases)
         .select(
             F.col("object_name").alias("objectName"),
             F.col("name").alias("indexName"),
@@ -185,7 +184,7 @@ def hot_plans(
     """Plans run recently, and more than ``min_executions`` times in all."""
     since = as_of - timedelta(days=last_executed_in_days)
     return (
-        query_log.where(F.col("last_execution_time") > F.lit(since).cast(_type(query_log, "last_execution_time")))
+        query_log.where(F.col("last_execution_time") > moment(since, query_log, "last_execution_time"))
         .groupBy("server", "plan_handle")
         .agg(F.sum("execution_count").alias("statement_executions"))
         .where(F.col("statement_executions") > min_executions)
@@ -221,7 +220,7 @@ def named_missing_plans(found: DataFrame, objects: DataFrame, databases: DataFra
         F.col("object_id").alias("objectID"),
         "plan_handle",
         "query_plan",
-        F.lit(run_ts).cast("timestamp_ntz").alias("executionDate"),
+        F.lit(run_ts.isoformat(sep=" ")).cast("timestamp_ntz").alias("executionDate"),
         F.col("statement_executions").alias("statementExecutions"),
     )
 
@@ -259,7 +258,3 @@ def _between(df: DataFrame, value: Column, low: int | None, high: int | None) ->
     if high is not None:
         df = df.where(value <= high)
     return df
-
-
-def _type(df: DataFrame, name: str):
-    return df.schema[name].dataType

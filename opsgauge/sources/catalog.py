@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opsgauge.functions.calendar import moment
 from opsgauge.functions.sizing import profilable_columns
 from opsgauge.operators import SCOPE
 
@@ -65,7 +66,6 @@ def catalog_from(
 def latest_snapshot(snapshots: DataFrame, as_of: datetime | None = None) -> DataFrame:
     """The newest snapshot of each database, up to ``as_of``."""
     if as_of is not None:
-        kind = snapshots.schema["snapshot_ts"].dataType
-        snapshots = snapshots.where(F.col("snapshot_ts") <= F.lit(as_of).cast(kind))
+        snapshots = snapshots.where(F.col("snapshot_ts") <= moment(as_of, snapshots, "snapshot_ts"))
     newest = snapshots.groupBy(*SCOPE).agg(F.max("snapshot_ts").alias("snapshot_ts"))
     return snapshots.join(newest, [*SCOPE, "snapshot_ts"], "left_semi")

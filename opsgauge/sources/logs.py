@@ -7,18 +7,19 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsgauge.functions.calendar import moment
+
 LOG_DAY = "log_day"
 
 
-def append_log(rows: DataFrame, path: str, moment: str) -> None:
-    """Add rows to the log at ``path`` under the day of their ``moment`` column."""
-    dated = rows.withColumn(LOG_DAY, F.to_date(moment))
+def append_log(rows: DataFrame, path: str, at: str) -> None:
+    """Add rows to the log at ``path`` under the day of their ``at`` column."""
+    dated = rows.withColumn(LOG_DAY, F.to_date(at))
     dated.write.mode("append").partitionBy(LOG_DAY).parquet(path)
 
 
-def logged_since(spark: SparkSession, path: str, moment: str, since: datetime) -> DataFrame:
+def logged_since(spark: SparkSession, path: str, at: str, since: datetime) -> DataFrame:
     """Log rows at or after a moment; earlier days are not read."""
     log = spark.read.parquet(path)
-    kind = log.schema[moment].dataType
-    recent = (F.col(LOG_DAY) >= F.lit(since.date())) & (F.col(moment) >= F.lit(since).cast(kind))
+    recent = (F.col(LOG_DAY) >= F.lit(since.date())) & (F.col(at) >= moment(since, log, at))
     return log.where(recent).drop(LOG_DAY)
