@@ -61,7 +61,7 @@ def profilable_columns(
         kind = _KINDS.get(type(field.dataType))
         if kind:
             found.append(SizedColumn(field.name, kind, INTEGER_BYTES[kind]))
-        elif isinstance(field.dataType, T.StringType):
+        elif isinstance(field.dataType, (T.StringType, T.CharType, T.VarcharType)):
             declared = widths.get(field.name, _kept_width(field))
             found.append(SizedColumn(field.name, "string", declared))
     return found
