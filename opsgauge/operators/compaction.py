@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsgauge.sources import versioned
+from opsgauge.sources.layout import folder_of
 
 # Rows of one input file that stay together when a partition is split into files.
 BLOCK_ROWS = 10_000
@@ -41,7 +42,7 @@ def compact(
     rows = versioned.read_current(spark, root, folders)
     origin = rows.select(
         "*",
-        F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("directory"),
+        folder_of(F.col("_metadata.file_path")).alias("directory"),
         F.col("_metadata.file_path").alias("_path"),
         F.floor(F.col("_metadata.row_index") / BLOCK_ROWS).alias("_block"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILE_NAMES = "*.parquet"
@@ -24,6 +24,12 @@ def data_files(spark: SparkSession, paths: str | Sequence[str], base_path: str |
     return files.select(directory, "path", "length", *partitions)
 
 
+def folder_of(file_url: Column) -> Column:
+    """The ``directory`` of a file from ``_metadata.file_path``, which is URL-encoded."""
+    path = F.url_decode(F.replace(file_url, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(path, "/[^/]*$", "")
+
+
 def layout_stats(files: DataFrame, small_bytes: int, partition_cols: Sequence[str] = ()) -> DataFrame:
     """Files, bytes and share of small files per partition, as the planner's input.
 
