@@ -20,7 +20,7 @@ from opsgauge.plans.maintenance import maintenance_plan
 from opsgauge.session import working_path
 from opsgauge.sources import versioned
 from opsgauge.sources.layout import layout_stats
-from opsgauge.sources.logs import append_log, logged_since
+from opsgauge.sources.logs import MAINTENANCE_LOG, PLAN_LOG, append_log, logged_since, read_log
 from opsgauge.streaming.latency import ProbeParams, stream_latency
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -322,7 +322,7 @@ def missing_plan_log(spark, sf):
     for run in (datetime(2024, 1, 30, 6), datetime(2024, 1, 31, 6)):
         rows = usage.named_missing_plans(found, _objects(spark, sf), adapter(spark, sf, "databases"), run)
         append_log(rows, path, "executionDate")
-    return logged_since(spark, path, "executionDate", datetime(2024, 1, 31, 6))
+    return logged_since(spark, path, PLAN_LOG, "executionDate", datetime(2024, 1, 31, 6))
 
 
 # Maintenance
@@ -403,7 +403,7 @@ def maintenance_budget_by_database(spark, sf):
 def maintenance_log_summary(spark, sf):
     path = working_path(spark, "maintenance-log")
     append_log(adapter(spark, sf, "maintenance_log"), path, "event_ts")
-    log = spark.read.parquet(path)
+    log = read_log(spark, path, MAINTENANCE_LOG)
     return maintenance.maintenance_summary(log, datetime(2024, 1, 10))
 
 
@@ -527,7 +527,7 @@ def latency_history(spark, sf):
     measured = _latency(spark, sf)
     for run in (HISTORY_RUN, HISTORY_RUN, datetime(2024, 2, 2, 12, 0)):
         latency.append_monitor(measured, path, run, None, "publisher")
-    return spark.read.parquet(path).drop("monitorDay", "runKey")
+    return latency.read_history(spark, path).drop("monitorDay", "runKey")
 
 
 @query("latency_purge")

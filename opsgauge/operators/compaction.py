@@ -12,6 +12,9 @@ from opsgauge.sources.layout import folder_of
 
 # Rows of one input file that stay together when a partition is split into files.
 BLOCK_ROWS = 10_000
+# Folders whose plan is sent to every task; a longer plan is joined by shuffle,
+# where adaptive execution splits large folders.
+MAX_BROADCAST_FOLDERS = 50_000
 
 
 def compact(
@@ -30,16 +33,17 @@ def compact(
     counts are compared before the new folders are published; returns the version.
     """
     chosen = units.where(F.col("action") != "SKIP") if "action" in units.columns else units
-    chosen = chosen.select(
-        "directory", F.ceil(F.col("total_bytes") / F.lit(target_bytes)).cast("int").alias("_files")
-    )
-    folders = versioned.directories(chosen)
+    files = F.ceil(F.col("total_bytes") / F.lit(target_bytes)).cast("int")
+    # One row per planned folder; the reader needs the same list.
+    wanted = [(row.directory, row.files) for row in chosen.select("directory", files.alias("files")).toLocalIterator()]
     version = versioned.current_version(spark, root)
-    if not folders:
+    if not wanted:
         return version
-    total = chosen.agg(F.sum("_files")).first()[0]
+    plan = spark.createDataFrame(wanted, "directory string, _files int")
+    if len(wanted) <= MAX_BROADCAST_FOLDERS:
+        plan = F.broadcast(plan)
 
-    rows = versioned.read_current(spark, root, folders)
+    rows = versioned.read_current(spark, root, [directory for directory, _ in wanted])
     origin = rows.select(
         "*",
         folder_of(F.col("_metadata.file_path")).alias("directory"),
@@ -47,8 +51,8 @@ def compact(
         F.floor(F.col("_metadata.row_index") / BLOCK_ROWS).alias("_block"),
     )
     slot = F.pmod(F.xxhash64("_path", "_block"), F.col("_files")).alias("_slot")
-    placed = origin.join(chosen, "directory").select(*rows.columns, slot)
-    spread = placed.repartition(max(1, total), *partition_cols, "_slot")
+    placed = origin.join(plan, "directory").select(*rows.columns, slot)
+    spread = placed.repartition(sum(files for _, files in wanted), *partition_cols, "_slot")
     ordered = spread.sortWithinPartitions(*partition_cols, "_slot", *sort_by).drop("_slot")
     staged = versioned.stage(ordered, root, version + 1, partition_cols)
 

@@ -12,6 +12,12 @@ from opsgauge.operators.maintenance import whole_seconds
 from opsgauge.plans.ordering import ranked
 from opsgauge.sources.layout import data_files, remove_folders
 
+HISTORY = (
+    "monitorDate timestamp_ntz, publicationName string, publicationDB string, iteration bigint, tracer_id bigint, "
+    "distributor_latency bigint, subscriber string, subscriber_db string, subscriber_latency bigint, "
+    "overall_latency bigint, monitorDay date, runKey string"
+)
+
 # Sorts as text the way the moments do.
 RUN_FORMAT = "yyyyMMddHHmmssSSSSSS"
 
@@ -99,6 +105,11 @@ def write_history(rows: DataFrame, path: str, batch_id: int = 0) -> None:
     )
 
 
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The kept history, also one that has no rows yet."""
+    return spark.read.schema(HISTORY).parquet(path)
+
+
 def purge_history(history: DataFrame, cutoff: datetime) -> DataFrame:
     """The history without tokens older than ``cutoff``; older days are not read."""
     return history.where(
@@ -114,6 +125,8 @@ def purge_history_table(spark: SparkSession, path: str, cutoff: datetime) -> Non
     is read or rewritten; days before the cutoff go at once.
     """
     folders = data_files(spark, path)
+    if "runKey" not in folders.columns:
+        return  # nothing has been kept yet
     day = F.substring_index("directory", "/", -2)
     day_folder = F.concat(F.lit(path.rstrip("/") + "/"), F.substring_index(day, "/", 1))
     boundary = F.col("monitorDay") == F.lit(cutoff.date())

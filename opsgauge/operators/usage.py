@@ -218,7 +218,6 @@ def named_missing_plans(found: DataFrame, objects: DataFrame, databases: DataFra
         F.col("database_id").alias("databaseID"),
         F.col("object_name").alias("objectName"),
         F.col("object_id").alias("objectID"),
-        "plan_handle",
         "query_plan",
         F.lit(run_ts.isoformat(sep=" ")).cast("timestamp_ntz").alias("executionDate"),
         F.col("statement_executions").alias("statementExecutions"),

@@ -1,4 +1,4 @@
-"""Append-only logs, laid out by day."""
+"""Append-only logs with fixed schemas, laid out by day."""
 
 from __future__ import annotations
 
@@ -11,6 +11,18 @@ from opsgauge.functions.calendar import moment
 
 LOG_DAY = "log_day"
 
+# Plans whose XML suggests a missing index, one row per plan and run.
+PLAN_LOG = (
+    "server string, databaseName string, databaseID int, objectName string, objectID bigint, "
+    "query_plan string, executionDate timestamp_ntz, statementExecutions bigint"
+)
+
+# What happened to a maintenance unit: started, finished or failed.
+MAINTENANCE_LOG = (
+    "run_id string, server string, database_id int, object_id bigint, index_id int, partition_number bigint, "
+    "event string, event_ts timestamp_ntz, error_message string"
+)
+
 
 def append_log(rows: DataFrame, path: str, at: str) -> None:
     """Add rows to the log at ``path`` under the day of their ``at`` column."""
@@ -18,8 +30,13 @@ def append_log(rows: DataFrame, path: str, at: str) -> None:
     dated.write.mode("append").partitionBy(LOG_DAY).parquet(path)
 
 
-def logged_since(spark: SparkSession, path: str, at: str, since: datetime) -> DataFrame:
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A log, also one that has no rows yet."""
+    return spark.read.schema(f"{schema}, {LOG_DAY} date").parquet(path)
+
+
+def logged_since(spark: SparkSession, path: str, schema: str, at: str, since: datetime) -> DataFrame:
     """Log rows at or after a moment; earlier days are not read."""
-    log = spark.read.parquet(path)
+    log = read_log(spark, path, schema)
     recent = (F.col(LOG_DAY) >= F.lit(since.date())) & (F.col(at) >= moment(since, log, at))
     return log.where(recent).drop(LOG_DAY)

@@ -179,8 +179,11 @@ def test_a_log_shows_what_was_added_since(spark):
     for day in (1, 2, 3):
         frame = spark.createDataFrame([(day, datetime(2024, 1, day, 12))], "n int, at timestamp_ntz")
         append_log(frame, path, "at")
-    found = logged_since(spark, path, "at", datetime(2024, 1, 2, 12))
+    found = logged_since(spark, path, "n int, at timestamp_ntz", "at", datetime(2024, 1, 2, 12))
     assert rows(found, "n") == [(2,), (3,)]
+    empty = working_path(spark, "log")
+    append_log(frame.where("false"), empty, "at")
+    assert logged_since(spark, empty, "n int, at timestamp_ntz", "at", datetime(2024, 1, 1)).count() == 0
     assert "PartitionFilters: [isnotnull(log_day" in plan_text(found)
 
 

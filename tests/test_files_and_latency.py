@@ -185,6 +185,13 @@ def test_history_is_idempotent_and_purged_by_run(spark):
     assert spark.read.parquet(path).count() == len(expected)
 
 
+def test_an_empty_history(spark):
+    path = working_path(spark, "history")
+    latency.append_monitor(latency.token_latency(*_tokens(spark)).where("false"), path, datetime(2024, 1, 1), "p", "d")
+    assert latency.read_history(spark, path).count() == 0
+    latency.purge_history_table(spark, path, datetime(2024, 1, 2))
+
+
 def test_purge_reads_no_older_day(spark):
     path = working_path(spark, "history")
     measured = latency.token_latency(*_tokens(spark))

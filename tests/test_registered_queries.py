@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from checks.adapters import ADAPTERS, TABLES, adapter, with_adapters
 from checks.comparing import compare
+from tests.helpers import executed
 
 QUERIES = entry.queries()
 ORACLE = entry.oracle_sql()
@@ -34,6 +35,9 @@ def test_query_equals_sql(spark, sf, duck, name):
         result.columns, [tuple(row) for row in result.collect()], expected.columns, expected.fetchall()
     )
     assert problem is None
+    plan = executed(result)
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "CollectLimit"):
+        assert unwanted not in plan
 
 
 @pytest.mark.parametrize("name", sorted(ADAPTERS))
