@@ -386,7 +386,7 @@ WHERE p.object_id IS NOT NULL AND p.query_plan LIKE '%<MissingIndex Database=%'
 ORACLE["plan_log_missing"] = _FOUND
 ORACLE["missing_plan_log"] = f"""
 SELECT f.server, d.name AS databaseName, f.database_id AS databaseID, o.name AS objectName,
-       f.object_id AS objectID, f.query_plan, TIMESTAMP '2024-01-31 06:00:00' AS executionDate,
+       f.object_id AS objectID, f.query_plan, TIMESTAMP '2024-01-31 00:00:00' AS executionDate,
        f.statement_executions AS statementExecutions
 FROM ({_FOUND}) AS f
 JOIN {{objects}} AS o USING (server, database_id, object_id)

@@ -17,11 +17,12 @@ from opsgauge.operators.profiling import profile_columns, wasted_space, wasted_s
 from opsgauge.operators.splitting import filter_by_list, split_rows
 from opsgauge.operators.translation import generate_ddl, translate_types
 from opsgauge.plans.maintenance import maintenance_plan
+from opsgauge.plans.missing_plans import log_missing_plans
 from opsgauge.session import working_path
 from opsgauge.sources import versioned
 from opsgauge.sources.layout import layout_stats
-from opsgauge.sources.logs import MAINTENANCE_LOG, PLAN_LOG, append_log, logged_since, read_log
-from opsgauge.streaming.latency import ProbeParams, stream_latency
+from opsgauge.sources.logs import MAINTENANCE_LOG, append_log, read_log
+from opsgauge.streaming.latency import ProbeParams, run_probe, stream_latency
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -317,12 +318,13 @@ def plan_log_missing(spark, sf):
 
 @query("missing_plan_log")
 def missing_plan_log(spark, sf):
-    found = usage.plans_with_missing_index(_hot(spark, sf), adapter(spark, sf, "query_plans"))
+    """Two runs of the log; the second one's rows are returned."""
     path = working_path(spark, "plan-log")
-    for run in (datetime(2024, 1, 30, 6), datetime(2024, 1, 31, 6)):
-        rows = usage.named_missing_plans(found, _objects(spark, sf), adapter(spark, sf, "databases"), run)
-        append_log(rows, path, "executionDate")
-    return logged_since(spark, path, PLAN_LOG, "executionDate", datetime(2024, 1, 31, 6))
+    inputs = [adapter(spark, sf, name) for name in ("query_stats", "query_plans", "databases")]
+    inputs.insert(2, _objects(spark, sf))
+    for run in (datetime(2024, 1, 30), datetime(2024, 1, 31)):
+        logged = log_missing_plans(path, *inputs, run_ts=run, last_executed_in_days=20, min_executions=25)
+    return logged
 
 
 # Maintenance
@@ -571,12 +573,13 @@ def latency_stream(spark, sf):
         )
         rows.unionByName(end).write.parquet(f"{source}/{name}")
         streams[name] = spark.readStream.schema(rows.schema).parquet(f"{source}/{name}")
+    params = ProbeParams(bounded=True)
     running = (
-        stream_latency(**streams)
+        stream_latency(**streams, params=params)
         .writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
-        .trigger(**ProbeParams(bounded=True).trigger())
+        .trigger(**params.trigger())
         .start(out)
     )
-    running.awaitTermination()
+    run_probe(running, params)
     return spark.read.parquet(out).where(F.col("tracer_id") >= 0)

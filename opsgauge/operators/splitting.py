@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsgauge.functions.text import column, is_empty, parse_list, split_all
@@ -35,6 +35,25 @@ def split_rows(
     )
 
 
+def register_split_functions(spark: SparkSession) -> None:
+    """Make the splitting available to SQL.
+
+    ``SELECT * FROM split_rows('a,b', ',')`` gives the elements of a parameter as
+    rows.  A table's column is better served by ``split_kept(col, ',')``, an array
+    to explode: Spark turns a table function over a column into a join.
+    """
+    parts = r"split(trim(value), concat('\\Q', replace(delimiter, '\\E', '\\E\\\\E\\Q'), '\\E'), -1)"
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION split_kept(value STRING, delimiter STRING) RETURNS ARRAY<STRING> "
+        f"RETURN filter({parts}, part -> length(trim(part)) > 0)"
+    )
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION split_rows(value STRING, delimiter STRING) "
+        "RETURNS TABLE (stringValue STRING) "
+        f"RETURN SELECT part FROM (SELECT explode({parts}) AS part) WHERE length(trim(part)) > 0"
+    )
+
+
 def filter_by_list(df: DataFrame, col: str, names: str | None) -> DataFrame:
     """Rows whose column is in a comma list; None keeps everything."""
     if names is None:

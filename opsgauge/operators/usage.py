@@ -86,11 +86,14 @@ def unused(
     """Plain nonclustered indexes with at most ``max_reads`` reads, most updated first.
 
     Statistics hold only what was touched since they were reset; with
-    ``include_never_seen`` indexes without a row there count as unread.
+    ``include_never_seen`` indexes without a row there count as unread.  A
+    ``stats_since`` column of the usage snapshot, the moment of that reset, is
+    reported so that a short period is noticed.
     """
     candidates = indexes.where((F.col("type") == 2) & ~F.col("is_unique"))
     counters = ("user_seeks", "user_scans", "user_lookups", "user_updates")
-    counted = usage.select(*INDEX, *counters)
+    period = [name for name in ("stats_since",) if name in usage.columns]
+    counted = usage.select(*INDEX, *counters, *period)
     if include_never_seen:
         seen = candidates.join(counted, list(INDEX), "left")
         seen = seen.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in counters})
@@ -106,6 +109,7 @@ def unused(
             *counters,
             "row_count",
             "partitioned",
+            *period,
             _drop().alias("SQL_DropStatement"),
         )
         .orderBy(F.desc("user_updates"))

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from opsgauge.functions.text import column
 from opsgauge.session import checkpointed
 
+# Carry-over rows that are sent to every task; more are joined by shuffle.
+MAX_BROADCAST_ROWS = 20_000
+
 _ROW, _PART, _FIRST, _BEFORE = "_row", "_part", "_first", "_before"
 
 
@@ -68,11 +71,7 @@ def ranked(
             {f"_inner_{name}": F.coalesce(F.sum(f"_value_{name}").over(piece), F.lit(0)) for name in totals}
         )
 
-    if groups:
-        joined = _null_safe_join(placed, carried, [_PART, *groups])
-    else:
-        # Bounded by the number of sorted partitions, whatever the row count.
-        joined = placed.join(F.broadcast(carried), _PART)
+    joined = _null_safe_join(placed, _small_or_same(carried), [_PART, *groups])
     return joined.select(
         *[column(name) for name in df.columns],
         (F.col(_ROW) - F.col(_FIRST) + F.col(_BEFORE) + 1).alias(rank),
@@ -92,6 +91,18 @@ def top_in_groups(
     return df.withColumn(rank, F.row_number().over(window).cast("bigint")).where(F.col(rank) <= k)
 
 
+def _small_or_same(carried: DataFrame) -> DataFrame:
+    """The carry-over as a broadcast table if it has few rows, else unchanged.
+
+    It has a row per sorted partition and group met in it: few without groups or
+    with few of them, which then saves the shuffle of all rows.
+    """
+    head = carried.take(MAX_BROADCAST_ROWS + 1)
+    if len(head) > MAX_BROADCAST_ROWS:
+        return carried
+    return F.broadcast(carried.sparkSession.createDataFrame(head, carried.schema))
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     renamed = right.select(*[column(c).alias(f"_k_{c}" if c in keys else c) for c in right.columns])
     on = [column(key).eqNullSafe(column(f"_k_{key}")) for key in keys]

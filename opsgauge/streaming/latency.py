@@ -19,16 +19,19 @@ from opsgauge.operators.latency import append_monitor, latency_columns
 
 @dataclass(frozen=True)
 class ProbeParams:
-    """Cadence of a probe: the wait for a token and the time between two rounds."""
+    """Cadence of a probe: the wait for a token, the time between rounds and their number.
+
+    ``bounded`` makes one pass over what is there instead of rounds.
+    """
 
     replication_delay: str = "30 seconds"
-    iteration_delay: str = "30 seconds"
     lateness: str = "10 seconds"
+    iterations: int = 5
+    iteration_seconds: int = 30
     bounded: bool = False
 
     def trigger(self) -> dict:
-        """One pass over what is there, or a round per ``iteration_delay``."""
-        return {"availableNow": True} if self.bounded else {"processingTime": self.iteration_delay}
+        return {"availableNow": True} if self.bounded else {"processingTime": f"{self.iteration_seconds} seconds"}
 
 
 def stream_latency(posts: DataFrame, receipts: DataFrame, params: ProbeParams = ProbeParams()) -> DataFrame:
@@ -46,6 +49,15 @@ def stream_latency(posts: DataFrame, receipts: DataFrame, params: ProbeParams =
     return joined.select("publication", "tracer_id", *latency_columns())
 
 
+def run_probe(query: StreamingQuery, params: ProbeParams) -> None:
+    """Let a query run for its rounds, or to its end if bounded, and stop it."""
+    if params.bounded:
+        query.awaitTermination()
+    elif not query.awaitTermination(params.iterations * params.iteration_seconds):
+        query.processAllAvailable()
+        query.stop()
+
+
 def start_monitor(
     latencies: DataFrame,
     path: str,

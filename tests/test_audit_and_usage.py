@@ -121,6 +121,9 @@ def test_unused_and_never_seen(spark):
         ("a", 7, 5, "no"),
         ("b", 0, 13, "yes"),
     ]
+    since = datetime(2024, 1, 1)
+    dated = (inputs[0], inputs[1].withColumn("stats_since", F.lit(since)), *inputs[2:])
+    assert rows(usage.unused(*dated), "indexName", "stats_since") == [("a", since)]
 
 
 def test_optional_filters_reach_the_scan(spark, sf):

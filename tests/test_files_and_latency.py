@@ -14,7 +14,7 @@ from opsgauge.operators.compaction import compact
 from opsgauge.session import working_path
 from opsgauge.sources import versioned
 from opsgauge.sources.layout import data_files, layout_stats
-from opsgauge.streaming.latency import ProbeParams, start_monitor, stream_latency
+from opsgauge.streaming.latency import ProbeParams, run_probe, start_monitor, stream_latency
 from tests.helpers import executed, rows
 
 
@@ -260,4 +260,14 @@ def test_monitor_stream_keeps_a_history_once(spark, sf):
 
 def test_probe_triggers():
     assert ProbeParams(bounded=True).trigger() == {"availableNow": True}
-    assert ProbeParams(iteration_delay="5 seconds").trigger() == {"processingTime": "5 seconds"}
+    assert ProbeParams(iteration_seconds=5).trigger() == {"processingTime": "5 seconds"}
+
+
+def test_probe_of_some_rounds(spark, sf):
+    folder = working_path(spark, "rounds")
+    params = ProbeParams(iterations=2, iteration_seconds=1)
+    latencies = stream_latency(**_streams(spark, sf, folder), params=params)
+    query = start_monitor(latencies, f"{folder}/history", f"{folder}/state", datetime(2024, 2, 1), "db", params)
+    run_probe(query, params)
+    assert not query.isActive and query.exception() is None
+    assert latency.read_history(spark, f"{folder}/history").where("subscriber IS NOT NULL").count() > 0

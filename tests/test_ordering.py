@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from opsgauge.plans import ordering
 from opsgauge.plans.ordering import ranked, top_in_groups
 from tests.helpers import executed
 
@@ -35,8 +36,11 @@ def _expected(data, grouped):
     return result
 
 
+@pytest.mark.parametrize("limit", [20_000, 10])
 @pytest.mark.parametrize("grouped", [True, False])
-def test_rank_and_total(spark, grouped):
+def test_rank_and_total(spark, monkeypatch, grouped, limit):
+    """With a small and with a large carry-over."""
+    monkeypatch.setattr(ordering, "MAX_BROADCAST_ROWS", limit)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         df = _skewed(spark)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opsgauge.functions.text import quote_name
 from opsgauge.operators import splitting
 from opsgauge.operators.export import export_delimited, export_path, render_inserts, sanitize_for_export
-from opsgauge.operators.splitting import filter_by_list, split_rows
+from opsgauge.operators.splitting import filter_by_list, register_split_functions, split_rows
 from opsgauge.operators.translation import generate_ddl, translate_types
 from opsgauge.session import working_path
 from opsgauge.sources.catalog import CATALOG_SCHEMA
@@ -38,6 +38,18 @@ def test_split_golden(spark, text, delimiter, expected):
     assert [tuple(r) for r in placed] == [(7, at, part) for at, part in enumerate(expected, start=1)]
 
 
+def test_split_in_sql(spark, sf):
+    register_split_functions(spark)
+    for text, delimiter, expected in SPLITS:
+        got = spark.sql("SELECT * FROM split_rows(:text, :delimiter)", {"text": text, "delimiter": delimiter})
+        assert [r.stringValue for r in got.collect()] == expected
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    documents.createOrReplaceTempView("split_documents")
+    got = spark.sql("SELECT doc_id, explode(parts) FROM (SELECT doc_id, split_kept(text, ',') AS parts FROM split_documents)")
+    assert rows(got) == rows(split_rows(documents, "text", ",", ["doc_id"]))
+    assert "Exchange" not in executed(got) and "Join" not in executed(got)
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(alphabet="abc é\\.", min_size=1).filter(lambda s: s.strip(" ")), min_size=1, max_size=8))
 def test_split_undoes_join(spark, parts):
