@@ -499,6 +499,10 @@ ORACLE["compaction"] = """
 SELECT o_orderstatus AS status, count(*) AS orders, CAST(sum(o_orderkey) AS BIGINT) AS key_sum,
        CAST(sum(o_custkey) AS BIGINT) AS customer_sum, TRUE AS not_more_files
 FROM {orders} GROUP BY o_orderstatus"""
+ORACLE["compaction_plan"] = """
+SELECT 'r1' AS run_id, o_orderstatus AS status, CAST(6 AS BIGINT) AS page_count, CAST(100 AS DOUBLE) AS fragmentation,
+       row_number() OVER (ORDER BY o_orderstatus) AS priority, 'DONE' AS state, CAST(NULL AS VARCHAR) AS errorMessage
+FROM {orders} GROUP BY o_orderstatus"""
 
 _SUMMARY = """
 SELECT server, job_id, success, cancel, fail, retry, last_execution_id,

@@ -16,12 +16,13 @@ from opsgauge.operators.export import export_delimited, render_inserts, sanitize
 from opsgauge.operators.profiling import profile_columns, wasted_space, wasted_space_all
 from opsgauge.operators.splitting import filter_by_list, split_rows
 from opsgauge.operators.translation import generate_ddl, translate_types
+from opsgauge.plans.compaction import compaction_plan
 from opsgauge.plans.maintenance import maintenance_plan
 from opsgauge.plans.missing_plans import log_missing_plans
 from opsgauge.session import working_path
 from opsgauge.sources import versioned
 from opsgauge.sources.layout import layout_stats
-from opsgauge.sources.logs import MAINTENANCE_LOG, append_log, read_log
+from opsgauge.sources.logs import COMPACTION_LOG, MAINTENANCE_LOG, append_log, read_log
 from opsgauge.streaming.latency import ProbeParams, run_probe, stream_latency
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -455,6 +456,21 @@ def compaction(spark, sf):
     )
 
 
+@query("compaction_plan")
+def compaction_planned(spark, sf):
+    """Plan the folders, compact them, and report what the log says about each."""
+    root, log_path = working_path(spark, "planned"), working_path(spark, "compaction-log")
+    _small_files(spark, sf, root)
+    files = versioned.current_files(spark, root)
+    queue = compaction_plan(files, 1 << 30, ["status"], bytes_per_second=1 << 20)
+    compact(spark, queue, root, ["status"], 1 << 30, log_path=log_path, run_id="r1")
+    keys = ("run_id", "directory")
+    state = maintenance.maintenance_state(read_log(spark, log_path, COMPACTION_LOG), keys)
+    return queue.join(state.withColumnRenamed("status", "state"), "directory").select(
+        "run_id", F.col("status"), "page_count", "fragmentation", "priority", "state", "errorMessage"
+    )
+
+
 # Jobs
 
 

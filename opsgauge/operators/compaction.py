@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsgauge.operators.maintenance import FAILED, FINISHED, STARTED
 from opsgauge.sources import versioned
 from opsgauge.sources.layout import folder_of
+from opsgauge.sources.logs import COMPACTION_LOG, append_log
 
 # Rows of one input file that stay together when a partition is split into files.
 BLOCK_ROWS = 10_000
@@ -24,21 +27,52 @@ def compact(
     partition_cols: Sequence[str],
     target_bytes: int,
     sort_by: Sequence[str] = (),
+    log_path: str | None = None,
+    run_id: str = "",
 ) -> int:
     """Rewrite the planned partitions of a versioned table into files of about ``target_bytes``.
 
     ``units`` has ``directory``, ``total_bytes`` and optionally ``action`` (SKIP is
-    left alone).  Only planned folders are read.  A large partition is spread over
-    as many tasks as it gets files, so no task holds a whole partition.  The row
-    counts are compared before the new folders are published; returns the version.
+    left alone).  The row counts are compared before the new folders are published.
+    With ``log_path`` the start and the end, or the error, of every unit is logged.
+    Returns the version that is current afterwards.
     """
     chosen = units.where(F.col("action") != "SKIP") if "action" in units.columns else units
-    files = F.ceil(F.col("total_bytes") / F.lit(target_bytes)).cast("int")
+    files = F.greatest(F.ceil(F.col("total_bytes") / F.lit(target_bytes)).cast("int"), F.lit(1))
     # One row per planned folder; the reader needs the same list.
-    wanted = [(row.directory, row.files) for row in chosen.select("directory", files.alias("files")).toLocalIterator()]
-    version = versioned.current_version(spark, root)
+    wanted = [(row.directory, row.files) for row in chosen.select("directory", files.alias("files")).collect()]
     if not wanted:
-        return version
+        return versioned.current_version(spark, root)
+
+    def log(event: str, error: str | None = None) -> None:
+        if log_path is not None:
+            now = datetime.now(UTC).replace(tzinfo=None)
+            events = [(run_id, directory, event, now, error) for directory, _ in wanted]
+            append_log(spark.createDataFrame(events, COMPACTION_LOG), log_path, "event_ts")
+
+    log(STARTED)
+    try:
+        version = _rewrite(spark, wanted, root, partition_cols, sort_by)
+    except Exception as error:
+        log(FAILED, str(error))
+        raise
+    log(FINISHED)
+    return version
+
+
+def _rewrite(
+    spark: SparkSession,
+    wanted: list[tuple[str, int]],
+    root: str,
+    partition_cols: Sequence[str],
+    sort_by: Sequence[str],
+) -> int:
+    """Stage, check and publish the new folders.
+
+    Only the planned folders are read.  A large one is spread over as many tasks as
+    it gets files, so no task holds a whole partition.
+    """
+    version = versioned.current_version(spark, root)
     plan = spark.createDataFrame(wanted, "directory string, _files int")
     if len(wanted) <= MAX_BROADCAST_FOLDERS:
         plan = F.broadcast(plan)

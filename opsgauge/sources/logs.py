@@ -23,6 +23,11 @@ MAINTENANCE_LOG = (
     "event string, event_ts timestamp_ntz, error_message string"
 )
 
+# The same for a folder that is compacted.
+COMPACTION_LOG = (
+    "run_id string, directory string, event string, event_ts timestamp_ntz, error_message string"
+)
+
 
 def append_log(rows: DataFrame, path: str, at: str) -> None:
     """Add rows to the log at ``path`` under the day of their ``at`` column."""

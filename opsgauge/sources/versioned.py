@@ -38,7 +38,7 @@ def manifest(spark: SparkSession, root: str, version: int | None = None) -> Data
 
 def directories(entries: DataFrame) -> list[str]:
     """Folders as a list: one per partition, as Spark's own file index keeps them."""
-    return sorted(row.directory for row in entries.select("directory").toLocalIterator())
+    return sorted(row.directory for row in entries.select("directory").collect())
 
 
 def read_current(spark: SparkSession, root: str, folders: Sequence[str] | None = None) -> DataFrame:

@@ -11,9 +11,12 @@ from opsgauge import session
 from opsgauge.operators import compaction as compaction_module
 from opsgauge.operators import latency
 from opsgauge.operators.compaction import compact
+from opsgauge.operators.maintenance import MaintenanceSettings, maintenance_state
+from opsgauge.plans.compaction import compaction_plan
 from opsgauge.session import working_path
 from opsgauge.sources import versioned
 from opsgauge.sources.layout import data_files, layout_stats
+from opsgauge.sources.logs import COMPACTION_LOG, read_log
 from opsgauge.streaming.latency import ProbeParams, run_probe, start_monitor, stream_latency
 from tests.helpers import executed, rows
 
@@ -94,8 +97,12 @@ def test_a_failed_compaction_is_not_published(spark, monkeypatch):
     stats = layout_stats(versioned.current_files(spark, root), 1 << 30, ["k", "n"])
     real = versioned.stage
     monkeypatch.setattr(versioned, "stage", lambda df, *rest: real(df.where("id % 7 <> 0"), *rest))
+    log_path = working_path(spark, "log")
     with pytest.raises(RuntimeError, match="stays current"):
-        compact(spark, stats, root, ["k", "n"], 1 << 30)
+        compact(spark, stats, root, ["k", "n"], 1 << 30, log_path=log_path, run_id="r")
+    state = maintenance_state(read_log(spark, log_path, COMPACTION_LOG), ("run_id", "directory"))
+    assert {(row.status, row.durationSeconds) for row in state.collect()} == {("FAILED", -1)}
+    assert all("stays current" in row.errorMessage for row in state.collect()) and state.count() == 4
     assert versioned.current_version(spark, root) == 1
     assert versioned.read_current(spark, root).count() == 4000
     monkeypatch.undo()
@@ -103,6 +110,21 @@ def test_a_failed_compaction_is_not_published(spark, monkeypatch):
     assert versioned.read_current(spark, root).count() == 4000
 
 
+def test_compaction_plan(spark):
+    root = _root(spark)
+    files = versioned.current_files(spark, root)
+    settings = MaintenanceSettings(min_size=1, order_by="range_scan_count")
+    reads = files.select("directory", (F.col("n") * 10).alias("range_scan_count")).distinct()
+    plan = compaction_plan(files, 1 << 30, ["k", "n"], settings, reads).orderBy("priority").collect()
+    assert [row.n for row in plan] == [1, 1, 0, 0] and {row.fragmentation for row in plan} == {100.0}
+    latest = compaction_plan(files, 1 << 30, ["k", "n"], latest_by="n")
+    assert {row.n for row in latest.collect()} == {0}
+    assert compaction_plan(files, 1, ["k", "n"]).count() == 0
+    small = MaintenanceSettings(min_size=1, order_by="page_count", minutes=1)
+    hurried = compaction_plan(files, 1 << 30, ["k", "n"], small, bytes_per_second=1)
+    assert [row.priority for row in hurried.collect()] == [1]
+
+
 def test_the_working_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
     class Context:
         master = "yarn"
