@@ -23,7 +23,7 @@ from opsgauge.session import working_path
 from opsgauge.sources import versioned
 from opsgauge.sources.layout import layout_stats
 from opsgauge.sources.logs import COMPACTION_LOG, MAINTENANCE_LOG, append_log, read_log
-from opsgauge.streaming.latency import ProbeParams, run_probe, stream_latency
+from opsgauge.streaming.latency import ProbeParams, run_probe, stream_latency, stream_session
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -570,26 +570,25 @@ def latency_stream(spark, sf):
     ends with a delivered token of a later hour, which is not part of the result.
     """
     source, out, checkpoint = (working_path(spark, name) for name in ("stream-in", "stream-out", "stream-state"))
-    streams = {}
-    for name, moment in (("posts", "post_ts"), ("receipts", "seen_ts")):
-        rows = adapter(spark, sf, name)
-        if name == "receipts":
-            rows = rows.withColumn("seen_ts", F.coalesce("subscriber_ts", "distributor_ts"))
-        kinds = [
-            F.col(field.name).cast("timestamp") if field.name.endswith("_ts") else F.col(field.name)
-            for field in rows.schema.fields
-        ]
-        rows = rows.select(*kinds)
-        end = rows.agg(F.max(moment).alias("_end")).select(
-            *[
-                (F.col("_end") + F.expr("INTERVAL 1 HOUR")).alias(field.name) if field.name == moment
-                else (F.lit(-1) if field.name == "tracer_id" else F.lit(None)).cast(field.dataType).alias(field.name)
-                for field in rows.schema.fields
-            ]
-        )
-        rows.unionByName(end).write.parquet(f"{source}/{name}")
-        streams[name] = spark.readStream.schema(rows.schema).parquet(f"{source}/{name}")
     params = ProbeParams(bounded=True)
+    session, streams = stream_session(spark, params), {}
+    posts, receipts = adapter(spark, sf, "posts"), adapter(spark, sf, "receipts")
+    inputs = {
+        "posts": posts,
+        "receipts": receipts.withColumn("seen_ts", F.coalesce("subscriber_ts", "distributor_ts")),
+    }
+    last = posts.agg((F.max("post_ts") + F.expr("INTERVAL 1 HOUR")).alias("last"))
+    for name, rows in inputs.items():
+        event_time = "post_ts" if name == "posts" else "seen_ts"
+        values = {event_time: F.col("last"), "tracer_id": F.lit(-1)}
+        end = last.select(
+            *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+        )
+        timed = rows.unionByName(end).withColumns(
+            {f.name: F.col(f.name).cast("timestamp") for f in rows.schema.fields if f.name.endswith("_ts")}
+        )
+        timed.write.parquet(f"{source}/{name}")
+        streams[name] = session.readStream.schema(timed.schema).parquet(f"{source}/{name}")
     running = (
         stream_latency(**streams, params=params)
         .writeStream.format("parquet")

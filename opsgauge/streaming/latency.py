@@ -10,18 +10,21 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from opsgauge.operators.latency import append_monitor, latency_columns
+from opsgauge.session import RECOMMENDED_CONF
 
 
 @dataclass(frozen=True)
 class ProbeParams:
     """Cadence of a probe: the wait for a token, the time between rounds and their number.
 
-    ``bounded`` makes one pass over what is there instead of rounds.
+    ``bounded`` makes one pass over what is there instead of rounds.  The state is
+    kept in ``state_partitions`` parts, one per core by default; a checkpoint
+    keeps their number for good.
     """
 
     replication_delay: str = "30 seconds"
@@ -29,11 +32,22 @@ class ProbeParams:
     iterations: int = 5
     iteration_seconds: int = 30
     bounded: bool = False
+    state_partitions: int | None = None
 
     def trigger(self) -> dict:
         return {"availableNow": True} if self.bounded else {"processingTime": f"{self.iteration_seconds} seconds"}
 
 
+def stream_session(spark: SparkSession, params: ProbeParams = ProbeParams()) -> SparkSession:
+    """A session of the same application whose settings suit the stream."""
+    session = spark.newSession()
+    partitions = params.state_partitions or spark.sparkContext.defaultParallelism
+    session.conf.set("spark.sql.shuffle.partitions", partitions)
+    for key in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.session.timeZone"):
+        session.conf.set(key, RECOMMENDED_CONF[key])
+    return session
+
+
 def stream_latency(posts: DataFrame, receipts: DataFrame, params: ProbeParams = ProbeParams()) -> DataFrame:
     """Latencies of streamed tokens; unmatched ones come out with NULLs.
 
