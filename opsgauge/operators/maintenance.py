@@ -137,8 +137,8 @@ def prioritize(
     order: str = "DESC",
     keys: Sequence[str] = UNIT,
 ) -> DataFrame:
-    """Number the units in work order; ties go by key."""
-    return ranked(candidates, _work_order(by, order, keys), rank="priority")
+    """Number the units in work order."""
+    return ranked(candidates, work_order(by, order, keys), rank="priority")
 
 
 def within_budget(
@@ -309,7 +309,8 @@ def whole_seconds(start: Column, end: Column) -> Column:
     return F.unix_seconds(end.cast("timestamp")) - F.unix_seconds(start.cast("timestamp"))
 
 
-def _work_order(by: str, order: str, keys: Sequence[str]) -> list[Column]:
+def work_order(by: str, order: str, keys: Sequence[str] = UNIT) -> list[Column]:
+    """Sort columns of the work queue; ties go by key."""
     if by not in ORDER_COLUMNS:
         raise ValueError(f"order by one of {', '.join(ORDER_COLUMNS)}")
     if order.upper() not in ("ASC", "DESC"):

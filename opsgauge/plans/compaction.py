@@ -7,7 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsgauge.operators.maintenance import MaintenanceSettings, prioritize, scan_candidates, within_budget
+from opsgauge.operators.maintenance import (
+    MaintenanceSettings,
+    prioritize,
+    scan_candidates,
+    within_budget,
+    work_order,
+)
 from opsgauge.sources.layout import layout_stats
 
 UNIT = ("directory",)
@@ -50,8 +56,11 @@ def compaction_plan(
         latest = stats.agg(F.max(latest_by).alias(latest_by), F.min(latest_by).alias("_first"))
         latest = latest.where(F.col(latest_by) > F.col("_first")).select(latest_by)
         described = described.join(latest, latest_by, "left_anti")
-    queue = prioritize(described.withColumn("action", F.lit("REBUILD")), chosen.order_by, chosen.order, UNIT)
+    decided = described.withColumn("action", F.lit("REBUILD"))
     if bytes_per_second is None:
-        return queue
+        return prioritize(decided, chosen.order_by, chosen.order, UNIT)
+    # One ranking gives both the place in the queue and the time before it.
     seconds = F.ceil(F.col("total_bytes") / bytes_per_second)
-    return within_budget(queue, seconds, chosen.minutes, pause_seconds=chosen.pause_seconds)
+    order = work_order(chosen.order_by, chosen.order, UNIT)
+    started = within_budget(decided, seconds, chosen.minutes, order, chosen.pause_seconds)
+    return started.withColumnRenamed("position", "priority")
