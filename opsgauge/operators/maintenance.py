@@ -176,24 +176,28 @@ def choose_action(
     reorganisation, which needs page locks; the others, and indexes without
     page locks, are rebuilt, which large objects and partitions rule out.
     """
+    flags = index_flags(partitions, columns, indexes)
+    flagged = candidates.join(flags, list(INDEX), "left").withColumns(
+        {
+            "partition_count": F.coalesce("partition_count", F.lit(0).cast("bigint")),
+            "has_lob": F.coalesce("has_lob", F.lit(False)),
+            "page_locks_off": F.coalesce("page_locks_off", F.lit(False)),
+        }
+    )
+    return flagged.withColumn("action", action_for(rebuild_threshold))
+
+
+def index_flags(partitions: DataFrame, columns: DataFrame, indexes: DataFrame) -> DataFrame:
+    """What decides about an index, one row each: partitions, page locks, large objects.
+
+    Put together before the units are joined, so that they are shuffled once and an
+    index with very many units meets one row only.
+    """
     counts = partitions.groupBy(*INDEX).agg(F.count(F.lit(1)).alias("partition_count"))
+    locks = indexes.groupBy(*INDEX).agg(F.max(~F.col("allow_page_locks")).alias("page_locks_off"))
     is_lob = F.col("system_type_id").isin(*LOB_TYPE_IDS) | (F.col("max_length") == -1)
     lobs = columns.where(is_lob).select(*OBJECT).distinct().withColumn("has_lob", F.lit(True))
-    unlocked = indexes.where(~F.col("allow_page_locks")).select(*INDEX).distinct()
-    unlocked = unlocked.withColumn("page_locks_off", F.lit(True))
-    flagged = (
-        candidates.join(counts, list(INDEX), "left")
-        .join(unlocked, list(INDEX), "left")
-        .join(lobs, list(OBJECT), "left")
-        .withColumns(
-            {
-                "partition_count": F.coalesce("partition_count", F.lit(0).cast("bigint")),
-                "has_lob": F.coalesce("has_lob", F.lit(False)),
-                "page_locks_off": F.coalesce("page_locks_off", F.lit(False)),
-            }
-        )
-    )
-    return flagged.withColumn("action", action_for(rebuild_threshold))
+    return counts.join(locks, list(INDEX), "full_outer").join(lobs, list(OBJECT), "left")
 
 
 def action_for(rebuild_threshold: float) -> Column:

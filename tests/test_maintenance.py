@@ -254,3 +254,38 @@ def test_plan_numbers_every_unit_once(spark, sf):
     fragmentation = [row.fragmentation for row in plan]
     assert fragmentation == sorted(fragmentation, reverse=True)
     assert {row.action for row in plan} <= {"REORGANIZE", "REBUILD", "SKIP"}
+
+
+def test_a_lob_counts_for_indexes_without_partitions(spark):
+    """A unit whose index is in neither catalog has no flags, one with a lock setting has them."""
+    candidates = _units(spark, [(2, 1, 1), (4, 1, 1)]).withColumn("fragmentation", F.lit(40.0))
+    columns = spark.createDataFrame(
+        [("s", 1, 2, 35, 16)], "server string, database_id int, object_id long, system_type_id int, max_length int"
+    )
+    indexes = spark.createDataFrame(
+        [("s", 1, 2, 1, True)], "server string, database_id int, object_id long, index_id int, allow_page_locks boolean"
+    )
+    got = m.choose_action(candidates, _units(spark, []), columns, indexes)
+    assert rows(got, "object_id", "partition_count", "has_lob", "page_locks_off", "action") == [
+        (2, 0, True, False, "REORGANIZE"),
+        (4, 0, False, False, "REBUILD"),
+    ]
+
+
+def test_a_hot_index_is_decided_like_any_other(spark):
+    """One index holds nearly all units."""
+    units = spark.range(100_000).select(
+        F.lit("s").alias("server"),
+        F.lit(1).alias("database_id"),
+        F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(1).alias("object_id"),
+        F.lit(1).alias("index_id"),
+        F.col("id").cast("int").alias("partition_number"),
+        (F.col("id") % 60).cast("double").alias("fragmentation"),
+    )
+    columns = spark.createDataFrame([], "server string, database_id int, object_id long, system_type_id int, max_length int")
+    indexes = units.select("server", "database_id", "object_id", "index_id").distinct()
+    indexes = indexes.withColumn("allow_page_locks", F.lit(True))
+    got = m.choose_action(units, units, columns, indexes).groupBy("action").count()
+    # Single-partition indexes are rebuilt when heavily fragmented, the hot one never.
+    heavy = sum(1 for i in range(0, 100_000, 100) if i % 60 >= 30)
+    assert dict(rows(got)) == {"REBUILD": heavy, "REORGANIZE": 100_000 - heavy}
