@@ -6,7 +6,7 @@ the shared adapters.
 
 from __future__ import annotations
 
-from checks.adapters import with_adapters
+from opsgauge.checks.adapters import with_adapters
 
 ORACLE: dict[str, str] = {}
 

@@ -8,7 +8,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.adapters import TABLES, adapter, table
+from opsgauge.checks.adapters import TABLES, adapter, table
 from opsgauge.functions.calendar import weekdays
 from opsgauge.operators import audit, fleet, jobs, latency, maintenance, usage
 from opsgauge.operators.compaction import compact

@@ -71,6 +71,9 @@ def ranked(
             {f"_inner_{name}": F.coalesce(F.sum(f"_value_{name}").over(piece), F.lit(0)) for name in totals}
         )
 
+    if groups:
+        # Many groups make this a table of its own; it is counted and joined, so computed once.
+        carried = checkpointed(carried)
     joined = _null_safe_join(placed, _small_or_same(carried), [_PART, *groups])
     return joined.select(
         *[column(name) for name in df.columns],

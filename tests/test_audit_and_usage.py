@@ -5,8 +5,8 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from checks.adapters import adapter
-from checks.queries import QUERIES, _definition_inputs
+from opsgauge.checks.adapters import adapter
+from opsgauge.checks.queries import QUERIES, _definition_inputs
 from opsgauge.functions.statements import create_index_statement, describe_index, drop_statement
 from opsgauge.operators import audit, fleet, usage
 from opsgauge.sources.catalog import latest_snapshot

@@ -6,7 +6,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from checks.adapters import adapter
+from opsgauge.checks.adapters import adapter
 from opsgauge import session
 from opsgauge.operators import compaction as compaction_module
 from opsgauge.operators import latency

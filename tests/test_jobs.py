@@ -70,7 +70,7 @@ def test_weekday_bit():
     assert [weekday_bit(date(2024, 1, day)) for day in range(7, 14)] == [1, 2, 4, 8, 16, 32, 64]
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.datetimes(datetime(1990, 1, 1), datetime(2100, 1, 1)).map(lambda d: d.replace(microsecond=0)))
 def test_packed_datetime_round_trip(spark, moment):
     day, time = int(f"{moment:%Y%m%d}"), int(f"{moment:%H%M%S}")

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from checks.adapters import adapter
+from opsgauge.checks.adapters import adapter
 from opsgauge.operators import maintenance as m
 from opsgauge.plans.maintenance import maintenance_plan
 from tests.helpers import executed, rows
@@ -148,7 +148,7 @@ def test_budget_golden(spark):
     assert rows(paused, "priority", "seconds_before") == [(1, 0)]
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.integers(0, 50), min_size=1, max_size=30), st.integers(1, 200))
 def test_budget_takes_a_prefix(spark, costs, budget):
     queue = spark.createDataFrame(list(enumerate(costs)), "priority int, cost int")

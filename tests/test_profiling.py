@@ -40,7 +40,7 @@ def test_required_bytes_golden(spark):
     assert _required(spark, cases, compat=True) == [original for _, _, _, original in GOLDEN]
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(
     st.lists(st.integers(-(2**62), 2**62), min_size=2, max_size=30),
     st.integers(0, 255),

@@ -6,8 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from checks.adapters import ADAPTERS, TABLES, adapter, with_adapters
-from checks.comparing import compare
+from opsgauge.checks.adapters import ADAPTERS, TABLES, adapter, with_adapters
+from opsgauge.checks.comparing import compare
 from tests.helpers import executed
 
 QUERIES = entry.queries()

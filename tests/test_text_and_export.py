@@ -50,7 +50,7 @@ def test_split_in_sql(spark, sf):
     assert "Exchange" not in executed(got) and "Join" not in executed(got)
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.text(alphabet="abc é\\.", min_size=1).filter(lambda s: s.strip(" ")), min_size=1, max_size=8))
 def test_split_undoes_join(spark, parts):
     joined = "|".join(parts)
