@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from opsgauge.functions.text import column
 from opsgauge.session import checkpointed
 
-# Carry-over rows that are sent to every task; more are joined by shuffle.
-MAX_BROADCAST_ROWS = 20_000
+# Size of a carry-over that is sent to every task; a larger one is joined by shuffle.
+MAX_BROADCAST_BYTES = 64 * 1024**2
 
 _ROW, _PART, _FIRST, _BEFORE = "_row", "_part", "_first", "_before"
 
@@ -71,10 +71,12 @@ def ranked(
             {f"_inner_{name}": F.coalesce(F.sum(f"_value_{name}").over(piece), F.lit(0)) for name in totals}
         )
 
-    if groups:
-        # Many groups make this a table of its own; it is counted and joined, so computed once.
-        carried = checkpointed(carried)
-    joined = _null_safe_join(placed, _small_or_same(carried), [_PART, *groups])
+    # Many groups make this a table of its own; it is measured and joined, so computed once.
+    carried = checkpointed(carried)
+    if _stored_bytes(carried, groups) <= MAX_BROADCAST_BYTES:
+        # Few groups, or none: saves the shuffle of all rows.
+        carried = F.broadcast(carried)
+    joined = _null_safe_join(placed, carried, [_PART, *groups])
     return joined.select(
         *[column(name) for name in df.columns],
         (F.col(_ROW) - F.col(_FIRST) + F.col(_BEFORE) + 1).alias(rank),
@@ -94,16 +96,12 @@ def top_in_groups(
     return df.withColumn(rank, F.row_number().over(window).cast("bigint")).where(F.col(rank) <= k)
 
 
-def _small_or_same(carried: DataFrame) -> DataFrame:
-    """The carry-over as a broadcast table if it has few rows, else unchanged.
-
-    It has a row per sorted partition and group met in it: few without groups or
-    with few of them, which then saves the shuffle of all rows.
-    """
-    head = carried.take(MAX_BROADCAST_ROWS + 1)
-    if len(head) > MAX_BROADCAST_ROWS:
-        return carried
-    return F.broadcast(carried.sparkSession.createDataFrame(head, carried.schema))
+def _stored_bytes(carried: DataFrame, groups: Sequence[str]) -> int:
+    """Size of the carry-over: a row per sorted partition and group met in it."""
+    row_size = F.lit(100)
+    for name in groups:
+        row_size = row_size + F.coalesce(F.octet_length(column(name).cast("string")), F.lit(0))
+    return carried.agg(F.sum(row_size)).first()[0] or 0
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -36,11 +36,11 @@ def _expected(data, grouped):
     return result
 
 
-@pytest.mark.parametrize("limit", [20_000, 10])
+@pytest.mark.parametrize("limit", [1 << 20, 10])
 @pytest.mark.parametrize("grouped", [True, False])
 def test_rank_and_total(spark, monkeypatch, grouped, limit):
     """With a small and with a large carry-over."""
-    monkeypatch.setattr(ordering, "MAX_BROADCAST_ROWS", limit)
+    monkeypatch.setattr(ordering, "MAX_BROADCAST_BYTES", limit)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         df = _skewed(spark)
