@@ -108,14 +108,13 @@ def near_duplicates(
     bands: int = BANDS,
     band_values: int = BAND_VALUES,
 ) -> DataFrame:
-    """One row per document: ``id, text_key, n_shingles, component_id, n_links, first``.
+    """One row per document: ``id, text_key, n_shingles, component_id, first``.
 
     Documents whose sets of word shingles have ``percent`` of their union in common are
     linked; a component is what links reach.  ``component_id`` is its smallest id, ``first``
-    tells whether the row names its component, ``n_links`` counts the confirmed links of
-    its class of equal sets.  Equal sets are one node, so copies never form pairs; members of a shared
-    band are first compared with one of them, and pairs are formed only between
-    members that are still apart.
+    tells whether the row names its component.  Equal sets are one node, so copies never form
+    pairs; members of a shared band are first compared with one of them, and pairs are formed only
+    between members that are still apart.
 
     NULL text, empty text and blanks: no shingles, linked with nothing.  Fewer words than a
     shingle: the whole sequence is one.  NULL ids come last and name a component only if
@@ -135,19 +134,12 @@ def near_duplicates(
         .agg(F.min(named).alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     )
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    links = written(_links(docs, id_column, text_column, nodes, shingle_words, percent), "confirmed")
-    roots = components(links)
-    ends = links.select(F.col("a").alias("node")).union(links.select("b"))
-    degrees = ends.groupBy("node").agg(F.count("*").alias("n_links"))
-    placed = written(
-        nodes.select("node", "key1", "key2", "first")
-        .join(roots, "node", "left")
-        .join(degrees, "node", "left")
-        .select("key1", "key2", "first", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
-        "placed",
-    )
-    leaders = written(placed.groupBy("root").agg(F.min("first").alias("leader")), "leaders")
-    classes = placed.join(leaders, "root").select("key1", "key2", "n_links", "leader")
+    roots = _roots(docs, id_column, text_column, nodes, shingle_words, percent)
+    placed = nodes.select("node", "key1", "key2", "first").join(roots, "node", "left")
+    placed = placed.select("key1", "key2", "first", F.coalesce("root", "node").alias("root"))
+    placed = written(placed, "placed", nodes.count())
+    leaders = written(placed.groupBy("root").agg(F.min("first").alias("leader")), "leaders", placed.count())
+    classes = placed.join(leaders, "root").select("key1", "key2", "leader")
     return (
         signed.select("id", "text_key", "n", "key1", "key2")
         .join(classes, ["key1", "key2"], "left")
@@ -156,7 +148,6 @@ def near_duplicates(
             "text_key",
             F.col("n").alias("n_shingles"),
             F.when(F.col("leader").isNull(), F.col("id")).otherwise(F.col("leader.id")).alias("component_id"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
             (
                 F.col("leader").isNull()
                 | (F.col("id").eqNullSafe(F.col("leader.id")) & (F.col("text_key") == F.col("leader.text_key")))
@@ -165,10 +156,30 @@ def near_duplicates(
     )
 
 
-def _links(
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, the one of the smallest id; columns unchanged.
+
+    Of rows with equal id and text one stays, too; texts without words are no duplicates.
+    """
+    found = near_duplicates(docs, id_column, text_column, **options)
+    found = written(found.select(F.col("id").alias("id0"), F.col("text_key").alias("key0"), "first", "n_shingles"), "decided")
+    gone = written(found.filter("NOT first").select("id0", "key0").distinct(), "gone")
+    again = found.filter("first AND n_shingles > 0").groupBy("id0", "key0").agg(F.count("*").alias("n")).filter("n > 1")
+    again = written(again.select("id0", "key0"), "again")
+    same = col(id_column).eqNullSafe(F.col("id0")) & (text_key(col(text_column)) == F.col("key0"))
+    kept = docs.join(small(gone, 24), same, "left_anti")
+    if again.isEmpty():
+        return kept
+    [key] = fresh(docs.columns, "key")
+    once = kept.join(small(again, 24), same, "left_semi").withColumn(key, text_key(col(text_column)))
+    once = once.dropDuplicates([id_column, key]).drop(key)
+    return kept.join(small(again, 24), same, "left_anti").union(once)
+
+
+def _roots(
     docs: DataFrame, id_column: str, text_column: str, nodes: DataFrame, shingle_words: int, percent: int
 ) -> DataFrame:
-    """Confirmed links ``a, b`` between nodes, enough to join all that similar candidates join."""
+    """``node, root``: the components that links between similar nodes make."""
     listed = nodes.select("node", F.explode("bands").alias("bucket"))
     pivots = written(
         listed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1"),
@@ -193,42 +204,52 @@ def _links(
     sets = written(texts.select("node", _set_reader(shingle_words)("body").alias("grams")), "sets")
 
     # Each member with the pivot it shares most bands with; others only if still apart.
+    rows = members.count()
     shared = members.filter("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("times"))
     best = shared.groupBy("node").agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("pivot"))
-    links = written(_confirmed(best.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets, percent), "confirmed")
+    best = best.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    links = written(_confirmed(best, sets, percent), "confirmed", rows)
+    roots = components(links)
     turn, before = 0, None
     while True:
-        placed = members.select("bucket", "node").join(components(links), "node", "left")
-        placed = written(placed.select("bucket", "node", F.coalesce("root", "node").alias("root")), "placed")
-        groups = written(
-            placed.groupBy("bucket", "root").agg(
-                F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot")
-            ),
-            "groups",
+        placed = members.select("bucket", "node").join(roots, "node", "left")
+        placed = written(placed.select("bucket", "node", F.coalesce("root", "node").alias("root")), "placed", rows)
+        dice = F.xxhash64("pivot", F.lit(turn))
+        groups = placed.groupBy("bucket", "root").agg(
+            F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot")
         )
         size = F.col("size").cast("double")
         apart = groups.groupBy("bucket").agg(
             F.count("*").alias("groups"),
             F.sum("size").alias("size"),
             ((F.sum(size) * F.sum(size) - F.sum(size * size)) / 2).alias("pairs"),
-            F.min_by("pivot", F.xxhash64("pivot", F.lit(turn))).alias("pivot"),
-            F.min_by("root", F.xxhash64("pivot", F.lit(turn))).alias("pivot_root"),
+            F.min_by(F.struct("pivot", "root"), dice).alias("star"),
         )
-        apart = written(apart.filter("groups > 1"), "apart")
-        rows, pairs = apart.agg(F.sum("size"), F.sum("pairs")).first()
-        if not rows:
-            return links.distinct()
+        apart = written(apart.filter("groups > 1"), "apart", rows)
+        in_apart, pairs = apart.agg(F.sum("size"), F.sum("pairs")).first()
+        if not in_apart:
+            return roots
+        rest = placed.join(apart.select("bucket", "star.*").toDF("bucket", "pivot", "pivot_root"), "bucket")
         if pairs <= 4 * rows or (before is not None and pairs > 0.7 * before):
             break
         # Many pairs are apart: compare all with one more member, which joins most of a true group.
-        star = placed.join(apart.select("bucket", "pivot", "pivot_root"), "bucket").filter("root != pivot_root")
+        star = rest.filter("root != pivot_root")
         star = star.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        links = written(links.union(_confirmed(star, sets, percent)), "confirmed")
+        found = written(_confirmed(star, sets, percent), "confirmed", rows)
+        roots = _joined_roots(roots, found)
         turn, before = turn + 1, pairs
-    rest = placed.join(apart.select("bucket"), "bucket")
+    # What is still apart is compared pair by pair.
+    rest = written(rest.select("bucket", "node", "root"), "rest", rows)
     other = rest.select("bucket", F.col("node").alias("node2"), F.col("root").alias("root2"))
-    apart_pairs = rest.join(other, "bucket").filter("root < root2").select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    return links.union(_confirmed(apart_pairs.distinct(), sets, percent)).distinct()
+    pairs = rest.join(other, "bucket").filter("root < root2")
+    pairs = pairs.select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct()
+    found = written(_confirmed(pairs, sets, percent), "confirmed", rows)
+    return _joined_roots(roots, found)
+
+
+def _joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of known ones (``node, root``) and more links (``a, b``)."""
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links.select("a", "b")))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

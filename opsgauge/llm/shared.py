@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,27 +17,41 @@ MAX_BROADCAST_BYTES = 32 * 1024**2
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 
+# Narrow rows that make a file worth its task.
+ROWS_PER_FILE = 100_000
+
 _written: list[str] = []
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, rows: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back.
 
     Fixes its rows and cuts the lineage: a lost executor loses nothing that was written.
+    If it is known to have at most ``rows`` narrow rows, it is written in files of some size.
     """
+    if rows is not None:
+        df = df.coalesce(max(8, rows // ROWS_PER_FILE))
     path = working_path(df.sparkSession, purpose)
     df.write.parquet(path)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Remove the intermediate tables; call it when the results made of them are stored."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+def written_paths() -> list[str]:
+    """The intermediate tables written so far and not dropped."""
+    return list(_written)
+
+
+def drop_written(spark: SparkSession, paths: list[str], reader: DataFrame | None = None) -> None:
+    """Remove intermediate tables, once the results made of them are stored; those that ``reader`` reads are kept."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    needed = reader.inputFiles() if paths and reader is not None else []
+    for path in paths:
+        name = path.rstrip("/").rsplit("/", 1)[-1]
+        if path in _written and not any(f"/{name}/" in file for file in needed):
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+            _written.remove(path)
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
@@ -65,3 +82,19 @@ def fresh(taken: list[str], *names: str) -> list[str]:
 def col(name: str) -> Column:
     """A column by its literal name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker it is asked for in."""
+    return sys.modules.setdefault("worker_cache", types.ModuleType("worker_cache")).__dict__
+
+
+def word_array(text: Column) -> Column:
+    """The words of a text, parted by runs of blanks; none for NULL and blank texts."""
+    trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_RUN))
+
+
+def word_count(text: Column) -> Column:
+    """The number of words of a text."""
+    return F.size(word_array(text)).cast("bigint")
