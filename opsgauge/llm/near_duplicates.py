@@ -23,6 +23,11 @@ SHINGLE_WORDS = 5
 # 32 bands of 5 values: a pair at similarity 0.8 is missed with a probability of 3e-6.
 BANDS, BAND_VALUES = 32, 5
 SIMILAR_PERCENT = 80
+# Members of a bucket that all others are compared with in a round; rounds go on while
+# there are more pairs for each member than may be compared in blocks.
+STARS, BLOCK_PAIRS = 3, 2000
+# A bucket with more pairs for each member is compared in blocks of so many members.
+LIGHT_PAIRS, BLOCK_ROWS = 2, 256
 
 _SIGNED = "struct<n:bigint,key1:bigint,key2:bigint,bands:array<bigint>>"
 
@@ -180,13 +185,7 @@ def _roots(
     docs: DataFrame, id_column: str, text_column: str, nodes: DataFrame, shingle_words: int, percent: int
 ) -> DataFrame:
     """``node, root``: the components that links between similar nodes make."""
-    listed = nodes.select("node", F.explode("bands").alias("bucket"))
-    pivots = written(
-        listed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1"),
-        "pivots",
-    )
-    members = written(listed.join(pivots.select("bucket", "pivot"), "bucket"), "members")
-
+    members = _members(nodes.select("node", F.explode("bands").alias("bucket")))
     involved = written(
         members.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", "first.*"),
         "involved",
@@ -203,48 +202,121 @@ def _roots(
     )
     sets = written(texts.select("node", _set_reader(shingle_words)("body").alias("grams")), "sets")
 
-    # Each member with the pivot it shares most bands with; others only if still apart.
-    rows = members.count()
-    shared = members.filter("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("times"))
+    # Two bands together hold mostly documents that are truly similar: these join first.
+    fine = F.transform(F.sequence(F.lit(0), F.size("bands") - 2, F.lit(2)), lambda at: F.xxhash64(F.get("bands", at), F.get("bands", at + 1), at))
+    close = nodes.join(involved.select("node"), "node", "left_semi").filter(F.size("bands") > 1)
+    close = _members(close.select("node", F.explode(fine).alias("bucket")))
+    rows = close.count()
+    shared = close.filter("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("times"))
     best = shared.groupBy("node").agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("pivot"))
     best = best.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    links = written(_confirmed(best, sets, percent), "confirmed", rows)
-    roots = components(links)
-    turn, before = 0, None
+    roots = components(written(_confirmed(best, sets, percent), "confirmed", rows))
+    # Then all that share a band.
+    roots, apart = _star_rounds(members, roots, sets, percent)
+    if apart is None:
+        return roots
+    rows = apart.count()
+    light = apart.filter("pairs <= size * " + str(LIGHT_PAIRS)).select("bucket", "node", "root")
+    other = light.select("bucket", F.col("node").alias("node2"), F.col("root").alias("root2"))
+    pairs = light.join(other, "bucket").filter("root < root2")
+    pairs = pairs.select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct()
+    found = _confirmed(pairs, sets, percent)
+    found = found.union(_block_links(apart.filter("pairs > size * " + str(LIGHT_PAIRS)), sets, percent))
+    return _joined_roots(roots, written(found, "confirmed", rows))
+
+
+def _block_links(heavy: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join what is apart in buckets with many pairs: every two blocks of members are compared in a task.
+
+    A task holds two blocks and returns at most one link for each of their members.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
+    rows = heavy.select("bucket", "node", "root", F.explode(cells).alias("cell")).join(sets, "node")
+    rows = rows.select("bucket", "cell.*", "node", "root", "grams")
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes, roots = table["node"].to_numpy(), table["root"].to_numpy()
+        grams = table["grams"].combine_chunks()
+        values, cuts = grams.values.to_numpy(zero_copy_only=False), grams.offsets.to_numpy()
+        sizes = np.diff(cuts)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        _, place, times = np.unique(values[cuts[0] : cuts[-1]], return_inverse=True, return_counts=True)
+        # What only one set has adds nothing to an intersection.
+        number = np.cumsum(times > 1) - 1
+        shared = times[place] > 1
+        owner, place = owner[shared], number[place[shared]]
+        both = np.zeros((len(sizes), len(sizes)), np.float32)
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], place[order]
+        for low in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+            part = slice(*np.searchsorted(place, [low, low + 4096]))
+            has = np.zeros((len(sizes), 4096), np.float32)
+            has[owner[part], place[part] - low] = 1
+            both += has @ has.T
+        both = both.astype(np.int64)
+        alike = both * 100 >= (sizes[:, None] + sizes[None, :] - both) * percent
+        alike &= roots[:, None] != roots[None, :]
+        found: dict[int, int] = {}
+
+        def top(root: int) -> int:
+            while root in found:
+                root = found[root]
+            return root
+
+        links = []
+        for x, y in zip(*np.nonzero(np.triu(alike, 1)), strict=True):
+            a, b = top(int(roots[x])), top(int(roots[y]))
+            if a != b:
+                found[max(a, b)] = min(a, b)
+                links.append((int(nodes[x]), int(nodes[y])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
+def _members(listed: DataFrame) -> DataFrame:
+    """The rows of ``node, bucket`` whose bucket has more than one node, with its smallest as ``pivot``."""
+    pivots = listed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
+    return written(listed.join(written(pivots.select("bucket", "pivot"), "pivots"), "bucket"), "members")
+
+
+def _star_rounds(
+    members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """Compare the members of a bucket with some of them, until few enough pairs are apart or no more join.
+
+    The new roots, and ``bucket, node, root, size, pairs`` of the buckets whose members are still apart.
+    """
+    rows, before, turn = members.count(), None, 0
     while True:
         placed = members.select("bucket", "node").join(roots, "node", "left")
         placed = written(placed.select("bucket", "node", F.coalesce("root", "node").alias("root")), "placed", rows)
-        dice = F.xxhash64("pivot", F.lit(turn))
         groups = placed.groupBy("bucket", "root").agg(
             F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot")
         )
         size = F.col("size").cast("double")
+        stars = [F.min_by(F.struct("pivot", "root"), F.xxhash64("pivot", F.lit(turn), F.lit(at))) for at in range(STARS)]
         apart = groups.groupBy("bucket").agg(
             F.count("*").alias("groups"),
             F.sum("size").alias("size"),
             ((F.sum(size) * F.sum(size) - F.sum(size * size)) / 2).alias("pairs"),
-            F.min_by(F.struct("pivot", "root"), dice).alias("star"),
+            F.array_distinct(F.array(F.max_by(F.struct("pivot", "root"), "size"), *stars)).alias("stars"),
         )
         apart = written(apart.filter("groups > 1"), "apart", rows)
         in_apart, pairs = apart.agg(F.sum("size"), F.sum("pairs")).first()
         if not in_apart:
-            return roots
-        rest = placed.join(apart.select("bucket", "star.*").toDF("bucket", "pivot", "pivot_root"), "bucket")
-        if pairs <= 4 * rows or (before is not None and pairs > 0.7 * before):
-            break
-        # Many pairs are apart: compare all with one more member, which joins most of a true group.
-        star = rest.filter("root != pivot_root")
-        star = star.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        found = written(_confirmed(star, sets, percent), "confirmed", rows)
+            return roots, None
+        if pairs <= BLOCK_PAIRS * rows or (before is not None and pairs > 0.8 * before):
+            rest = placed.join(apart.select("bucket", "size", "pairs"), "bucket")
+            return roots, written(rest, "rest", rows)
+        star = placed.join(apart.select("bucket", "stars"), "bucket")
+        star = star.select("node", "root", F.explode("stars").alias("star")).filter("root != star.root")
+        star = star.select(F.greatest("node", "star.pivot").alias("a"), F.least("node", "star.pivot").alias("b"))
+        found = written(_confirmed(star.distinct(), sets, percent), "confirmed", rows)
         roots = _joined_roots(roots, found)
         turn, before = turn + 1, pairs
-    # What is still apart is compared pair by pair.
-    rest = written(rest.select("bucket", "node", "root"), "rest", rows)
-    other = rest.select("bucket", F.col("node").alias("node2"), F.col("root").alias("root2"))
-    pairs = rest.join(other, "bucket").filter("root < root2")
-    pairs = pairs.select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct()
-    found = written(_confirmed(pairs, sets, percent), "confirmed", rows)
-    return _joined_roots(roots, found)
 
 
 def _joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
