@@ -206,23 +206,21 @@ def _roots(
     fine = F.transform(F.sequence(F.lit(0), F.size("bands") - 2, F.lit(2)), lambda at: F.xxhash64(F.get("bands", at), F.get("bands", at + 1), at))
     close = nodes.join(involved.select("node"), "node", "left_semi").filter(F.size("bands") > 1)
     close = _members(close.select("node", F.explode(fine).alias("bucket")))
-    rows = close.count()
     shared = close.filter("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("times"))
     best = shared.groupBy("node").agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("pivot"))
     best = best.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    roots = components(written(_confirmed(best, sets, percent), "confirmed", rows))
+    roots = components(written(_confirmed(best, sets, percent), "confirmed"))
     # Then all that share a band.
     roots, apart = _star_rounds(members, roots, sets, percent)
     if apart is None:
         return roots
-    rows = apart.count()
     light = apart.filter("pairs <= size * " + str(LIGHT_PAIRS)).select("bucket", "node", "root")
     other = light.select("bucket", F.col("node").alias("node2"), F.col("root").alias("root2"))
     pairs = light.join(other, "bucket").filter("root < root2")
     pairs = pairs.select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct()
     found = _confirmed(pairs, sets, percent)
     found = found.union(_block_links(apart.filter("pairs > size * " + str(LIGHT_PAIRS)), sets, percent))
-    return _joined_roots(roots, written(found, "confirmed", rows))
+    return _joined_roots(roots, written(found, "confirmed"))
 
 
 def _block_links(heavy: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -314,7 +312,7 @@ def _star_rounds(
         star = placed.join(apart.select("bucket", "stars"), "bucket")
         star = star.select("node", "root", F.explode("stars").alias("star")).filter("root != star.root")
         star = star.select(F.greatest("node", "star.pivot").alias("a"), F.least("node", "star.pivot").alias("b"))
-        found = written(_confirmed(star.distinct(), sets, percent), "confirmed", rows)
+        found = written(_confirmed(star.distinct(), sets, percent), "confirmed")
         roots = _joined_roots(roots, found)
         turn, before = turn + 1, pairs
 

@@ -23,8 +23,8 @@ SYMBOLS = "[#*$%&|<>]"
 CLASSES = ["lower", "blank", "upper", "digit", "other", "symbol", "mark"]
 REPEAT_WINDOW = 5
 
-MIN_CHARS, MIN_WORDS = 200, 50
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.45
+MIN_CHARS, MIN_WORDS = 200, 100
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.27, 0.27
 
 
 def _repeat_words(wins: Column) -> Column:

@@ -1,0 +1,113 @@
+from __future__ import annotations
+
+import random
+import re
+from datetime import date, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from opsgauge.llm.pii import KINDS, feistel, pseudonymized
+
+
+def luhn(digits):
+    total = 0
+    for at, c in enumerate(reversed(re.sub(r"\D", "", digits))):
+        d = int(c) * (1 + at % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def card(rng, size=16):
+    body = "".join(rng.choices("0123456789", k=size - 1))
+    return next(body + c for c in "0123456789" if luhn(body + c))
+
+
+def run(spark, texts, key="k"):
+    rows = spark.createDataFrame([(at, text, 1, "m") for at, text in enumerate(texts)], "doc_id bigint, text string, pii int, matches string")
+    return {row.doc_id: row for row in pseudonymized(rows, key).collect()}
+
+
+def shape(text):
+    return re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", text)))
+
+
+VALID = {
+    "card": ["4111111111111111", "4111-1111-1111-1111", "3782 822463 10005", "6011000990139424"],
+    "phone": ["+1 (017) 555-7713", "+49 170 555 1234", "(212) 555-0198", "212-555-0198"],
+    "ssn": ["078-05-1120", "899-99-9999", "001-01-0001", "667-50-0001"],
+    "date": ["1999-12-31", "2000-02-29", "31.12.1999", "01/02/2003"],
+    "ip": ["10.0.0.1", "255.255.255.255", "192.168.010.1"],
+    "email": ["John.Doe77@mail2.example.com", "a@b.org"],
+    "iban": ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"],
+}
+INVALID = ["4111111111111112", "000-12-3456", "666-12-3456", "123-00-4567", "1999-02-30", "31.06.1999", "256.1.1.1", "DE89370400440532013001", "2020-13-01"]
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_valid_values_change_inside_their_format(spark, kind):
+    values = VALID[kind]
+    found = run(spark, [f"before {value} after {value}!" for value in values])
+    for at, value in enumerate(values):
+        m = re.fullmatch(r"before (.+) after (.+)!", found[at].text)
+        assert m[1] == m[2] != value
+        assert {x.kind: x.n for x in found[at].pii if x.n} == {kind: 2}
+        if kind == "ip":
+            assert all(int(x) < 256 for x in m[1].split("."))
+        else:
+            assert shape(m[1]) == shape(value)
+        if kind == "card":
+            assert luhn(m[1])
+        if kind == "iban":
+            plain = m[1].replace(" ", "")
+            assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+        if kind == "date":
+            iso = m[1] if "-" in value else "-".join(reversed(re.split(r"\D", m[1])))
+            assert date.fromisoformat(iso)
+        if kind == "email":
+            assert m[1].split("@")[1] == value.split("@")[1]
+        if kind == "phone" and value.startswith("+"):
+            assert m[1].split(" ")[0] == value.split(" ")[0]
+
+
+def test_invalid_values_and_other_text_stay(spark):
+    texts = [f"x {value} y" for value in INVALID] + ["12345678901234567890123", "a@b", "1.2.3", "été 日本", "", None, "version 1.2.3.4.5", "10-20-30"]
+    found = run(spark, texts)
+    assert [found[at].text for at in range(len(texts))] == texts
+    assert all(x.n == 0 for row in found.values() for x in row.pii)
+
+
+def test_equal_values_are_linked_and_different_ones_stay_different(spark):
+    rng = random.Random(1)
+    cards = [card(rng, rng.choice([13, 15, 16, 19])) for _ in range(200)]
+    found = run(spark, [f"{value} and {value}" for value in cards] + [" ".join(cards)])
+    new = [found[at].text.split(" and ") for at in range(200)]
+    assert all(a == b and luhn(a) for a, b in new)
+    assert found[200].text.split(" ") == [a for a, _ in new]
+    assert len({a for a, _ in new}) == len(set(cards))
+    other = run(spark, [cards[0]], key="another")
+    assert other[0].text != new[0][0]
+
+
+@pytest.mark.parametrize(("rows", "columns"), [(1, 1), (1, 7), (17, 43), (30, 30)])
+def test_feistel_is_a_permutation(spark, rows, columns):
+    numbers = spark.range(rows * columns).select(feistel(F.col("id"), rows, columns, "key", "t").alias("x")).collect()
+    assert sorted(row.x for row in numbers) == list(range(rows * columns))
+
+
+def test_all_dates_of_a_year_stay_distinct(spark):
+    days = [date(2004, 1, 1) + timedelta(days=at) for at in range(366)]
+    found = run(spark, [" ".join(map(str, days))])[0].text.split(" ")
+    assert len(set(found)) == 366 and all("1900-01-01" <= x <= "2099-12-31" for x in found)
+
+
+def test_matches_at_the_edges_and_long_text(spark):
+    long = "word " * 200_000 + "4111111111111111"
+    found = run(spark, ["4111111111111111", "10.0.0.1 10.0.0.2", long, long, "x" * 500_000])
+    assert luhn(found[0].text) and found[0].text != "4111111111111111"
+    assert found[2].text == found[3].text == "word " * 200_000 + found[0].text
+    assert found[4].text == "x" * 500_000 and found[1].text.count(".") == 6
+
+
+def test_empty_table(spark):
+    assert pseudonymized(spark.createDataFrame([], "text string"), "k").count() == 0
