@@ -41,12 +41,19 @@ def _once(value: Column, function) -> Column:
     return F.get(F.transform(F.array(value), function), F.lit(0))
 
 
-def _noise(key: str, tweak: str, turn: int, value: Column) -> Column:
+def _noise(key: str, turn: int, value: Column) -> Column:
     """A keyed pseudo-random number of 60 bits."""
-    text = F.concat_ws("|", F.lit(key), F.lit(tweak), F.lit(turn), value.cast("string"))
+    text = F.concat_ws("|", F.lit(key), F.lit(turn), value)
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
 
 
+def _shift(turn: int, key: str, tweaked, rows: Column, columns: Column):
+    """One Feistel round on a pair: by turns, a moves by a function of b and b by one of a."""
+    if turn % 2 == 0:
+        return lambda p: F.struct(F.pmod(p["a"] + _noise(key, turn, tweaked(p["b"])), rows).alias("a"), p["b"].alias("b"))
+    return lambda p: F.struct(p["a"].alias("a"), F.pmod(p["b"] + _noise(key, turn, tweaked(p["a"])), columns).alias("b"))
+
+
 def feistel(value: Column, rows: int | Column, columns: int | Column, key: str, tweak: str) -> Column:
     """A keyed permutation of the numbers below ``rows`` x ``columns``.
 
@@ -58,10 +65,7 @@ def feistel(value: Column, rows: int | Column, columns: int | Column, key: str,
     value = value.cast("bigint")
     pair = F.struct(_div(value, wide).cast("bigint").alias("a"), F.pmod(value, wide).alias("b"))
     for turn in range(ROUNDS):
-        if turn % 2 == 0:
-            pair = _once(pair, lambda p, turn=turn: F.struct(F.pmod(p["a"] + _noise(key, tweak, turn, p["b"]), high).alias("a"), p["b"].alias("b")))
-        else:
-            pair = _once(pair, lambda p, turn=turn: F.struct(p["a"].alias("a"), F.pmod(p["b"] + _noise(key, tweak, turn, p["a"]), wide).alias("b")))
+        pair = _once(pair, _shift(turn, key, lambda x: F.concat_ws("/", F.lit(tweak), x), high, wide))
     return _once(pair, lambda p: p["a"] * wide + p["b"])
 
 
@@ -87,20 +91,7 @@ def _permuted_digits(digits: Column, key: str, tweak: str) -> Column:
     )
     own = F.concat(F.lit(tweak), F.length(digits).cast("string"))
     for turn in range(ROUNDS):
-        if turn % 2 == 0:
-            pair = _once(
-                pair,
-                lambda p, turn=turn: F.struct(
-                    F.pmod(p["a"] + _noise(key, tweak, turn, F.concat_ws("/", own, p["b"])), power(half)).alias("a"), p["b"].alias("b")
-                ),
-            )
-        else:
-            pair = _once(
-                pair,
-                lambda p, turn=turn: F.struct(
-                    p["a"].alias("a"), F.pmod(p["b"] + _noise(key, tweak, turn, F.concat_ws("/", own, p["a"])), power(rest)).alias("b")
-                ),
-            )
+        pair = _once(pair, _shift(turn, key, lambda x: F.concat_ws("/", own, x), power(half), power(rest)))
     return _once(pair, lambda p: F.concat(F.when(half > 0, F.lpad(p["a"].cast("string"), half, "0")).otherwise(""), F.lpad(p["b"].cast("string"), rest, "0")))
 
 
@@ -193,7 +184,7 @@ def _shifted(text: Column, by: Column, key: str, turn: int) -> Column:
     """Letters and digits of ``text`` moved within their own kind, by a function of ``by`` and their place."""
 
     def moved(c: Column, at: Column) -> Column:
-        step = _noise(key, "email", turn, F.concat_ws("/", by, at.cast("string")))
+        step = _noise(key, turn, F.concat_ws("/", F.lit("email"), by, at))
         code = F.ascii(c)
 
         def ring(first: int, size: int) -> Column:
@@ -209,11 +200,14 @@ def _email(text: Column, key: str) -> Column:
     local, host = F.substring_index(text, "@", 1), F.substring_index(text, "@", -1)
     half = F.floor(F.length(local) / 2).cast("int")
     pair = F.struct(F.substring(local, F.lit(1), half).alias("a"), F.substring(local, half + 1, F.length(local)).alias("b"))
-    for turn in range(4):
+
+    def moved(turn: int):
         if turn % 2 == 0:
-            pair = _once(pair, lambda p, turn=turn: F.struct(p["a"].alias("a"), _shifted(p["b"], p["a"], key, turn).alias("b")))
-        else:
-            pair = _once(pair, lambda p, turn=turn: F.struct(_shifted(p["a"], p["b"], key, turn).alias("a"), p["b"].alias("b")))
+            return lambda p: F.struct(p["a"].alias("a"), _shifted(p["b"], p["a"], key, turn).alias("b"))
+        return lambda p: F.struct(_shifted(p["a"], p["b"], key, turn).alias("a"), p["b"].alias("b"))
+
+    for turn in range(4):
+        pair = _once(pair, moved(turn))
     return _once(pair, lambda p: F.concat(p["a"], p["b"], F.lit("@"), host))
 
 

@@ -55,6 +55,10 @@ def _repeat_words(wins: Column) -> Column:
     return F.when(F.size(F.array_distinct(wins)) == F.size(wins), F.lit(0).cast("bigint")).otherwise(count)
 
 
+def _count_in(values: str, wanted: list[str]) -> Column:
+    return F.size(F.filter(values, lambda value: value.isin(wanted))).cast("bigint")
+
+
 def quality_profile(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", name: str = "profile") -> DataFrame:
     """``docs`` with a column ``name`` of counts: words, characters, repeats and the two histograms.
 
@@ -91,8 +95,8 @@ def quality_profile(docs: DataFrame, text_column: str = "text", lang_column: str
     chars = [sizes[at] - sizes[at + 1] for at in range(6)] + [sizes[6]]
     common = F.lit(None).cast("array<bigint>")
     for lang, listed in COMMON_WORDS.items():
-        counts = [F.size(F.filter(hits, lambda w, word=word: w == word)).cast("bigint") for word in listed]
-        all_common = F.size(F.filter(hits, lambda w, listed=listed: w.isin(listed)))
+        counts = [_count_in(hits, [word]) for word in listed]
+        all_common = _count_in(hits, listed)
         common = F.when(col(lang_column) == lang, F.array(*counts, (n - all_common).cast("bigint"))).otherwise(common)
     profile = F.struct(
         n.cast("bigint").alias("n_words"),
