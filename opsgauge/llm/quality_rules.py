@@ -143,7 +143,9 @@ def js_distance(p: Column, q: Column) -> Column:
         return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
 
     terms = F.zip_with(shares(p), shares(q), lambda x, y: F.when(x.isNotNull() & y.isNotNull(), part(x, y) + part(y, x)))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
+    total = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+    # Rounding can make it slightly negative.
+    return F.sqrt(F.when(total > 0, total / 2).when(total <= 0, F.lit(0.0)))
 
 
 def quality_rules(

@@ -42,7 +42,7 @@ def test_histograms(spark):
     row = quality_profile(docs_of(spark, [(1, "The the of OF x1 Ünd #a.\n", "en")])).first()
     assert row["text"].startswith("The") and row["t"] == 1 and row["words"] == "x"
     assert row["profile"]["common"] == [2, 1] + [0] * 10 + [4]
-    assert row["profile"]["chars"] == [10, 7, 3, 1, 1, 1, 1]
+    assert row["profile"]["chars"] == [11, 7, 3, 1, 1, 1, 1]
 
 
 def test_other_text_is_far_and_short_text_is_not_judged(spark):
