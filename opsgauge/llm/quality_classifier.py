@@ -22,10 +22,11 @@ from opsgauge.llm.wordhash import LOWER, chunks, windows
 BUCKETS = 1 << 17
 # Labelled rows used at most, the ones with the smallest hashes of their id.
 MAX_LABELS = 20_000
-# Counts added to what is seen and to what is expected: rare words weigh nothing.
-SHRINKAGE = 4.0
+# Counts added to what is seen and to what is expected, and the least absolute log ratio that is
+# more than noise: rare and indifferent n-grams weigh nothing.
+SHRINKAGE, MIN_RATIO = 2.0, 1.0
 # Share of labelled good documents that the cut may lose.
-LOSS = 0.002
+LOSS = 0.005
 # 1 draws exactly by importance; towards 0 the draw becomes a plain top-k.
 TEMPERATURE = 0.1
 
@@ -104,6 +105,7 @@ def fit_importance(
     buckets: int = BUCKETS,
     max_labels: int = MAX_LABELS,
     shrinkage: float = SHRINKAGE,
+    min_ratio: float = MIN_RATIO,
     loss: float = LOSS,
 ) -> ImportanceModel:
     """Count the target and the raw model and choose the cut.
@@ -114,7 +116,8 @@ def fit_importance(
     bad; a NULL quality is no label.  Without good labels every ratio and the cut are 0.
     """
     plain = docs.select(col(id_column).alias("id"), col(text_column).alias("text"))
-    marked = _labelled(plain, labels.withColumnRenamed(id_column, "id"), "id", max_labels)
+    labels = labels.select(col(id_column).alias("id"), "quality", "toxic")
+    marked = _labelled(plain, labels, "id", max_labels)
     counted = marked.withColumn("chosen", F.coalesce(F.col("good") & F.col("fit"), F.lit(False)))
     raw, target = np.zeros(2 * buckets), np.zeros(2 * buckets)
     # At most 2 x buckets rows.
@@ -124,7 +127,8 @@ def fit_importance(
     for part in (slice(0, buckets), slice(buckets, None)):
         if target[part].sum():
             expected = raw[part] * (target[part].sum() / raw[part].sum())
-            ratios[part] = np.log((target[part] + shrinkage) / (expected + shrinkage))
+            logs = np.log((target[part] + shrinkage) / (expected + shrinkage))
+            ratios[part] = np.where(np.abs(logs) < min_ratio, 0.0, logs)
     model = ImportanceModel(ratios, 0.0)
     if not target.sum():
         return model
@@ -220,5 +224,6 @@ def keep_best(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", **o
         col(options.pop("text_column", "text")).alias("text"),
         F.struct(*[col(name) for name in docs.columns]).alias(inner),
     )
-    kept = resample(packed, labels.withColumnRenamed(id_column, "id"), "id", "text", **options).filter("kept")
+    labels = labels.select(col(id_column).alias("id"), "quality", "toxic")
+    kept = resample(packed, labels, "id", "text", **options).filter("kept")
     return kept.select(*[col(inner)[name].alias(name) for name in docs.columns])
