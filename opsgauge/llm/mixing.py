@@ -121,17 +121,18 @@ def plan_mix(
     state = state.withColumn("base", F.least(F.floor(F.col("rate") + 1e-9), F.lit(max_rate)).cast("bigint"))
     missing = F.greatest(F.col("target") - F.col("base") * F.col("source_size"), F.lit(0.0))
     state = written(state.withColumn("missing", missing), "mix")
+    sources = state.count()
     for at in range(PASSES):
-        state = _with_prefix(rows, state, at)
+        state = _with_prefix(rows, state, at, sources)
     return Mix(state, PASSES)
 
 
-def _with_prefix(rows: DataFrame, state: DataFrame, at: int) -> DataFrame:
+def _with_prefix(rows: DataFrame, state: DataFrame, at: int, sources: int) -> DataFrame:
     """``state`` with the prefix of pass ``at`` of each source, and what is missing after it."""
     # What fits: anything at first, then only documents no larger than what is missing.
     largest = F.lit(float("inf")) if at == 0 else F.col("missing")
     names = {f"high{at}": F.lit(0).cast("bigint"), f"low{at}": F.lit(0).cast("bigint"), f"fits{at}": largest}
-    state = written(state.withColumns(names).withColumn("open", F.col("missing") > 0), "mix")
+    state = written(state.withColumns(names).withColumn("open", F.col("missing") > 0), "mix", sources)
     left = rows
     for level in range(2 * _HALF_LEVELS):
         half, shift = ("high", "low")[level // _HALF_LEVELS], _LEVEL_BITS * (_HALF_LEVELS - 1 - level % _HALF_LEVELS)
@@ -158,7 +159,7 @@ def _with_prefix(rows: DataFrame, state: DataFrame, at: int) -> DataFrame:
             F.max("until").alias("all"),
         )
         ends = ends.select(F.col("source").alias("source0"), "end", "all")
-        joined = state.join(small(written(ends, "ends"), 64), F.col("source").eqNullSafe(F.col("source0")), "left")
+        joined = state.join(small(written(ends, "ends", sources), 64), F.col("source").eqNullSafe(F.col("source0")), "left")
         fits_all = F.col("open") & F.col("end").isNull()
         inside = F.col("open") & F.col("end").isNotNull()
         place = F.shiftleft(F.col("end.part").cast("bigint"), shift)
@@ -171,7 +172,7 @@ def _with_prefix(rows: DataFrame, state: DataFrame, at: int) -> DataFrame:
             .otherwise(F.col("missing")),
             "open": inside & (F.col("end.n") > 1),
         }
-        state = written(joined.withColumns(changed).drop("source0", "end", "all"), "mix")
+        state = written(joined.withColumns(changed).drop("source0", "end", "all"), "mix", sources)
         if not state.filter("open").count():
             break
     return state.drop("open")
