@@ -12,6 +12,7 @@ from opsgauge.session import working_path
 
 # A table is sent whole to every task only if its rows are known to fit in this.
 MAX_BROADCAST_BYTES = 32 * 1024**2
+ROW_OVERHEAD = 96
 
 # The blanks that separate words: space, tab, newline, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\f\r"
@@ -57,9 +58,10 @@ def drop_written(spark: SparkSession, paths: list[str], reader: DataFrame | None
 def small(df: DataFrame, row_bytes: int, limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows fit in ``limit``; else joined by shuffle.
 
-    ``df`` should be written or cheap: it is counted first.
+    ``row_bytes`` is the size of a row's values; its place in the hash table is added.  ``df`` should
+    be written or cheap: it is counted first.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    return F.broadcast(df) if df.count() * (row_bytes + ROW_OVERHEAD) <= limit else df
 
 
 def text_key(text: Column, *more: Column) -> Column:
