@@ -103,10 +103,11 @@ SELECT DISTINCT {_scope("s_suppkey")}, CAST(s_suppkey % 5 AS INT) AS data_space_
        'scheme_' || CAST(s_suppkey % 5 AS STRING) AS name
 FROM {{supplier}}""",
     "partition_functions": f"""
-SELECT DISTINCT {_scope("s_suppkey")}, CAST(s_suppkey % 5 AS INT) + 100 AS function_id,
+SELECT {_scope("s_suppkey % 25")}, CAST(s_suppkey % 5 AS INT) + 100 AS function_id,
        'function_' || CAST(s_suppkey % 5 AS STRING) AS name
 FROM {{supplier}}
-WHERE s_acctbal > 0""",
+GROUP BY s_suppkey % 25, s_suppkey % 5
+HAVING min(s_acctbal) < 9000""",
     "index_usage": f"""
 SELECT {_LINE_INDEX},
        count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS user_seeks,
@@ -140,8 +141,8 @@ SELECT {_scope("l_partkey")}, l_partkey AS object_id, 2 AS index_id,
        count(CASE WHEN l_shipdate >= TIMESTAMP '2001-06-01 00:00:00' AND l_returnflag = 'N' THEN 1 END) AS user_lookups,
        count(*) AS user_updates
 FROM {{lineitem}}
-WHERE l_shipdate >= TIMESTAMP '1999-01-01 00:00:00'
-GROUP BY l_partkey""",
+GROUP BY l_partkey
+HAVING max(l_shipdate) >= TIMESTAMP '2000-06-01 00:00:00'""",
     "part_partitions": f"""
 SELECT {_scope("p_partkey")}, p_partkey AS object_id, 2 AS index_id,
        p_partkey * 2 AS partition_id, CAST(p_size AS BIGINT) AS rows
@@ -179,6 +180,7 @@ SELECT {_scope("doc_id")}, doc_id AS plan_handle,
        CASE WHEN doc_id % 50 = 7 THEN '<ShowPlanXML><S><MissingIndex Database="d"/>'
             ELSE '<ShowPlanXML xmlns="http://schemas.example.org/showplan"><S source="' || source || '" chars="'
                  || CAST(n_chars AS STRING) || '">'
+                 || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
                  || CASE doc_id % 3 WHEN 0 THEN '<MissingIndex Database="d"/>' WHEN 1 THEN 'no MissingIndex here' ELSE '' END
                  || '</S></ShowPlanXML>' END AS query_plan
 FROM {{documents}}""",
@@ -221,27 +223,43 @@ FROM {events}""",
     "maintenance_log": f"""
 SELECT CAST(CAST(day(ts) AS INT) AS STRING) AS run_id, {_scope("user_id")},
        user_id AS object_id, CAST(event_id % 6 AS INT) AS index_id, event_id AS partition_number,
-       'started' AS event, ts AS event_ts, CAST(NULL AS STRING) AS error_message
+       'started' AS event, ts AS event_ts, CAST(NULL AS STRING) AS error_message,
+       'db' || CAST(user_id % 25 AS STRING) AS databaseName, 'user_' || CAST(user_id AS STRING) AS objectName,
+       'ix_' || CAST(event_id % 6 AS STRING) AS indexName, value AS fragmentation, event_id % 50 AS page_count,
+       'ALTER INDEX ix_' || CAST(event_id % 6 AS STRING) AS sql_statement
 FROM {{events}}
 UNION ALL
 SELECT CAST(CAST(day(ts) AS INT) AS STRING) AS run_id, {_scope("user_id")},
        user_id AS object_id, CAST(event_id % 6 AS INT) AS index_id, event_id AS partition_number,
        CASE WHEN event_type = 'error' THEN 'failed' ELSE 'finished' END AS event,
        ts + INTERVAL 1 SECOND * CAST(event_id % 97 AS INT) AS event_ts,
-       CASE WHEN event_type = 'error' THEN props END AS error_message
+       CASE WHEN event_type = 'error' THEN props END AS error_message,
+       CAST(NULL AS STRING) AS databaseName, CAST(NULL AS STRING) AS objectName, CAST(NULL AS STRING) AS indexName,
+       CAST(NULL AS DOUBLE) AS fragmentation, CAST(NULL AS BIGINT) AS page_count, CAST(NULL AS STRING) AS sql_statement
 FROM {{events}}
 WHERE event_type <> 'signup'""",
-    "posts": """
-SELECT event_type AS publication, event_id AS tracer_id, ts AS post_ts
+    "tokens": """
+SELECT CASE WHEN user_id % 2 = 0 THEN 'east' ELSE 'west' END AS server, event_type AS publication,
+       CAST(row_number() OVER (PARTITION BY user_id % 2, event_type ORDER BY event_id) AS BIGINT) AS tracer_id,
+       event_id, user_id, ts
 FROM {events}""",
+    "posts": """
+SELECT server, publication, tracer_id, ts AS post_ts
+FROM {tokens}""",
     "receipts": """
-SELECT event_id AS tracer_id, 'sub' || CAST(user_id % 5 AS STRING) AS subscriber,
+SELECT server, publication, tracer_id, 'sub' || CAST(user_id % 5 AS STRING) AS subscriber,
        'db' || CAST(user_id % 3 AS STRING) AS subscriber_db,
        ts + INTERVAL 1 SECOND * CAST(event_id % 7 AS INT) AS distributor_ts,
-       CASE WHEN event_type <> 'signup'
+       CASE WHEN publication <> 'signup'
             THEN ts + INTERVAL 1 SECOND * CAST(event_id % 7 + event_id % 13 AS INT) END AS subscriber_ts
-FROM {events}
-WHERE event_type <> 'error'""",
+FROM {tokens}
+WHERE publication <> 'error'
+UNION ALL
+SELECT server, publication, tracer_id, 'mirror' AS subscriber, 'db9' AS subscriber_db,
+       ts + INTERVAL 1 SECOND * CAST(event_id % 7 AS INT) AS distributor_ts,
+       ts + INTERVAL 1 SECOND * CAST(event_id % 7 + event_id % 5 AS INT) AS subscriber_ts
+FROM {tokens}
+WHERE publication = 'view'""",
     "fleet_columns": """
 SELECT 'srv' || CAST(p_partkey % 20 AS STRING) AS server,
        'db' || CAST(CAST(floor(p_partkey / 20) AS BIGINT) % 3 AS STRING) AS database,

@@ -135,6 +135,7 @@ SELECT doc_id, CASE WHEN NOT {_unsafe("text")} THEN text END AS text,
 FROM {{documents}}"""
 ORACLE["export_delimited_files"] = """
 SELECT c_custkey, CASE WHEN contains(c_name, '#') THEN '~~~~~' ELSE c_name END AS c_name, c_nationkey,
+       CAST(c_acctbal AS DECIMAL(18, 2)) AS c_acctbal,
        CASE WHEN NOT contains(c_mktsegment, '#') THEN c_mktsegment END AS c_mktsegment
 FROM {customer}"""
 ORACLE["render_inserts_part"] = """
@@ -147,9 +148,9 @@ SELECT 'INSERT INTO mart.tmp_part ("p_partkey","p_name","p_brand","p_type","p_si
        || coalesce(CAST(CAST(p_retailprice AS DECIMAL(18, 2)) AS VARCHAR), 'NULL') || ');' AS sql_statement
 FROM {part}"""
 ORACLE["render_inserts_events"] = """
-SELECT 'INSERT INTO mart.tmp_events ("event_id","ts","event_type","props") VALUES ('
-       || CAST(event_id AS VARCHAR) || ',''' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || ''','''
-       || event_type || ''',' || CASE WHEN event_type <> 'view' THEN '''' || replace(props, '''', '''''') || ''''
+SELECT 'INSERT INTO mart.tmp_events ("event_id","ts","user_id","event_type","value","props") VALUES ('
+       || CAST(event_id AS VARCHAR) || ',''' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || ''','
+       || CAST(user_id AS VARCHAR) || ',''' || event_type || ''',' || CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR) || ',' || CASE WHEN event_type <> 'view' THEN '''' || replace(props, '''', '''''') || ''''
                                       ELSE 'NULL' END || ');' AS sql_statement
 FROM {events}"""
 
@@ -185,21 +186,20 @@ SELECT server, database, "table", column_id, type, {_target_type(False)} AS targ
 FROM {{fleet_columns}}"""
 
 
-def _ddl(target: str, name: str, compat: bool) -> str:
+def _ddl(target: str, compat: bool) -> str:
     return f"""
+SELECT *, count(*) OVER (PARTITION BY target_table) AS same_target FROM (
 SELECT server, database, "table", {target} AS target_table,
        'CREATE TABLE ' || {target} || '('
-       || string_agg('"' || {name} || '" ' || {_target_type(compat)} || {_NULL_CLAUSE}, ',' ORDER BY column_id)
+       || string_agg('"' || name || '" ' || {_target_type(compat)} || {_NULL_CLAUSE}, ',' ORDER BY column_id)
        || ');' AS ddl_statement,
        'DELETE FROM ' || {target} || ';' AS truncate_statement
 FROM {{fleet_columns}}
-GROUP BY server, database, "table\""""
+GROUP BY server, database, "table")"""
 
 
-ORACLE["ddl_from_catalog"] = _ddl(
-    """'mart.tmp_' || substr("table", strpos("table", '.') + 1, 26)""", "substr(name, 1, 30)", False
-)
-ORACLE["ddl_compat"] = _ddl("'mart.landing'", "name", True)
+ORACLE["ddl_from_catalog"] = _ddl("""'mart."' || server || '.' || database || '.' || "table" || '"'""", False)
+ORACLE["ddl_compat"] = _ddl("""'mart.tmp_' || substr("table", strpos("table", '.') + 1, 26)""", True)
 
 _LISTS = """
 SELECT i.server, i.database_id, i.object_id, i.index_id,
@@ -233,7 +233,7 @@ LEFT JOIN placed AS p USING (server, database_id, data_space_id)"""
 
 def _definitions(where: str = "TRUE") -> str:
     return f"""
-SELECT x.server AS serverName, d.name AS databaseName, o.name AS tableName, x.name AS indexName,
+SELECT x.server AS serverName, d.name AS databaseName, coalesce(s.name, '') AS schemaName, o.name AS tableName, x.name AS indexName,
        x.type_desc AS indexType,
        coalesce(string_agg(c.name || CASE WHEN i.is_descending_key THEN ' DESC' ELSE '' END, ', '
                            ORDER BY i.key_ordinal, i.column_id)
@@ -246,6 +246,7 @@ SELECT x.server AS serverName, d.name AS databaseName, o.name AS tableName, x.na
 FROM {{indexes}} AS x
 JOIN {{objects}} AS o USING (server, database_id, object_id)
 JOIN {{databases}} AS d USING (server, database_id)
+LEFT JOIN {{schemas}} AS s USING (server, database_id, schema_id)
 JOIN {{index_columns}} AS i USING (server, database_id, object_id, index_id)
 JOIN {{columns}} AS c USING (server, database_id, object_id, column_id)
 WHERE {where}
@@ -272,13 +273,15 @@ def _drift() -> str:
     return f"""
 WITH a AS ({environment["F"]}), b AS ({environment["O"]}),
 compared AS (
-    SELECT CASE WHEN a.tableName IS NULL THEN b.databaseName ELSE a.databaseName END AS databaseName,
+    SELECT coalesce(a.serverName, b.serverName) AS serverName, coalesce(a.databaseName, b.databaseName) AS databaseName,
+           coalesce(a.schemaName, b.schemaName) AS schemaName,
            CASE WHEN a.tableName IS NULL THEN b.tableName ELSE a.tableName END AS tableName,
            CASE WHEN a.tableName IS NULL THEN b.indexName ELSE a.indexName END AS indexName,
            CASE WHEN a.tableName IS NULL THEN 'added' WHEN b.tableName IS NULL THEN 'removed' ELSE 'changed' END AS change,
            CASE WHEN a.tableName IS NULL OR b.tableName IS NULL THEN ''
                 ELSE concat_ws(', ', {differing}) END AS changed_fields
-    FROM a FULL JOIN b ON a.databaseName = b.databaseName AND a.tableName = b.tableName
+    FROM a FULL JOIN b ON a.serverName = b.serverName AND a.databaseName = b.databaseName
+                      AND a.schemaName = b.schemaName AND a.tableName = b.tableName
                       AND coalesce(a.indexName, '') = coalesce(b.indexName, ''))
 SELECT * FROM compared WHERE change <> 'changed' OR changed_fields <> ''"""
 
@@ -440,7 +443,8 @@ def _quoted(name: str) -> str:
     return f"'[' || replace({name}, ']', ']]') || ']'"
 
 
-ORACLE["maintenance_actions"] = f"""
+def _commands(units: str) -> str:
+    return f"""
 SELECT *, CASE action
     WHEN 'REORGANIZE' THEN 'ALTER INDEX ' || indexName || ' ON ' || databaseName || '.' || schemaName || '.' || objectName
         || ' REORGANIZE' || CASE WHEN partition_count > 1 THEN ' PARTITION = ' || partition_number ELSE '' END
@@ -449,11 +453,27 @@ SELECT *, CASE action
 FROM (
     SELECT a.*, {_quoted("d.name")} AS databaseName, {_quoted("s.name")} AS schemaName,
            {_quoted("o.name")} AS objectName, {_quoted("x.name")} AS indexName
-    FROM ({_decided(_CANDIDATES)}) AS a
+    FROM ({units}) AS a
     LEFT JOIN {{objects}} AS o USING (server, database_id, object_id)
     LEFT JOIN {{schemas}} AS s USING (server, database_id, schema_id)
     LEFT JOIN {{indexes}} AS x USING (server, database_id, object_id, index_id)
     LEFT JOIN {{databases}} AS d USING (server, database_id))"""
+
+
+ORACLE["maintenance_actions"] = _commands(_decided(_CANDIDATES))
+# A run of 20 minutes: units take three seconds a page, a minute where not measured, and a pause.
+_RUN = _decided(f"SELECT * FROM ({_MASKED.replace('{units}', _CANDIDATES)}) WHERE page_count BETWEEN 8 AND 14")
+_UNIT_ORDER = "server, database_id, object_id, index_id, partition_number"
+ORACLE["maintenance_run"] = _commands(f"""
+SELECT * FROM (
+    SELECT *, row_number() OVER w AS priority,
+           CAST(coalesce(sum(est_seconds + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
+               AS seconds_before
+    FROM (
+        SELECT *, CASE WHEN index_id % 2 = 1 THEN page_count * 3 ELSE 60 END AS est_seconds
+        FROM ({_RUN}) WHERE action <> 'SKIP')
+    WINDOW w AS (ORDER BY range_scan_count DESC, {_UNIT_ORDER}))
+WHERE seconds_before < 1200""")
 ORACLE["maintenance_plan"] = f"""
 SELECT *, row_number() OVER (ORDER BY range_scan_count DESC, server, database_id, object_id, index_id, partition_number) AS priority
 FROM ({_decided(_MASKED.replace("{units}", ORACLE["maintenance_without_latest"]))})"""
@@ -480,7 +500,8 @@ SELECT s.run_id, s.server, s.database_id, s.object_id, s.index_id, s.partition_n
        CASE WHEN e.event IS NULL THEN 'RUNNING' WHEN e.event = 'finished' THEN 'DONE' ELSE 'FAILED' END AS status,
        s.event_ts AS dateTimeStart, e.event_ts AS dateTimeEnd,
        CASE WHEN e.event = 'failed' THEN -1 ELSE date_diff('second', s.event_ts, e.event_ts) END AS durationSeconds,
-       e.error_message AS errorMessage
+       e.error_message AS errorMessage,
+       s.databaseName, s.objectName, s.indexName, s.fragmentation, s.page_count, s.sql_statement
 FROM (SELECT * FROM {{maintenance_log}} WHERE event = 'started') AS s
 LEFT JOIN (SELECT * FROM {{maintenance_log}} WHERE event <> 'started') AS e USING ({_UNIT})"""
 ORACLE["maintenance_log_summary"] = (
@@ -496,8 +517,9 @@ ORACLE["layout_stats"] = """
 SELECT o_orderstatus AS status, CAST(6 AS BIGINT) AS page_count, CAST(100 AS DOUBLE) AS fragmentation, TRUE AS has_bytes
 FROM {orders} GROUP BY o_orderstatus"""
 ORACLE["compaction"] = """
-SELECT o_orderstatus AS status, count(*) AS orders, CAST(sum(o_orderkey) AS BIGINT) AS key_sum,
-       CAST(sum(o_custkey) AS BIGINT) AS customer_sum, TRUE AS not_more_files
+SELECT o_orderstatus AS status, CASE o_orderstatus WHEN 'F' THEN '001' WHEN 'O' THEN '1.50' ELSE '0' END AS code,
+       count(*) AS orders, CAST(sum(o_orderkey) AS BIGINT) AS key_sum,
+       CAST(sum(o_custkey) AS BIGINT) AS customer_sum, TRUE AS fewer_files
 FROM {orders} GROUP BY o_orderstatus"""
 ORACLE["compaction_plan"] = """
 SELECT 'r1' AS run_id, o_orderstatus AS status, CAST(6 AS BIGINT) AS page_count, CAST(100 AS DOUBLE) AS fragmentation,
@@ -597,16 +619,16 @@ _HOPS = """date_diff('second', post_ts, distributor_ts) AS distributor_latency,
        date_diff('second', distributor_ts, subscriber_ts) AS subscriber_latency,
        date_diff('second', post_ts, subscriber_ts) AS overall_latency"""
 _LATENCY = f"""
-SELECT publication, iteration, tracer_id, {_HOPS}
-FROM (SELECT *, row_number() OVER (PARTITION BY publication ORDER BY post_ts, tracer_id) AS iteration FROM {{posts}})
-LEFT JOIN {{receipts}} USING (tracer_id)"""
+SELECT server, publication, iteration, tracer_id, {_HOPS}
+FROM (SELECT *, row_number() OVER (PARTITION BY server, publication ORDER BY post_ts, tracer_id) AS iteration FROM {{posts}})
+LEFT JOIN {{receipts}} USING (server, publication, tracer_id)"""
 _NORMAL = """coalesce(distributor_latency, 0) AS distributor_latency, subscriber, subscriber_db,
        coalesce(subscriber_latency, 0) AS subscriber_latency,
        coalesce(overall_latency, coalesce(distributor_latency, 0) + coalesce(subscriber_latency, 0)) AS overall_latency"""
 ORACLE["token_latency"] = _LATENCY
-ORACLE["latency_batch"] = f"SELECT publication, iteration, tracer_id, {_NORMAL} FROM ({_LATENCY})"
+ORACLE["latency_batch"] = f"SELECT server, publication, iteration, tracer_id, {_NORMAL} FROM ({_LATENCY})"
 ORACLE["latency_history"] = f"""
-SELECT run.moment AS monitorDate, publication AS publicationName, 'publisher' AS publicationDB, iteration, tracer_id, {_NORMAL}
+SELECT run.moment AS monitorDate, server, publication AS publicationName, 'publisher' AS publicationDB, iteration, tracer_id, {_NORMAL}
 FROM ({_LATENCY})
 CROSS JOIN (VALUES (TIMESTAMP '2024-02-01 12:00:00'), (TIMESTAMP '2024-02-02 12:00:00')) AS run(moment)"""
 ORACLE["latency_purge"] = """
@@ -615,7 +637,8 @@ SELECT * FROM (
     FROM {posts})
 WHERE monitorDate >= TIMESTAMP '2024-01-15 12:00:00'"""
 ORACLE["latency_stream"] = f"""
-SELECT publication, tracer_id, {_HOPS} FROM {{posts}} LEFT JOIN {{receipts}} USING (tracer_id)"""
+SELECT server, publication, tracer_id, post_ts, {_HOPS}
+FROM {{posts}} LEFT JOIN {{receipts}} USING (server, publication, tracer_id)"""
 
 
 def oracle_sql() -> dict[str, str]:

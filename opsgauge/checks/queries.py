@@ -17,7 +17,7 @@ from opsgauge.operators.profiling import profile_columns, wasted_space, wasted_s
 from opsgauge.operators.splitting import filter_by_list, split_rows
 from opsgauge.operators.translation import generate_ddl, translate_types
 from opsgauge.plans.compaction import compaction_plan
-from opsgauge.plans.maintenance import maintenance_plan
+from opsgauge.plans.maintenance import maintenance_plan, maintenance_run
 from opsgauge.plans.missing_plans import log_missing_plans
 from opsgauge.session import working_path
 from opsgauge.sources import versioned
@@ -121,7 +121,7 @@ def export_sanitized(spark, sf):
 
 @query("export_delimited_files")
 def export_delimited_files(spark, sf):
-    customers = table(spark, sf, "customer").drop("c_acctbal")
+    customers = table(spark, sf, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
     clean = sanitize_for_export(customers, "#", not_null=["c_name"], widths={"c_name": 5})
     path = working_path(spark, "export")
     export_delimited(clean, path, "#")
@@ -132,15 +132,20 @@ def export_delimited_files(spark, sf):
 @query("render_inserts_part")
 def render_inserts_part(spark, sf):
     parts = table(spark, sf, "part").withColumn("p_retailprice", F.col("p_retailprice").cast("decimal(18,2)"))
-    return render_inserts(parts, "mart.tmp_part", top=None)
+    return render_inserts(parts, "mart.tmp_part")
 
 
 @query("render_inserts_events")
 def render_inserts_events(spark, sf):
     events = table(spark, sf, "events").select(
-        "event_id", "ts", "event_type", F.when(F.col("event_type") != "view", F.col("props")).alias("props")
+        "event_id",
+        "ts",
+        "user_id",
+        "event_type",
+        F.col("value").cast("decimal(18,2)").alias("value"),
+        F.when(F.col("event_type") != "view", F.col("props")).alias("props"),
     )
-    return render_inserts(events, "mart.tmp_events", top=None)
+    return render_inserts(events, "mart.tmp_events")
 
 
 # Schema translation
@@ -156,12 +161,12 @@ def translated_types(spark, sf):
 
 @query("ddl_from_catalog")
 def ddl_from_catalog(spark, sf):
-    return generate_ddl(adapter(spark, sf, "fleet_columns"), "mart", max_identifier=30)
+    return generate_ddl(adapter(spark, sf, "fleet_columns"), "mart")
 
 
 @query("ddl_compat")
 def ddl_compat(spark, sf):
-    return generate_ddl(adapter(spark, sf, "fleet_columns"), "mart", "landing", compat=True)
+    return generate_ddl(adapter(spark, sf, "fleet_columns"), "mart", compat=True)
 
 
 # Definition audit
@@ -184,7 +189,7 @@ def index_inventory(spark, sf):
 
 
 def _definition_inputs(spark, sf, **tables):
-    inputs = _inputs(spark, sf, "indexes", "index_columns", "columns", "databases", **tables)
+    inputs = _inputs(spark, sf, "indexes", "index_columns", "columns", "databases", "schemas", **tables)
     return {"tables": adapter(spark, sf, "objects"), **inputs}
 
 
@@ -387,6 +392,21 @@ def maintenance_plan_queue(spark, sf):
 
 
 
+@query("maintenance_run")
+def maintenance_run_queue(spark, sf):
+    """A run over the scanned fleet, with a table of what the units took and a budget in minutes."""
+    estimates = adapter(spark, sf, "index_physical").select(
+        "server", "database_id", "object_id", "index_id", "partition_number", (F.col("page_count") * 3).alias("est_seconds")
+    )
+    return maintenance_run(
+        **_inputs_as(spark, sf, physical="index_physical", operational="index_operational"),
+        **_inputs(spark, sf, "partitions", "columns", "indexes", "exclusions", "objects", "schemas", "databases"),
+        as_of=SUNDAY,
+        settings=maintenance.MaintenanceSettings(rebuild_threshold=50.0, max_size=14, minutes=20, pause_seconds=1),
+        estimates=estimates.where("index_id % 2 = 1"),
+    )
+
+
 @query("maintenance_budget")
 def maintenance_budget(spark, sf):
     units = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count(F.lit(1)).alias("size"))
@@ -405,7 +425,7 @@ def maintenance_budget_by_database(spark, sf):
 @query("maintenance_log_summary")
 def maintenance_log_summary(spark, sf):
     path = working_path(spark, "maintenance-log")
-    append_log(adapter(spark, sf, "maintenance_log"), path, "event_ts")
+    append_log(adapter(spark, sf, "maintenance_log"), path, "event_ts", "check")
     log = read_log(spark, path, MAINTENANCE_LOG)
     return maintenance.maintenance_summary(log, datetime(2024, 1, 10))
 
@@ -421,17 +441,21 @@ def maintenance_retry(spark, sf):
     return maintenance.to_retry(adapter(spark, sf, "maintenance_log"))
 
 
+LAYOUT = ["status", "code"]
+
+
 def _small_files(spark, sf, root):
-    """Orders by status, every status spread over several files."""
-    orders = table(spark, sf, "orders").withColumn("status", F.col("o_orderstatus"))
-    versioned.create(orders.repartition(6, "o_custkey"), root, ["status"])
+    """Orders by status and a code that looks like a number, every status spread over several files."""
+    code = F.when(F.col("o_orderstatus") == "F", "001").when(F.col("o_orderstatus") == "O", "1.50").otherwise("0")
+    orders = table(spark, sf, "orders").withColumns({"status": F.col("o_orderstatus"), "code": code})
+    versioned.create(orders.repartition(6, "o_custkey"), root, LAYOUT)
 
 
 @query("layout_stats")
 def layout_report(spark, sf):
     root = working_path(spark, "layout")
     _small_files(spark, sf, root)
-    stats = layout_stats(versioned.current_files(spark, root), 1 << 30, ["status"])
+    stats = layout_stats(versioned.current_files(spark, root), 1 << 30, LAYOUT)
     return stats.select("status", "page_count", "fragmentation", (F.col("total_bytes") > 0).alias("has_bytes"))
 
 
@@ -440,19 +464,19 @@ def layout_report(spark, sf):
 def compaction(spark, sf):
     root = working_path(spark, "compaction")
     _small_files(spark, sf, root)
-    before = layout_stats(versioned.current_files(spark, root), 1 << 30, ["status"])
-    compact(spark, before, root, ["status"], target_bytes=1 << 30, sort_by=["o_orderkey"])
-    after = layout_stats(versioned.current_files(spark, root), 1 << 30, ["status"])
-    rows = versioned.read_current(spark, root).groupBy("status").agg(
+    before = layout_stats(versioned.current_files(spark, root), 1 << 30, LAYOUT)
+    compact(spark, before, root, LAYOUT, target_bytes=1 << 30, sort_by=["o_orderkey"])
+    after = layout_stats(versioned.current_files(spark, root), 1 << 30, LAYOUT)
+    rows = versioned.read_current(spark, root).groupBy(*LAYOUT).agg(
         F.count(F.lit(1)).alias("orders"),
         F.sum("o_orderkey").alias("key_sum"),
         F.sum("o_custkey").alias("customer_sum"),
     )
-    files = before.select("status", F.col("page_count").alias("_before")).join(
-        after.select("status", F.col("page_count").alias("_after")), "status"
+    files = before.select(*LAYOUT, F.col("page_count").alias("_before")).join(
+        after.select(*LAYOUT, F.col("page_count").alias("_after")), LAYOUT
     )
-    return rows.join(files, "status").select(
-        "status", "orders", "key_sum", "customer_sum", (F.col("_after") <= F.col("_before")).alias("not_more_files")
+    return rows.join(files, LAYOUT).select(
+        *LAYOUT, "orders", "key_sum", "customer_sum", (F.col("_after") < F.col("_before")).alias("fewer_files")
     )
 
 
@@ -462,8 +486,8 @@ def compaction_planned(spark, sf):
     root, log_path = working_path(spark, "planned"), working_path(spark, "compaction-log")
     _small_files(spark, sf, root)
     files = versioned.current_files(spark, root)
-    queue = compaction_plan(files, 1 << 30, ["status"], bytes_per_second=1 << 20)
-    compact(spark, queue, root, ["status"], 1 << 30, log_path=log_path, run_id="r1")
+    queue = compaction_plan(files, 1 << 30, LAYOUT, bytes_per_second=1 << 20)
+    compact(spark, queue, root, LAYOUT, 1 << 30, log_path=log_path, run_id="r1")
     keys = ("run_id", "directory")
     state = maintenance.maintenance_state(read_log(spark, log_path, COMPACTION_LOG), keys)
     return queue.join(state.withColumnRenamed("status", "state"), "directory").select(
@@ -566,25 +590,21 @@ def latency_purge(spark, sf):
 def latency_stream(spark, sf):
     """The batch measurement as a stream, run until all input is read.
 
-    The watermark must pass the last token for it to be reported, so the input
-    ends with a delivered token of a later hour, which is not part of the result.
+    Time must pass the last token for it to be reported, so the posts end with a token of a
+    later hour, which is not part of the result.  No receipt follows it.
     """
     source, out, checkpoint = (working_path(spark, name) for name in ("stream-in", "stream-out", "stream-state"))
     params = ProbeParams(bounded=True)
     session, streams = stream_session(spark, params), {}
     posts, receipts = adapter(spark, sf, "posts"), adapter(spark, sf, "receipts")
+    end = posts.agg((F.max("post_ts") + F.expr("INTERVAL 1 HOUR")).alias("post_ts"))
+    end = end.select(F.lit("").alias("server"), F.lit("").alias("publication"), F.lit(-1).cast("bigint").alias("tracer_id"), "post_ts")
     inputs = {
-        "posts": posts,
+        "posts": posts.unionByName(end),
         "receipts": receipts.withColumn("seen_ts", F.coalesce("subscriber_ts", "distributor_ts")),
     }
-    last = posts.agg((F.max("post_ts") + F.expr("INTERVAL 1 HOUR")).alias("last"))
     for name, rows in inputs.items():
-        event_time = "post_ts" if name == "posts" else "seen_ts"
-        values = {event_time: F.col("last"), "tracer_id": F.lit(-1)}
-        end = last.select(
-            *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
-        )
-        timed = rows.unionByName(end).withColumns(
+        timed = rows.withColumns(
             {f.name: F.col(f.name).cast("timestamp") for f in rows.schema.fields if f.name.endswith("_ts")}
         )
         timed.write.parquet(f"{source}/{name}")
@@ -597,4 +617,5 @@ def latency_stream(spark, sf):
         .start(out)
     )
     run_probe(running, params)
-    return spark.read.parquet(out).where(F.col("tracer_id") >= 0)
+    found = spark.read.parquet(out).where(F.col("tracer_id") >= 0)
+    return found.withColumn("post_ts", F.col("post_ts").cast("timestamp_ntz"))

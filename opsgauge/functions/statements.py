@@ -101,9 +101,19 @@ def truncate_statement(target: Column) -> Column:
     return F.concat(F.lit("DELETE FROM "), target, F.lit(";"))
 
 
-def target_table_name(table: Column, target_db: str, override: str | None = None) -> Column:
-    """``db.tmp_`` and 26 characters after the first dot, unless a name is given."""
+def target_table_name(
+    server: Column, database: Column, table: Column, target_db: str, override: str | None = None, compat: bool = False
+) -> Column:
+    """``db."server.database.table"``, or the name that is given.
+
+    Dots in server and database names are doubled, so different tables have different
+    targets.  ``compat`` keeps the short form: ``db.tmp_`` and 26 characters after the table's first dot.
+    """
     if override is not None:
         return F.lit(f"{target_db}.{override}")
-    short = F.substring(table, F.instr(table, ".") + 1, F.lit(26))
-    return F.concat(F.lit(f"{target_db}.tmp_"), short)
+    if compat:
+        short = F.substring(table, F.instr(table, ".") + 1, F.lit(26))
+        return F.concat(F.lit(f"{target_db}.tmp_"), short)
+    owners = [F.replace(part, F.lit("."), F.lit("..")) for part in (server, database)]
+    full = F.replace(F.concat_ws(".", *owners, table), F.lit('"'), F.lit('""'))
+    return F.concat(F.lit(f'{target_db}."'), full, F.lit('"'))

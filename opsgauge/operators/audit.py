@@ -16,7 +16,7 @@ from opsgauge.functions.text import joined_in_order
 from opsgauge.operators import INDEX, OBJECT, SCOPE
 from opsgauge.operators.fleet import REPORT_EXCLUDED
 
-DEFINITION_KEYS = ("databaseName", "tableName", "indexName")
+DEFINITION_KEYS = ("serverName", "databaseName", "schemaName", "tableName", "indexName")
 DEFINITION_FIELDS = (
     "indexType",
     "indexKeys",
@@ -98,9 +98,18 @@ def index_definitions(
     columns: DataFrame,
     databases: DataFrame,
     table: str | None = None,
+    schemas: DataFrame | None = None,
 ) -> DataFrame:
-    """One comparable row per index: ordered column lists, flags and filter."""
-    named_tables = tables.select(*OBJECT, F.col("name").alias("tableName"))
+    """One comparable row per index: ordered column lists, flags and filter.
+
+    ``schemaName`` is empty without ``schemas``.
+    """
+    if schemas is None:
+        named_tables = tables.select(*OBJECT, F.lit("").alias("schemaName"), F.col("name").alias("tableName"))
+    else:
+        owners = schemas.select(*SCOPE, "schema_id", F.col("name").alias("schemaName"))
+        owned = tables.join(owners, [*SCOPE, "schema_id"], "left")
+        named_tables = owned.select(*OBJECT, F.coalesce("schemaName", F.lit("")).alias("schemaName"), F.col("name").alias("tableName"))
     if table is not None:
         named_tables = named_tables.where(F.col("tableName") == table)
         indexes, index_columns = _only(named_tables, indexes, index_columns)
@@ -120,13 +129,14 @@ def index_definitions(
         )
     )
     named_databases = databases.select(*SCOPE, F.col("name").alias("databaseName"))
+    # Databases go into the tables first: the large side is never joined on its database alone.
     return (
         indexes.join(lists, list(INDEX))
-        .join(named_tables, list(OBJECT))
-        .join(named_databases, list(SCOPE))
+        .join(named_tables.join(named_databases, list(SCOPE)), list(OBJECT))
         .select(
             F.col("server").alias("serverName"),
             "databaseName",
+            "schemaName",
             "tableName",
             F.col("name").alias("indexName"),
             F.col("type_desc").alias("indexType"),
@@ -139,7 +149,7 @@ def index_definitions(
             F.col("has_filter").alias("isFilteredIndex"),
             F.coalesce("filter_definition", F.lit("")).alias("filterDefinition"),
         )
-        .orderBy("serverName", "databaseName", "tableName", "indexName")
+        .orderBy("serverName", "databaseName", "schemaName", "tableName", "indexName")
     )
 
 
@@ -150,23 +160,33 @@ def index_definitions_fleet(
     columns: DataFrame,
     databases: DataFrame,
     exclude: Iterable[str] = REPORT_EXCLUDED,
+    schemas: DataFrame | None = None,
 ) -> DataFrame:
     """Definitions of all databases but the servers' own."""
     kept = databases.where(~F.col("name").isin(*exclude))
-    return index_definitions(tables, indexes, index_columns, columns, kept)
+    return index_definitions(tables, indexes, index_columns, columns, kept, schemas=schemas)
 
 
 def definition_drift(
     a: DataFrame,
     b: DataFrame,
-    keys: Iterable[str] = DEFINITION_KEYS,
+    keys: Iterable[str] | None = None,
     fields: Iterable[str] = DEFINITION_FIELDS,
+    across_servers: bool = False,
 ) -> DataFrame:
     """What changed from ``a`` to ``b``: added, removed and changed definitions.
 
-    ``changed_fields`` lists the fields that differ; equal definitions give no row.
+    ``changed_fields`` lists the fields that differ; equal definitions give no row.  Definitions
+    are matched by the ``DEFINITION_KEYS`` that both sides have; ``across_servers`` leaves the server
+    out, to compare one server with another.  A side with two rows of the same key is refused.
     """
+    left_out = {"serverName"} if across_servers else set()
+    if keys is None:
+        keys = [key for key in DEFINITION_KEYS if key in a.columns and key in b.columns and key not in left_out]
     keys, fields = list(keys), list(fields)
+    for side in (a, b):
+        if not side.groupBy(*keys).count().where("count > 1").isEmpty():
+            raise ValueError(f"definitions are not unique by {', '.join(keys)}")
     old, new = _prefixed(a, "a_", keys + fields), _prefixed(b, "b_", keys + fields)
     on = [F.col(f"a_{key}").eqNullSafe(F.col(f"b_{key}")) for key in keys]
     differing = F.array_join(

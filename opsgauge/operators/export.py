@@ -73,12 +73,16 @@ def export_path(table: str, directory: str) -> str:
 def render_inserts(
     df: DataFrame,
     target: str,
-    top: int | None = 1000,
+    top: int | None = None,
     order_by: Sequence[str | Column] = (),
-    max_identifier: int | None = 30,
+    max_identifier: int | None = None,
 ) -> DataFrame:
-    """One INSERT statement per row in ``sql_statement``; ``top=None`` renders all rows."""
-    names = ",".join(f'"{name[:max_identifier]}"' for name in df.columns)
+    """One INSERT statement per row in ``sql_statement``.
+
+    ``top`` limits the rows when it is given, ``max_identifier`` the length of column
+    names; names that would become the same are refused.
+    """
+    names = ",".join(f'"{name}"' for name in shortened(df.columns, max_identifier))
     values = []
     for at, field in enumerate(df.schema.fields):
         separator = [F.lit(",")] if at else []
@@ -89,6 +93,14 @@ def render_inserts(
     return df.select(F.concat(head, *values, F.lit(");")).alias("sql_statement"))
 
 
+def shortened(names: Sequence[str], max_identifier: int | None) -> list[str]:
+    """The names cut to a length, which must leave them different."""
+    short = [name[:max_identifier] for name in names]
+    if len(set(short)) < len(set(names)):
+        raise ValueError(f"column names are not different in their first {max_identifier} characters")
+    return short
+
+
 def _literal(field: T.StructField) -> Column:
     value, kind = column(field.name), field.dataType
     _refuse_complex(field)

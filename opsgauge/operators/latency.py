@@ -12,14 +12,17 @@ from opsgauge.operators.maintenance import whole_seconds
 from opsgauge.plans.ordering import ranked
 from opsgauge.sources.layout import data_files, remove_folders
 
+# A token is known by the server and the publication it was posted to, and its number there.
+TOKEN = ("server", "publication", "tracer_id")
+
 HISTORY = (
-    "monitorDate timestamp_ntz, publicationName string, publicationDB string, iteration bigint, tracer_id bigint, "
+    "monitorDate timestamp_ntz, server string, publicationName string, publicationDB string, iteration bigint, tracer_id bigint, "
     "distributor_latency bigint, subscriber string, subscriber_db string, subscriber_latency bigint, "
     "overall_latency bigint, monitorDay date, runKey string"
 )
 
 # Sorts as text the way the moments do.
-RUN_FORMAT = "yyyyMMddHHmmssSSSSSS"
+RUN_FORMAT, HOUR_FORMAT = "yyyyMMddHHmmssSSSSSS", "yyyyMMddHH"
 
 RESULT = (
     "iteration",
@@ -35,12 +38,14 @@ RESULT = (
 def token_latency(posts: DataFrame, receipts: DataFrame) -> DataFrame:
     """One row per token and subscriber, latencies in whole seconds, NULL where not delivered.
 
-    Tokens are numbered from 1 within their publication in the order they were posted.
+    Tokens are numbered from 1 within their publication in the order they were posted.  Both inputs
+    have the columns of ``TOKEN``; a token can have a receipt of every subscriber.
     """
-    tokens = posts.select("publication", "tracer_id", "post_ts")
-    numbered = ranked(tokens, [F.asc("post_ts"), F.asc("tracer_id")], ["publication"], "iteration")
-    joined = numbered.join(receipts, "tracer_id", "left")
-    return joined.select("publication", "iteration", "tracer_id", *latency_columns())
+    tokens = posts.select(*TOKEN, "post_ts")
+    order = [F.asc("post_ts"), F.asc("tracer_id")]
+    numbered = ranked(tokens, order, ["server", "publication"], "iteration")
+    joined = numbered.join(receipts, list(TOKEN), "left")
+    return joined.select("server", "publication", "iteration", "tracer_id", *latency_columns())
 
 
 def latency_columns() -> list[Column]:
@@ -69,33 +74,46 @@ def normalize_latency(latencies: DataFrame) -> DataFrame:
 
 
 def append_monitor(
-    latencies: DataFrame,
-    path: str,
-    run_ts: datetime,
-    publication: str | None,
-    publication_db: str,
-    batch_id: int = 0,
+    latencies: DataFrame, path: str, run_ts: datetime, publication: str | None, publication_db: str, batch_id: int = 0
 ) -> None:
-    """Stamp normalised latencies and add them to the history at ``path``.
+    """Stamp normalised latencies with the run and add them to the history at ``path``.
 
     Each run and batch has a folder of its own which a repeated run replaces, so
     nothing is stored twice.  Without ``publication`` the column of that name is kept.
     """
+    at = F.lit(run_ts.isoformat(sep=" ")).cast("timestamp_ntz")
+    write_history(stamped(latencies, at, publication, publication_db), path, batch_id)
+
+
+def stamped(latencies: DataFrame, at: Column, publication: str | None, publication_db: str) -> DataFrame:
+    """Normalised latencies as rows of the history, dated by ``at``."""
     name = F.col("publication") if publication is None else F.lit(publication)
     iteration = F.col("iteration") if "iteration" in latencies.columns else F.lit(None)
-    stamped = normalize_latency(latencies).select(
-        F.lit(run_ts.isoformat(sep=" ")).cast("timestamp_ntz").alias("monitorDate"),
+    return normalize_latency(latencies).select(
+        at.alias("monitorDate"),
+        "server",
         name.alias("publicationName"),
         F.lit(publication_db).alias("publicationDB"),
         iteration.cast("bigint").alias("iteration"),
         *RESULT[1:],
     )
-    write_history(stamped, path, batch_id)
 
 
 def write_history(rows: DataFrame, path: str, batch_id: int = 0) -> None:
     """Write stamped rows below the day and the run they belong to."""
-    run = F.concat(F.lit("run"), F.date_format("monitorDate", RUN_FORMAT), F.lit(f"-{batch_id}"))
+    _write(rows, path, F.concat(F.lit("run"), F.date_format("monitorDate", RUN_FORMAT), F.lit(f"-{batch_id}")))
+
+
+def write_streamed_history(rows: DataFrame, path: str, stream: str, batch_id: int) -> None:
+    """Write a batch of a stream below the day and the hour its tokens were posted.
+
+    The folder is named by the stream and the batch too: a replayed batch replaces its own rows.
+    """
+    hour = F.date_format("monitorDate", HOUR_FORMAT)
+    _write(rows, path, F.concat(F.lit("hour"), hour, F.lit(f"-{stream}-{batch_id}")))
+
+
+def _write(rows: DataFrame, path: str, run: Column) -> None:
     keyed = rows.withColumns({"monitorDay": F.to_date("monitorDate"), "runKey": run})
     (
         keyed.write.mode("overwrite")
@@ -119,10 +137,11 @@ def purge_history(history: DataFrame, cutoff: datetime) -> DataFrame:
 
 
 def purge_history_table(spark: SparkSession, path: str, cutoff: datetime) -> None:
-    """Remove the folders of runs before ``cutoff``.
+    """Remove the folders of runs, and of streamed hours, before ``cutoff``.
 
     A run has one date, so its folder is kept or removed as a whole and no row
-    is read or rewritten; days before the cutoff go at once.
+    is read or rewritten; days before the cutoff go at once.  Of streamed tokens, those of the
+    cutoff's own hour stay; ``purge_history`` leaves them out when reading.
     """
     folders = data_files(spark, path)
     if "runKey" not in folders.columns:
@@ -130,7 +149,9 @@ def purge_history_table(spark: SparkSession, path: str, cutoff: datetime) -> Non
     day = F.substring_index("directory", "/", -2)
     day_folder = F.concat(F.lit(path.rstrip("/") + "/"), F.substring_index(day, "/", 1))
     boundary = F.col("monitorDay") == F.lit(cutoff.date())
-    expired_run = boundary & (F.col("runKey") < f"run{cutoff:%Y%m%d%H%M%S%f}")
+    old_run = F.col("runKey").startswith("run") & (F.col("runKey") < f"run{cutoff:%Y%m%d%H%M%S%f}")
+    old_hour = F.col("runKey").startswith("hour") & (F.col("runKey") < f"hour{cutoff:%Y%m%d%H}")
+    expired_run = boundary & (old_run | old_hour)
     expired = folders.where((F.col("monitorDay") < F.lit(cutoff.date())) | expired_run).select(
         F.when(boundary, F.col("directory")).otherwise(day_folder).alias("directory")
     )

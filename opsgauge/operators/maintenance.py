@@ -221,9 +221,10 @@ def resolve_names(
     named_objects = owned.join(owners, [*SCOPE, "schema_id"]).drop("schema_id")
     named_indexes = indexes.where(F.col("type") > 0).select(*INDEX, F.col("name").alias("_index"))
     named_databases = databases.select(*SCOPE, F.col("name").alias("_database"))
+    # Databases go into the names first: the units are never joined on their database alone.
+    names = named_indexes.join(named_objects, list(OBJECT)).join(named_databases, list(SCOPE), "left")
     return (
-        candidates.join(named_objects.join(named_indexes, list(OBJECT)), list(INDEX), "left")
-        .join(named_databases, list(SCOPE), "left")
+        candidates.join(names, list(INDEX), "left")
         .withColumns(
             {
                 "databaseName": quote_name(F.col("_database")),
@@ -253,6 +254,7 @@ def render_commands(planned: DataFrame, rebuild_options: str = REBUILD_OPTIONS)
 
 # What a log event may say.
 STARTED, FINISHED, FAILED = "started", "finished", "failed"
+LOG_DETAILS = ("databaseName", "objectName", "indexName", "fragmentation", "page_count", "sql_statement")
 
 
 def maintenance_state(log: DataFrame, keys: Sequence[str] = ("run_id", *UNIT)) -> DataFrame:
@@ -263,13 +265,13 @@ def maintenance_state(log: DataFrame, keys: Sequence[str] = ("run_id", *UNIT)) -
     """
     happened = F.col("event_ts")
     # A tie in time is won by the end of the attempt.
-    code = F.when(F.col("event") == STARTED, 0).when(F.col("event") == FINISHED, 1).otherwise(2)
+    code = F.when(F.col("event") == STARTED, 0).when(F.col("event") == FINISHED, 1).when(F.col("event") == FAILED, 2)
     place = F.unix_micros(happened.cast("timestamp")) * 2 + (code > 0).cast("bigint")
     # Fixed-size states only, so each task combines its events in a hash table.
     # Texts would force a sort of the whole log; only failed events carry one.
     state = log.groupBy(*keys).agg(
         F.max(F.when(F.col("event") == STARTED, happened)).alias("dateTimeStart"),
-        F.max(F.when(F.col("event") != STARTED, happened)).alias("_end"),
+        F.max(F.when(F.col("event").isin(FINISHED, FAILED), happened)).alias("_end"),
         F.max_by(code, place).alias("_code"),
     )
     errors = (
@@ -290,10 +292,19 @@ def maintenance_state(log: DataFrame, keys: Sequence[str] = ("run_id", *UNIT)) -
 def maintenance_summary(
     log: DataFrame, since: datetime, keys: Sequence[str] = ("run_id", *UNIT), include_failed: bool = True
 ) -> DataFrame:
-    """Units worked on and ended since a moment, in the order they ended."""
+    """Units worked on and ended since a moment, in the order they ended.
+
+    What the log says about a unit when its work started (``LOG_DETAILS``) is added.
+    """
     ended = maintenance_state(log, keys).where(F.col("dateTimeEnd") >= moment(since, log, "event_ts"))
     if not include_failed:
         ended = ended.where(F.col("status") == "DONE")
+    details = [name for name in LOG_DETAILS if name in log.columns]
+    if details:
+        # Of several attempts the latest one; only ended units are looked up.
+        started = log.where(F.col("event") == STARTED).join(ended.select(*keys), list(keys), "left_semi")
+        latest = started.groupBy(*keys).agg(F.max_by(F.struct(*details), "event_ts").alias("_details"))
+        ended = ended.join(latest, list(keys), "left").select(*ended.columns, *[F.col("_details")[d].alias(d) for d in details])
     return ended.orderBy("dateTimeEnd", *keys)
 
 

@@ -48,18 +48,32 @@ def generate_ddl(
     mapping: Mapping[str, str] = TYPE_MAPPING,
     compat: bool = False,
 ) -> DataFrame:
-    """One row per catalogued table: CREATE TABLE and the statement that empties it."""
+    """One row per catalogued table: CREATE TABLE and the statement that empties it.
+
+    ``target_table`` names the target of a single table and is refused for more.  ``same_target`` counts the
+    tables that share a target, which is 1 unless ``compat`` shortens the names.
+    """
     name = F.col("name") if max_identifier is None else F.substring("name", 1, max_identifier)
     clause = F.concat(
         F.lit('"'), name, F.lit('" '), F.col("target_type"), F.col("null_clause")
     )
+    # Only cut names can become the same.
+    differ = F.lit(True) if max_identifier is None else F.count("short") == F.count_distinct("short")
+    same_names = [F.any_value(differ).alias("names_differ") if max_identifier is None else differ.alias("names_differ")]
+    clash = F.lit(f"column names are not different in their first {max_identifier} characters")
     tables = (
         translate_types(columns, mapping, compat)
-        .select("server", "database", "table", "column_id", clause.alias("clause"))
+        .select("server", "database", "table", "column_id", name.alias("short"), clause.alias("clause"))
         .groupBy("server", "database", "table")
-        .agg(joined_in_order("clause", ["column_id"], ",").alias("clauses"))
-        .withColumn("target_table", target_table_name(F.col("table"), target_db, target_table))
+        .agg(joined_in_order("clause", ["column_id"], ",").alias("clauses"), *same_names)
+        .withColumn("clauses", F.when(F.col("names_differ"), F.col("clauses")).otherwise(F.raise_error(clash)))
     )
+    if target_table is not None and len(tables.take(2)) > 1:
+        raise ValueError("one target table is given for more than one table")
+    owner = [F.col(name) for name in ("server", "database", "table")]
+    tables = tables.withColumn("target_table", target_table_name(*owner, target_db, target_table, compat))
+    shared = tables.groupBy("target_table").agg(F.count(F.lit(1)).alias("same_target"))
+    tables = tables.join(shared, "target_table")
     create = F.concat(
         F.lit("CREATE TABLE "), F.col("target_table"), F.lit("("), F.col("clauses"), F.lit(");")
     )
@@ -70,6 +84,7 @@ def generate_ddl(
         "target_table",
         create.alias("ddl_statement"),
         truncate_statement(F.col("target_table")).alias("truncate_statement"),
+        "same_target",
     )
 
 

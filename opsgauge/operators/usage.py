@@ -198,16 +198,17 @@ def hot_plans(
 def plans_with_missing_index(hot: DataFrame, plans: DataFrame) -> DataFrame:
     """Hot plans of a stored object whose XML suggests a missing index.
 
-    Text that is not XML is dropped.  Only plans that are hot and mention the
-    element at all are parsed.
+    Text that is not XML is dropped.  Plans are first searched for the element's name as text;
+    only those that are hot as well are parsed: the test needs a column of the hot
+    plans, so it cannot be moved below the join.
     """
     document = F.col("query_plan")
     well_formed = F.expr("from_xml(query_plan, '_corrupt_record string')._corrupt_record IS NULL")
     suggests = F.when(
-        document.contains("MissingIndex") & well_formed, F.xpath_boolean(document, F.lit(MISSING_INDEX_PATH))
+        (F.col("statement_executions") >= 0) & well_formed, F.xpath_boolean(document, F.lit(MISSING_INDEX_PATH))
     )
     return (
-        plans.where(F.col("object_id").isNotNull())
+        plans.where(F.col("object_id").isNotNull() & document.contains("MissingIndex"))
         .join(hot, ["server", "plan_handle"])
         .where(F.coalesce(suggests, F.lit(False)))
         .select(*OBJECT, "plan_handle", "query_plan", "statement_executions")
@@ -241,7 +242,8 @@ def with_schema_names(objects: DataFrame, schemas: DataFrame) -> DataFrame:
 def _named(df: DataFrame, objects: DataFrame, databases: DataFrame) -> DataFrame:
     tables = objects.select(*OBJECT, F.col("name").alias("object_name"), "schema_name")
     owners = databases.select(*SCOPE, F.col("name").alias("database_name"))
-    return df.join(tables, list(OBJECT)).join(owners, list(SCOPE))
+    # Databases go into the objects first: the large side is never joined on its database alone.
+    return df.join(tables.join(owners, list(SCOPE)), list(OBJECT))
 
 
 def _drop() -> Column:

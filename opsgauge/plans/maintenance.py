@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from opsgauge.operators.maintenance import (
     MaintenanceSettings,
@@ -12,9 +14,17 @@ from opsgauge.operators.maintenance import (
     choose_action,
     eligible_on,
     exclude_latest_partition,
+    needs_rescan,
+    pending,
     prioritize,
+    render_commands,
+    resolve_names,
     scan_candidates,
+    within_budget,
+    work_order,
 )
+from opsgauge.operators import OBJECT, SCOPE, UNIT
+from opsgauge.operators.splitting import filter_by_list
 
 
 def maintenance_plan(
@@ -26,12 +36,92 @@ def maintenance_plan(
     exclusions: DataFrame,
     as_of: date,
     settings: MaintenanceSettings = MaintenanceSettings(),
+    estimates: DataFrame | None = None,
 ) -> DataFrame:
-    """All databases in one job: scan, exclude, decide, then number the units."""
+    """All databases in one job: scan, exclude, decide, then number the units that start in time.
+
+    ``estimates`` brings ``est_seconds`` of units for the time budget; a unit without one takes
+    ``DEFAULT_SECONDS``.  Without ``estimates`` the budget is not applied.
+    """
     chosen = settings.validated()
+    status = scan_status(physical, operational, partitions, exclusions, chosen)
+    return _queue(status, partitions, columns, indexes, as_of, chosen, estimates)
+
+
+def scan_status(
+    physical: DataFrame, operational: DataFrame, partitions: DataFrame, exclusions: DataFrame, chosen: MaintenanceSettings
+) -> DataFrame:
+    """The units worth work, with the weekdays on which they rest, none of them done or printed."""
     candidates = scan_candidates(physical, operational, chosen.min_fragmentation, chosen.min_size)
     if chosen.exclude_latest:
         candidates = exclude_latest_partition(candidates, partitions)
-    today = eligible_on(apply_exclusion_mask(candidates, exclusions), as_of)
+    return apply_exclusion_mask(candidates, exclusions).withColumns(
+        {"defragDate": F.lit(None).cast("timestamp_ntz"), "printStatus": F.lit(False)}
+    )
+
+
+def maintenance_run(
+    physical: DataFrame,
+    operational: DataFrame,
+    partitions: DataFrame,
+    columns: DataFrame,
+    indexes: DataFrame,
+    exclusions: DataFrame,
+    objects: DataFrame,
+    schemas: DataFrame,
+    databases: DataFrame,
+    as_of: date,
+    settings: MaintenanceSettings = MaintenanceSettings(),
+    status: DataFrame | None = None,
+    estimates: DataFrame | None = None,
+    database_names: Iterable[str] | None = None,
+    table: str | None = None,
+    print_only: bool = False,
+) -> DataFrame:
+    """What one maintenance run would do: the units in work order with names and commands.
+
+    A ``status`` of an earlier scan is used as long as it has units that are not done; otherwise, or
+    with ``force_rescan``, everything is scanned again.  ``database_names`` and ``table`` limit the run.  What
+    rests on the day, is done, was printed (with ``print_only``), has no size in range or does not start
+    within the time budget is left out; so is what can be neither reorganised nor rebuilt.
+    """
+    chosen = settings.validated()
+    if status is None or needs_rescan(status, bool(chosen.force_rescan)):
+        status = scan_status(physical, operational, partitions, exclusions, chosen)
+    if database_names is not None:
+        named = filter_by_list(databases, "name", ",".join(database_names)).select(*SCOPE)
+        status = status.join(named, list(SCOPE), "left_semi")
+    if table is not None:
+        status = status.join(objects.where(F.col("name") == table).select(*OBJECT), list(OBJECT), "left_semi")
+    queue = _queue(status, partitions, columns, indexes, as_of, chosen, estimates, print_only, skip=False)
+    named = resolve_names(queue, objects, indexes, schemas, databases)
+    return render_commands(named)
+
+
+# What a unit takes that was never measured.
+DEFAULT_SECONDS = 60
+
+
+def _queue(
+    status: DataFrame,
+    partitions: DataFrame,
+    columns: DataFrame,
+    indexes: DataFrame,
+    as_of: date,
+    chosen: MaintenanceSettings,
+    estimates: DataFrame | None,
+    print_only: bool = False,
+    skip: bool = True,
+) -> DataFrame:
+    waiting = pending(status, chosen.min_size, chosen.max_size, print_only)
+    today = eligible_on(waiting, as_of).drop("defragDate", "printStatus")
     decided = choose_action(today, partitions, columns, indexes, chosen.rebuild_threshold)
-    return prioritize(decided, chosen.order_by, chosen.order)
+    if not skip:
+        decided = decided.where(F.col("action") != "SKIP")
+    if estimates is None:
+        return prioritize(decided, chosen.order_by, chosen.order)
+    timed = decided.join(estimates.select(*UNIT, "est_seconds"), list(UNIT), "left")
+    timed = timed.withColumn("est_seconds", F.coalesce("est_seconds", F.lit(DEFAULT_SECONDS)).cast("bigint"))
+    order = work_order(chosen.order_by, chosen.order)
+    started = within_budget(timed, F.col("est_seconds"), chosen.minutes, order, chosen.pause_seconds)
+    return started.withColumnRenamed("position", "priority")

@@ -28,7 +28,10 @@ def missing_plans(
 
 
 def log_missing_plans(path: str, *inputs: DataFrame, run_ts: datetime, **limits: int) -> DataFrame:
-    """Add the found plans to the log at ``path`` and return what this run logged."""
+    """Add the found plans to the log at ``path`` and return what this run logged.
+
+    A run that is repeated with the same ``run_ts`` logs once.
+    """
     found = missing_plans(*inputs, run_ts=run_ts, **limits)
-    append_log(found, path, "executionDate")
+    append_log(found, path, "executionDate", f"{run_ts:%Y%m%d%H%M%S%f}")
     return logged_since(found.sparkSession, path, PLAN_LOG, "executionDate", run_ts)

@@ -24,10 +24,14 @@ def data_files(spark: SparkSession, paths: str | Sequence[str], base_path: str |
     return files.select(directory, "path", "length", *partitions)
 
 
+def decoded(text: Column) -> Column:
+    """URL-encoded text, where a plus sign is just one."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
 def folder_of(file_url: Column) -> Column:
     """The ``directory`` of a file from ``_metadata.file_path``, which is URL-encoded."""
-    path = F.url_decode(F.replace(file_url, F.lit("+"), F.lit("%2B")))
-    return F.regexp_replace(path, "/[^/]*$", "")
+    return F.regexp_replace(decoded(file_url), "/[^/]*$", "")
 
 
 def layout_stats(files: DataFrame, small_bytes: int, partition_cols: Sequence[str] = ()) -> DataFrame:

@@ -7,14 +7,14 @@ undelivered once the watermark has passed it.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
-from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from opsgauge.operators.latency import append_monitor, latency_columns
+from opsgauge.operators.latency import TOKEN, latency_columns, stamped, write_streamed_history
 from opsgauge.session import RECOMMENDED_CONF
 
 
@@ -22,13 +22,14 @@ from opsgauge.session import RECOMMENDED_CONF
 class ProbeParams:
     """Cadence of a probe: the wait for a token, the time between rounds and their number.
 
-    ``bounded`` makes one pass over what is there instead of rounds.  The state is
+    ``lateness`` is how far a side may lag behind the other one; it should cover the delay, since
+    the watermark follows the side that is ahead.  ``bounded`` makes one pass over what is there instead of rounds.  The state is
     kept in ``state_partitions`` parts, one per core by default; a checkpoint
     keeps their number for good.
     """
 
     replication_delay: str = "30 seconds"
-    lateness: str = "10 seconds"
+    lateness: str = "60 seconds"
     iterations: int = 5
     iteration_seconds: int = 30
     bounded: bool = False
@@ -45,6 +46,8 @@ def stream_session(spark: SparkSession, params: ProbeParams = ProbeParams()) ->
     session.conf.set("spark.sql.shuffle.partitions", partitions)
     for key in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.session.timeZone"):
         session.conf.set(key, RECOMMENDED_CONF[key])
+    # When a subscriber dies its receipts stop: time goes on with the posts.
+    session.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "max")
     return session
 
 
@@ -52,15 +55,18 @@ def stream_latency(posts: DataFrame, receipts: DataFrame, params: ProbeParams =
     """Latencies of streamed tokens; unmatched ones come out with NULLs.
 
     Both sides have a watermark and the join a time bound, so a token leaves the
-    state when its delay is over.  ``seen_ts`` of a receipt is its last known hop.
+    state when its delay is over.  ``seen_ts`` of a receipt is its last known hop.  Run it in a
+    ``stream_session``: there the watermark follows the side that is ahead, so tokens are reported
+    undelivered also when no receipts come any more.
     """
     sent = posts.withWatermark("post_ts", params.lateness)
-    seen = receipts.withColumnRenamed("tracer_id", "_seen_id").withWatermark("seen_ts", params.lateness)
+    seen = receipts.withColumnsRenamed({name: f"_seen_{name}" for name in TOKEN}).withWatermark("seen_ts", params.lateness)
+    same = " AND ".join(f"{name} = _seen_{name}" for name in TOKEN)
     in_time = F.expr(
-        f"tracer_id = _seen_id AND seen_ts >= post_ts AND seen_ts <= post_ts + INTERVAL {params.replication_delay}"
+        f"{same} AND seen_ts >= post_ts AND seen_ts <= post_ts + INTERVAL {params.replication_delay}"
     )
     joined = sent.join(seen, in_time, "leftOuter")
-    return joined.select("publication", "tracer_id", *latency_columns())
+    return joined.select(*TOKEN, "post_ts", *latency_columns())
 
 
 def run_probe(query: StreamingQuery, params: ProbeParams) -> None:
@@ -73,20 +79,18 @@ def run_probe(query: StreamingQuery, params: ProbeParams) -> None:
 
 
 def start_monitor(
-    latencies: DataFrame,
-    path: str,
-    checkpoint: str,
-    run_ts: datetime,
-    publication_db: str,
-    params: ProbeParams = ProbeParams(),
+    latencies: DataFrame, path: str, checkpoint: str, publication_db: str, params: ProbeParams = ProbeParams()
 ) -> StreamingQuery:
     """Keep the history at ``path`` up to date from a latency stream.
 
-    A replayed micro-batch replaces its own folder, so none is counted twice.
+    Rows are dated by the time their token was posted.  A replayed micro-batch replaces its own
+    folders, which are named by the checkpoint and the batch, so none is counted twice.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        append_monitor(batch, path, run_ts, None, publication_db, batch_id)
+        rows = stamped(batch, F.col("post_ts").cast("timestamp_ntz"), None, publication_db)
+        write_streamed_history(rows, path, stream, batch_id)
 
     return (
         latencies.writeStream.foreachBatch(keep)

@@ -65,6 +65,17 @@ def test_drift(spark):
     )
     quick = audit.definition_differences(a, b, a.columns)
     assert quick.count() == 2
+    with pytest.raises(ValueError, match="not unique"):
+        audit.definition_drift(a.union(a), b, fields=["keys", "flag"])
+
+
+def test_drift_of_several_servers_and_schemas(spark):
+    schema = "serverName string, databaseName string, schemaName string, tableName string, indexName string, keys string"
+    fleet = spark.createDataFrame([(s, "d", o, "t", "i", s + o) for s in "xyz" for o in "ab"], schema)
+    assert audit.definition_drift(fleet, fleet, fields=["keys"]).count() == 0
+    one, other = fleet.where("serverName = 'x'"), fleet.where("serverName = 'y'")
+    assert audit.definition_drift(one, other, fields=["keys"]).count() == 4
+    assert {r.change for r in audit.definition_drift(one, other, fields=["keys"], across_servers=True).collect()} == {"changed"}
 
 
 def test_table_filter_limits_what_is_aggregated(spark, sf):
@@ -181,15 +192,24 @@ def test_a_log_shows_what_was_added_since(spark):
     path = working_path(spark, "log")
     for day in (1, 2, 3):
         frame = spark.createDataFrame([(day, datetime(2024, 1, day, 12))], "n int, at timestamp_ntz")
-        append_log(frame, path, "at")
+        append_log(frame, path, "at", f"run {day}")
+    append_log(frame, path, "at", "run 3")  # repeated: logged once
     found = logged_since(spark, path, "n int, at timestamp_ntz", "at", datetime(2024, 1, 2, 12))
     assert rows(found, "n") == [(2,), (3,)]
     empty = working_path(spark, "log")
-    append_log(frame.where("false"), empty, "at")
+    append_log(frame.where("false"), empty, "at", "none")
     assert logged_since(spark, empty, "n int, at timestamp_ntz", "at", datetime(2024, 1, 1)).count() == 0
     assert "PartitionFilters: [isnotnull(log_day" in plan_text(found)
 
 
+def test_only_hot_plans_are_parsed(spark, sf):
+    hot = usage.hot_plans(adapter(spark, sf, "query_stats"), datetime(2024, 1, 30), 20, 25)
+    found = usage.plans_with_missing_index(hot, adapter(spark, sf, "query_plans"))
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(at for at, line in enumerate(lines) if "Join" in line)
+    assert [at for at, line in enumerate(lines) if "XPath" in line] and not any("XPath" in line for line in lines[join + 1 :])
+
+
 def test_latest_snapshot(spark):
     frame = spark.createDataFrame(
         [("s", 1, datetime(2024, 1, 1), "old"), ("s", 1, datetime(2024, 1, 3), "new"), ("s", 2, datetime(2024, 1, 2), "only")],

@@ -17,7 +17,7 @@ from opsgauge.session import working_path
 from opsgauge.sources import versioned
 from opsgauge.sources.layout import data_files, layout_stats
 from opsgauge.sources.logs import COMPACTION_LOG, read_log
-from opsgauge.streaming.latency import ProbeParams, run_probe, start_monitor, stream_latency
+from opsgauge.streaming.latency import ProbeParams, run_probe, start_monitor, stream_latency, stream_session
 from tests.helpers import executed, rows
 
 
@@ -110,6 +110,42 @@ def test_a_failed_compaction_is_not_published(spark, monkeypatch):
     assert versioned.read_current(spark, root).count() == 4000
 
 
+def test_partition_values_keep_their_spelling(spark):
+    root = working_path(spark, "spelling")
+    key = F.element_at(F.array(F.lit("001"), F.lit("1"), F.lit("1.50"), F.lit(None)), (F.col("id") % 4 + 1).cast("int"))
+    table = spark.range(100).select("id", key.alias("p"), (F.col("id") % 2).alias("n"))
+    versioned.create(table.repartition(3), root, ["p", "n"])
+    before = rows(versioned.read_current(spark, root), "id", "p", "n")
+    assert before == rows(table)
+    stats = layout_stats(versioned.current_files(spark, root), 1 << 30, ["p", "n"])
+    assert {row.p for row in stats.collect()} == {"001", "1", "1.50", None}
+    assert compact(spark, stats, root, ["p", "n"], 1 << 30) == 2
+    assert rows(versioned.read_current(spark, root), "id", "p", "n") == before
+    assert versioned.manifest(spark, root).count() == 4
+    assert versioned.remove_replaced(spark, root) == 4
+    assert rows(versioned.read_current(spark, root), "id", "p", "n") == before
+
+
+def test_compaction_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(compaction_module, "BATCH_FOLDERS", 3)
+    root = _root(spark)
+    before = rows(versioned.read_current(spark, root), "id")
+    stats = layout_stats(versioned.current_files(spark, root), 1 << 30, ["k", "n"])
+    assert compact(spark, stats, root, ["k", "n"], 1 << 30) == 3
+    assert rows(versioned.read_current(spark, root), "id") == before
+    assert versioned.manifest(spark, root).count() == stats.count()
+
+
+def test_two_runs_of_one_version_do_not_mix(spark):
+    root = _root(spark)
+    stats = layout_stats(versioned.current_files(spark, root), 1 << 30, ["k", "n"])
+    rival = versioned.stage(versioned.read_current(spark, root), root, versioned.staging_name(2), ["k", "n"])
+    assert compact(spark, stats, root, ["k", "n"], 1 << 30) == 2
+    with pytest.raises(Exception, match="(?i)exists"):
+        versioned.publish_replacement(spark, root, 2, rival, stats)
+    assert versioned.read_current(spark, root).count() == 4000
+
+
 def test_compaction_plan(spark):
     root = _root(spark)
     files = versioned.current_files(spark, root)
@@ -151,16 +187,23 @@ def test_the_working_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
 def _tokens(spark):
     start = datetime(2024, 1, 1, 0, 0, 0)
     posts = spark.createDataFrame(
-        [("p", 30, start), ("p", 10, start + timedelta(seconds=5)), ("q", 20, start), ("p", 40, start)],
-        "publication string, tracer_id long, post_ts timestamp_ntz",
+        [
+            ("e", "p", 30, start),
+            ("e", "p", 10, start + timedelta(seconds=5)),
+            ("e", "q", 30, start),
+            ("e", "p", 40, start),
+            ("w", "p", 30, start + timedelta(hours=1)),
+        ],
+        "server string, publication string, tracer_id long, post_ts timestamp_ntz",
     )
     receipts = spark.createDataFrame(
         [
-            (30, "s1", "d1", start + timedelta(seconds=2), start + timedelta(seconds=5)),
-            (30, "s2", "d2", start + timedelta(seconds=2), None),
-            (20, "s1", "d1", start + timedelta(seconds=1, milliseconds=900), start + timedelta(seconds=2)),
+            ("e", "p", 30, "s1", "d1", start + timedelta(seconds=2), start + timedelta(seconds=5)),
+            ("e", "p", 30, "s2", "d2", start + timedelta(seconds=2), None),
+            ("e", "q", 30, "s1", "d1", start + timedelta(seconds=1, milliseconds=900), start + timedelta(seconds=2)),
         ],
-        "tracer_id long, subscriber string, subscriber_db string, distributor_ts timestamp_ntz, subscriber_ts timestamp_ntz",
+        "server string, publication string, tracer_id long, subscriber string, subscriber_db string, "
+        "distributor_ts timestamp_ntz, subscriber_ts timestamp_ntz",
     )
     return posts, receipts
 
@@ -168,11 +211,12 @@ def _tokens(spark):
 def test_token_latency(spark):
     assert rows(latency.token_latency(*_tokens(spark)).drop("subscriber_db")) == sorted(
         [
-            ("p", 1, 30, 2, "s1", 3, 5),
-            ("p", 1, 30, 2, "s2", None, None),
-            ("p", 2, 40, None, None, None, None),
-            ("p", 3, 10, None, None, None, None),
-            ("q", 1, 20, 1, "s1", 1, 2),
+            ("e", "p", 1, 30, 2, "s1", 3, 5),
+            ("e", "p", 1, 30, 2, "s2", None, None),
+            ("e", "p", 2, 40, None, None, None, None),
+            ("e", "p", 3, 10, None, None, None, None),
+            ("e", "q", 1, 30, 1, "s1", 1, 2),
+            ("w", "p", 1, 30, None, None, None, None),
         ],
         key=repr,
     )
@@ -193,7 +237,7 @@ def test_history_is_idempotent_and_purged_by_run(spark):
     for run in [*runs, runs[1]]:
         latency.append_monitor(measured, path, run, "pub", "pubdb")
     history = spark.read.parquet(path)
-    assert history.count() == 5 * 4
+    assert history.count() == 6 * 4
     assert rows(history.select("publicationName", "publicationDB").distinct()) == [("pub", "pubdb")]
     cutoff = datetime(2024, 1, 2, 12)
     kept = latency.purge_history(history, cutoff)
@@ -224,7 +268,7 @@ def test_purge_reads_no_older_day(spark):
 
 
 def _streams(spark, sf, folder):
-    made = {}
+    made, session = {}, stream_session(spark)
     for name in ("posts", "receipts"):
         df = adapter(spark, sf, name)
         if name == "receipts":
@@ -233,7 +277,7 @@ def _streams(spark, sf, folder):
             *[F.col(f.name).cast("timestamp") if f.name.endswith("_ts") else F.col(f.name) for f in df.schema.fields]
         )
         typed.write.parquet(f"{folder}/{name}")
-        made[name] = spark.readStream.schema(typed.schema).parquet(f"{folder}/{name}")
+        made[name] = session.readStream.schema(typed.schema).parquet(f"{folder}/{name}")
     return made
 
 
@@ -243,11 +287,13 @@ def test_stream_of_late_and_missing_receipts(spark):
     start = datetime(2024, 1, 1)
     posts = [(at, start + timedelta(minutes=at)) for at in range(4)] + [(99, start + timedelta(hours=2))]
     receipts = [(0, 10), (1, 31), (3, 30), (99, 0)]
-    sent = spark.createDataFrame([("p", t, ts) for t, ts in posts], "publication string, tracer_id long, post_ts timestamp")
+    sent = spark.createDataFrame(
+        [("e", "p", t, ts) for t, ts in posts], "server string, publication string, tracer_id long, post_ts timestamp"
+    )
     times = dict(posts)
     seen = spark.createDataFrame(
-        [(t, "s", "d", times[t] + timedelta(seconds=gap), times[t] + timedelta(seconds=gap)) for t, gap in receipts],
-        "tracer_id long, subscriber string, subscriber_db string, distributor_ts timestamp, subscriber_ts timestamp",
+        [("e", "p", t, "s", "d", times[t] + timedelta(seconds=gap), times[t] + timedelta(seconds=gap)) for t, gap in receipts],
+        "server string, publication string, tracer_id long, subscriber string, subscriber_db string, distributor_ts timestamp, subscriber_ts timestamp",
     ).withColumn("seen_ts", F.col("subscriber_ts"))
     sent.write.parquet(f"{folder}/posts")
     seen.write.parquet(f"{folder}/receipts")
@@ -267,17 +313,50 @@ def test_monitor_stream_keeps_a_history_once(spark, sf):
     params = ProbeParams(bounded=True)
     for _ in range(2):
         query = start_monitor(
-            stream_latency(**streams, params=params), f"{folder}/history", f"{folder}/state", datetime(2024, 2, 1), "db", params
+            stream_latency(**streams, params=params), f"{folder}/history", f"{folder}/state", "db", params
         )
         query.awaitTermination()
     history = spark.read.parquet(f"{folder}/history")
     delivered = latency.normalize_latency(latency.token_latency(adapter(spark, sf, "posts"), adapter(spark, sf, "receipts")))
-    assert history.select("tracer_id", "subscriber").distinct().count() == history.count()
-    same = ["tracer_id", "subscriber", "distributor_latency", "subscriber_latency", "overall_latency"]
+    keys = ["server", "publicationName", "tracer_id", "subscriber"]
+    assert history.select(*keys).distinct().count() == history.count()
+    delivered = delivered.withColumnRenamed("publication", "publicationName")
+    same = ["server", "publicationName", "tracer_id", "subscriber", "distributor_latency", "subscriber_latency", "overall_latency"]
     missing = delivered.where("subscriber IS NOT NULL").select(*same).exceptAll(history.select(*same))
     assert missing.count() == 0
-    assert rows(history.select("publicationDB", "monitorDate").distinct()) == [("db", datetime(2024, 2, 1))]
-    assert {row.monitorDay for row in history.select("monitorDay").distinct().collect()} == {date(2024, 2, 1)}
+    # Rows are dated by their tokens, and a purge keeps the newer ones.
+    posted = adapter(spark, sf, "posts").withColumnRenamed("publication", "publicationName")
+    dated = history.join(posted, ["server", "publicationName", "tracer_id"])
+    assert dated.where("monitorDate <> post_ts OR monitorDay <> date(post_ts)").count() == 0
+    cutoff = datetime(2024, 1, 15, 12)
+    expected = rows(latency.purge_history(history, cutoff), "server", "publicationName", "tracer_id", "subscriber")
+    assert 0 < len(expected) < history.count()
+    latency.purge_history_table(spark, f"{folder}/history", cutoff)
+    left = spark.read.parquet(f"{folder}/history")
+    assert rows(latency.purge_history(left, cutoff), "server", "publicationName", "tracer_id", "subscriber") == expected
+    assert left.where("monitorDate < TIMESTAMP_NTZ '2024-01-15 12:00:00'").count() == 0
+
+
+def test_a_dead_subscriber_is_reported(spark):
+    """Receipts stop after five tokens: the later ones come out undelivered."""
+    folder, start = working_path(spark, "dead"), datetime(2024, 1, 1)
+    posts = [("e", "p", at, start + timedelta(minutes=at)) for at in range(100)]
+    receipts = [("e", "p", at, "s", "d", start + timedelta(minutes=at), start + timedelta(minutes=at)) for at in range(5)]
+    sent = spark.createDataFrame(posts, "server string, publication string, tracer_id long, post_ts timestamp")
+    seen = spark.createDataFrame(
+        receipts,
+        "server string, publication string, tracer_id long, subscriber string, subscriber_db string, "
+        "distributor_ts timestamp, subscriber_ts timestamp",
+    ).withColumn("seen_ts", F.col("subscriber_ts"))
+    sent.write.parquet(f"{folder}/posts")
+    seen.write.parquet(f"{folder}/receipts")
+    params, session = ProbeParams(bounded=True), stream_session(spark)
+    streams = {n: session.readStream.schema(df.schema).parquet(f"{folder}/{n}") for n, df in (("posts", sent), ("receipts", seen))}
+    query = start_monitor(stream_latency(**streams, params=params), f"{folder}/history", f"{folder}/state", "db", params)
+    query.awaitTermination()
+    history = latency.read_history(spark, f"{folder}/history")
+    assert history.where("subscriber IS NOT NULL").count() == 5
+    assert history.where("subscriber IS NULL").count() >= 90
 
 
 def test_probe_triggers():
@@ -289,7 +368,7 @@ def test_probe_of_some_rounds(spark, sf):
     folder = working_path(spark, "rounds")
     params = ProbeParams(iterations=2, iteration_seconds=1)
     latencies = stream_latency(**_streams(spark, sf, folder), params=params)
-    query = start_monitor(latencies, f"{folder}/history", f"{folder}/state", datetime(2024, 2, 1), "db", params)
+    query = start_monitor(latencies, f"{folder}/history", f"{folder}/state", "db", params)
     run_probe(query, params)
     assert not query.isActive and query.exception() is None
     assert latency.read_history(spark, f"{folder}/history").where("subscriber IS NOT NULL").count() > 0

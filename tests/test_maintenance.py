@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opsgauge.checks.adapters import adapter
 from opsgauge.operators import maintenance as m
-from opsgauge.plans.maintenance import maintenance_plan
+from opsgauge.plans.maintenance import maintenance_plan, maintenance_run, scan_status
 from tests.helpers import executed, rows
 
 KEY = "server string, database_id int, object_id long, index_id int, partition_number int"
@@ -289,3 +289,34 @@ def test_a_hot_index_is_decided_like_any_other(spark):
     # Single-partition indexes are rebuilt when heavily fragmented, the hot one never.
     heavy = sum(1 for i in range(0, 100_000, 100) if i % 60 >= 30)
     assert dict(rows(got)) == {"REBUILD": heavy, "REORGANIZE": 100_000 - heavy}
+
+
+def test_a_run_honours_its_settings(spark, sf):
+    inputs = {
+        "physical": adapter(spark, sf, "index_physical"),
+        "operational": adapter(spark, sf, "index_operational"),
+        **{n: adapter(spark, sf, n) for n in ("partitions", "columns", "indexes", "exclusions", "objects", "schemas", "databases")},
+    }
+    day = date(2024, 1, 7)
+    everything = maintenance_run(**inputs, as_of=day).collect()
+    assert everything and all(row.sql_statement for row in everything)
+    assert [row.priority for row in sorted(everything, key=lambda r: r.priority)] == list(range(1, len(everything) + 1))
+    small = maintenance_run(**inputs, as_of=day, settings=m.MaintenanceSettings(max_size=10)).collect()
+    assert small and all(row.page_count <= 10 for row in small)
+    estimates = adapter(spark, sf, "index_physical").selectExpr(
+        "server", "database_id", "object_id", "index_id", "partition_number", "60 AS est_seconds"
+    )
+    timed = m.MaintenanceSettings(minutes=3, pause_seconds=0)
+    assert maintenance_run(**inputs, as_of=day, settings=timed, estimates=estimates).count() == 3
+    name = next(row.name for row in inputs["databases"].collect() if row.name not in ("master", "tempdb", "model", "msdb"))
+    some = maintenance_run(**inputs, as_of=day, database_names=[name]).collect()
+    assert all(row.databaseName == f"[{name}]" for row in some)
+    # A status with open units is used as it is; one without them, or force, scans again.
+    status = scan_status(*[inputs[n] for n in ("physical", "operational", "partitions", "exclusions")], m.MaintenanceSettings())
+    one = status.where("object_id % 2 = 0")
+    used = maintenance_run(**inputs, as_of=day, status=one).collect()
+    assert {row.object_id % 2 for row in used} == {0}
+    done = status.selectExpr("* EXCEPT (defragDate)", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS defragDate")
+    assert maintenance_run(**inputs, as_of=day, status=done).count() == len(everything)
+    forced = m.MaintenanceSettings(force_rescan=True)
+    assert maintenance_run(**inputs, as_of=day, status=one, settings=forced).count() == len(everything)

@@ -8,10 +8,11 @@ import pytest
 import __spark_entry__ as entry
 from opsgauge.checks.adapters import ADAPTERS, TABLES, adapter, with_adapters
 from opsgauge.checks.comparing import compare
+from opsgauge.checks.oracle import oracle_sql
+from opsgauge.checks.queries import QUERIES
 from tests.helpers import executed
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+ORACLE = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +26,7 @@ def duck(sf):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -143,15 +143,17 @@ def test_render_types_and_long_names(spark):
         "SELECT true AS flag, DATE '2024-01-05' AS d, TIMESTAMP_NTZ '2024-01-05 09:30:15.123456' AS t, "
         f"CAST(1.5 AS DECIMAL(9,2)) AS {'n' * 40}, CAST(NULL AS DATE) AS e"
     )
-    assert render_inserts(df, "x").first().sql_statement == (
-        f"""INSERT INTO x ("flag","d","t","{"n" * 30}","e") """
-        "VALUES (1,'2024-01-05','2024-01-05T09:30:15.123',1.50,NULL);"
-    )
+    values = "VALUES (1,'2024-01-05','2024-01-05T09:30:15.123',1.50,NULL);"
+    for limit, length in ((None, 40), (30, 30)):
+        statement = render_inserts(df, "x", max_identifier=limit).first().sql_statement
+        assert statement == f"""INSERT INTO x ("flag","d","t","{"n" * length}","e") {values}"""
+    with pytest.raises(ValueError, match="first 2 characters"):
+        render_inserts(spark.sql("SELECT 1 AS abc, 2 AS abd"), "x", max_identifier=2)
 
 
 def test_render_top(spark):
-    assert render_inserts(spark.range(1500), "x").count() == 1000
-    assert render_inserts(spark.range(1500), "x", top=None).count() == 1500
+    assert render_inserts(spark.range(1500), "x").count() == 1500
+    assert render_inserts(spark.range(1500), "x", top=1000).count() == 1000
     assert render_inserts(spark.range(9), "x", 1, [F.desc("id")]).first().sql_statement.endswith("(8);")
     with pytest.raises(ValueError):
         render_inserts(spark.sql("SELECT array(1) AS a"), "x")
@@ -168,18 +170,32 @@ COLUMNS = [
 def test_ddl_golden(spark):
     result = generate_ddl(spark.createDataFrame(COLUMNS, CATALOG_SCHEMA), "tgt").first()
     assert result.ddl_statement == (
-        'CREATE TABLE tgt.tmp_example_table("id" int NOT NULL,"name" varchar(50) CHARACTER SET UNICODE NOT '
+        'CREATE TABLE tgt."s.d.dbo.example_table"("id" int NOT NULL,"name" varchar(50) CHARACTER SET UNICODE NOT '
         'CASESPECIFIC NULL,"amount" DECIMAL(18,4) NOT NULL,"ts" TIMESTAMP(3) NULL);'
     )
-    assert result.truncate_statement == "DELETE FROM tgt.tmp_example_table;"
+    assert result.truncate_statement == 'DELETE FROM tgt."s.d.dbo.example_table";'
 
 
 def test_ddl_names_and_order(spark):
     long = [("s", "d", "nodot_" + "x" * 40, at, f"c{at}_" + "y" * 40, "BIT", None, None, None, True) for at in (10, 9, 2, 1)]
-    made = generate_ddl(spark.createDataFrame(long, CATALOG_SCHEMA), "tgt", max_identifier=5).first()
+    catalog = spark.createDataFrame(long, CATALOG_SCHEMA)
+    made = generate_ddl(catalog, "tgt", max_identifier=5, compat=True).first()
     assert made.target_table == "tgt.tmp_nodot_" + "x" * 20
     assert made.ddl_statement.endswith('("c1_yy" BYTEINT NULL,"c2_yy" BYTEINT NULL,"c9_yy" BYTEINT NULL,"c10_y" BYTEINT NULL);')
-    assert generate_ddl(spark.createDataFrame(long, CATALOG_SCHEMA), "tgt", "mine").first().target_table == "tgt.mine"
+    assert generate_ddl(catalog, "tgt", "mine").first().target_table == "tgt.mine"
+    with pytest.raises(Exception, match="first 1 characters"):
+        generate_ddl(catalog, "tgt", max_identifier=1).collect()
+
+
+def test_ddl_targets_differ(spark):
+    tables = [("s.a", "b", "t"), ("s", "a.b", "t"), ("s", "b", "dbo." + "x" * 40 + "1"), ("s", "b", "dbo." + "x" * 40 + "2")]
+    rows = [(*table, 1, "c", "bit", None, None, None, True) for table in tables]
+    catalog = spark.createDataFrame(rows, CATALOG_SCHEMA)
+    made = generate_ddl(catalog, "tgt").collect()
+    assert len({row.target_table for row in made}) == 4 and {row.same_target for row in made} == {1}
+    assert sorted(row.same_target for row in generate_ddl(catalog, "tgt", compat=True).collect()) == [2, 2, 2, 2]
+    with pytest.raises(ValueError, match="more than one table"):
+        generate_ddl(catalog, "tgt", "mine")
 
 
 def test_types_without_loss(spark):
