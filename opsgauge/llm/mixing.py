@@ -59,7 +59,7 @@ def balanced_rates(targets: DataFrame) -> DataFrame:
     source and separates by source, so the Newton iterations of all sources run side by side,
     on sums of the documents' sizes.
     """
-    goal = F.col("target") / F.col("source_size")
+    goal = F.col("target") / F.nullif(F.col("source_size"), F.lit(0))
     # The gradient is size x exp(m) - target, the second derivative size x exp(m).
     multiplier = F.aggregate(
         F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), lambda m, _: m - 1 + goal * F.exp(-m)
