@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsgauge.llm.shared import col, fresh, worker_cache
+from opsgauge.llm.shared import bounded_batches, col, fresh, worker_cache
 
 WINDOW_WORDS = 10
 # Benchmark text in one automaton; a larger benchmark is scanned for in blocks.
@@ -174,6 +174,7 @@ def contamination(
     without an id marks words but is not listed; repeated items count once.  An empty benchmark
     hits nothing.  Other columns are kept, an existing column ``name`` is replaced.
     """
+    bounded_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     [hits] = fresh(docs.columns, "hits")
     out = docs.withColumn(hits, F.lit(None).cast(_HITS))

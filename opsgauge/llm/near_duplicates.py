@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsgauge.llm.components import components
-from opsgauge.llm.shared import col, fresh, small, text_key, written
+from opsgauge.llm.shared import bounded_batches, col, fresh, small, text_key, written
 from opsgauge.llm.wordhash import LOWER, chunks, mixed, random_values, windows
 
 SHINGLE_WORDS = 5
@@ -126,6 +126,7 @@ def near_duplicates(
     no member has an id.  Rows with equal id and text are one document, each is returned.  Other
     columns are not read.  No rows: no rows.
     """
+    bounded_batches(docs.sparkSession)
     signed = docs.select(
         col(id_column).alias("id"),
         text_key(col(text_column)).alias("text_key"),

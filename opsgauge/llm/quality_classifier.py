@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsgauge.llm.shared import col, fresh, text_key, written
+from opsgauge.llm.shared import bounded_batches, col, fresh, text_key, written
 from opsgauge.llm.wordhash import LOWER, chunks, windows
 
 BUCKETS = 1 << 17
@@ -115,6 +115,7 @@ def fit_importance(
     chosen between good and bad documents.  Contradicting labels of one id count as
     bad; a NULL quality is no label.  Without good labels every ratio and the cut are 0.
     """
+    bounded_batches(docs.sparkSession)
     plain = docs.select(col(id_column).alias("id"), col(text_column).alias("text"))
     labels = labels.select(col(id_column).alias("id"), "quality", "toxic")
     marked = _labelled(plain, labels, "id", max_labels)
@@ -157,6 +158,7 @@ def importance(
 
     NULL and empty texts weigh 0.
     """
+    bounded_batches(docs.sparkSession)
     ratios = docs.sparkSession.sparkContext.broadcast(model.ratios)
     [found] = fresh(docs.columns, "found")
     out = docs.withColumn(found, _weigher(ratios, len(model.ratios) // 2)(col(text_column)))

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsgauge.llm.shared import col
+from opsgauge.llm.shared import bounded_batches, col
 
 # Fixed patterns, searched from the left without overlap within a kind; then too short matches are dropped.
 ASSIGN = re.compile(
@@ -117,6 +117,7 @@ def secrets(
     column ``name`` is replaced.
     """
 
+    bounded_batches(docs.sparkSession)
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         keys = ("kind", "start", "end", "novelty")
         for texts in batches:

@@ -38,6 +38,15 @@ def written(df: DataFrame, purpose: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers in batches of bounded size, however long the texts are.
+
+    Sets the session's limits for Arrow batches; they hold for the queries that follow.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 * 1024**2))
+
+
 def written_paths() -> list[str]:
     """The intermediate tables written so far and not dropped."""
     return list(_written)

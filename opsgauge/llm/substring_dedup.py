@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsgauge.llm.shared import col, small, text_key, written
+from opsgauge.llm.shared import bounded_batches, col, small, text_key, written
 from opsgauge.llm.wordhash import EXACT, chunks, mixed, random_values, windows
 
 LENGTH = 20
@@ -160,6 +160,7 @@ def repeated_windows(
     ``doc`` is the key of id and text.  Earlier means a smaller id (NULL ids come last; among equal
     ids the smaller text key), or the same document and an earlier word.
     """
+    bounded_batches(docs.sparkSession)
     keyed = docs.select(
         col(id_column).alias("id"), text_key(col(text_column), col(id_column)).alias("doc"), col(text_column).alias("body")
     )

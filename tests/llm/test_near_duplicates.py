@@ -110,8 +110,9 @@ def test_components_of_nothing(spark):
 
 def test_signature_agreement_is_the_similarity(spark):
     # The share of equal bands of one value estimates the similarity without bias.
-    left = spark.range(400).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(99)), lambda x: F.concat(F.col("id") * 1000 + x))).alias("t"))
-    right = left.select(F.concat_ws(" ", "t", F.lit("a b c d e f g h i j k l m n o p q r s t u v w x y")).alias("t"))
+    words = lambda last: F.transform(F.sequence(F.lit(0), F.lit(last)), lambda x: (F.col("id") * 1000 + x).cast("string"))
+    left = spark.range(400).select("id", F.concat_ws(" ", words(99)).alias("t")).orderBy("id")
+    right = spark.range(400).select("id", F.concat_ws(" ", words(124)).alias("t")).orderBy("id")
     sign = nd._signer(1, 32, 1)
     a = [row.s.bands for row in left.select(sign("t").alias("s")).collect()]
     b = [row.s.bands for row in right.select(sign("t").alias("s")).collect()]
