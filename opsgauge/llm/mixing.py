@@ -155,7 +155,10 @@ def _with_prefix(rows: DataFrame, state: DataFrame, at: int, sources: int) -> Da
         sums = sums.withColumn("until", F.sum("words").over(order))
         # The first range that no longer fits is looked into at the next level.
         ends = sums.groupBy("source").agg(
-            F.min_by(F.struct("part", "n", (F.col("until") - F.col("words")).alias("before")), F.when(F.col("until") > F.col("missing"), F.col("part"))).alias("end"),
+            F.min_by(
+                F.struct("part", "n", (F.col("until") - F.col("words")).alias("before")),
+                F.when(F.col("until") > F.col("missing"), F.col("part")),
+            ).alias("end"),
             F.max("until").alias("all"),
         )
         ends = ends.select(F.col("source").alias("source0"), "end", "all")

@@ -204,7 +204,8 @@ def _roots(
     sets = written(texts.select("node", _set_reader(shingle_words)("body").alias("grams")), "sets")
 
     # Two bands together hold mostly documents that are truly similar: these join first.
-    fine = F.transform(F.sequence(F.lit(0), F.size("bands") - 2, F.lit(2)), lambda at: F.xxhash64(F.get("bands", at), F.get("bands", at + 1), at))
+    evens = F.sequence(F.lit(0), F.size("bands") - 2, F.lit(2))
+    fine = F.transform(evens, lambda at: F.xxhash64(F.get("bands", at), F.get("bands", at + 1), at))
     close = nodes.join(involved.select("node"), "node", "left_semi").filter(F.size("bands") > 1)
     close = _members(close.select("node", F.explode(fine).alias("bucket")))
     shared = close.filter("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("times"))
@@ -231,7 +232,10 @@ def _block_links(heavy: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
+    cells = F.transform(
+        F.sequence(F.lit(0), blocks - 1),
+        lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")),
+    )
     rows = heavy.select("bucket", "node", "root", F.explode(cells).alias("cell")).join(sets, "node")
     rows = rows.select("bucket", "cell.*", "node", "root", "grams")
 

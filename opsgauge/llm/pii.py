@@ -92,7 +92,12 @@ def _permuted_digits(digits: Column, key: str, tweak: str) -> Column:
     own = F.concat(F.lit(tweak), F.length(digits).cast("string"))
     for turn in range(ROUNDS):
         pair = _once(pair, _shift(turn, key, lambda x: F.concat_ws("/", own, x), power(half), power(rest)))
-    return _once(pair, lambda p: F.concat(F.when(half > 0, F.lpad(p["a"].cast("string"), half, "0")).otherwise(""), F.lpad(p["b"].cast("string"), rest, "0")))
+
+    def written_out(p: Column) -> Column:
+        first = F.when(half > 0, F.lpad(p["a"].cast("string"), half, "0")).otherwise("")
+        return F.concat(first, F.lpad(p["b"].cast("string"), rest, "0"))
+
+    return _once(pair, written_out)
 
 
 def _refilled(text: Column, digits: Column) -> Column:
@@ -122,7 +127,11 @@ def _card(text: Column, key: str) -> Column:
         body = _permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
         return _once(body, lambda b: F.concat(b, F.pmod(-_luhn_sum(b, 0), F.lit(10)).cast("string")))
 
-    return _once(_digits(text), lambda d: F.when(F.pmod(_luhn_sum(d, 1), F.lit(10)) == 0, _once(changed(d), lambda new: _refilled(text, new))))
+    def if_valid(digits: Column) -> Column:
+        valid = F.pmod(_luhn_sum(digits, 1), F.lit(10)) == 0
+        return F.when(valid, _once(changed(digits), lambda new: _refilled(text, new)))
+
+    return _once(_digits(text), if_valid)
 
 
 def _phone(text: Column, key: str) -> Column:
@@ -190,7 +199,8 @@ def _shifted(text: Column, by: Column, key: str, turn: int) -> Column:
         def ring(first: int, size: int) -> Column:
             return F.char(F.pmod(code - first + step, F.lit(size)) + first)
 
-        return F.when(c.rlike("[0-9]"), ring(48, 10)).when(c.rlike("[A-Z]"), ring(65, 26)).when(c.rlike("[a-z]"), ring(97, 26)).otherwise(c)
+        digit = F.when(c.rlike("[0-9]"), ring(48, 10))
+        return digit.when(c.rlike("[A-Z]"), ring(65, 26)).when(c.rlike("[a-z]"), ring(97, 26)).otherwise(c)
 
     return F.when(text == "", "").otherwise(F.array_join(F.transform(F.split(text, ""), moved), ""))
 

@@ -185,7 +185,8 @@ def repeated_windows(
     seen = seen.filter((F.col("doc") != F.col("at.doc")) | (F.col("start") != F.col("at.start")))
     # First runs that share a short window with a different one: compare their windows.
     mixed_short = written(first.groupBy("short").agg(F.count("*").alias("n")).filter("n > 1").select("short"), "mixed")
-    contested = first.join(mixed_short, "short", "left_semi").select("run", F.col("at.doc").alias("doc"), F.col("at.start").alias("start"))
+    contested = first.join(mixed_short, "short", "left_semi")
+    contested = contested.select("run", F.col("at.doc").alias("doc"), F.col("at.start").alias("start"))
     contested = written(contested, "contested")
     rows = runs.join(small(contested, 24), ["run", "doc", "start"], "left_semi")
     rows = rows.select("doc", "id", F.col("start").alias("begin"), F.posexplode("windows").alias("offset", "window"))

@@ -50,7 +50,11 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     fits = [
         F.when(
             ((host == of) | host.endswith("." + of)) & path.startswith(start),
-            F.struct(F.lit(len(of + start)).alias("length"), F.lit(verdict == "allow").alias("allow"), F.lit(of + start).alias("rule")),
+            F.struct(
+                F.lit(len(of + start)).alias("length"),
+                F.lit(verdict == "allow").alias("allow"),
+                F.lit(of + start).alias("rule"),
+            ),
         )
         for verdict, of, start in rules
     ]
@@ -119,7 +123,8 @@ def url_verdicts(
     members = written(members.withColumn("own", rule_of(url_host(slash), url_path(slash), rules)), "members")
     groups = written(
         members.groupBy("root").agg(
-            F.count_if(F.col("own.verdict") == "block").alias("blocked"), F.count_if(F.col("own.verdict") == "allow").alias("allowed")
+            F.count_if(F.col("own.verdict") == "block").alias("blocked"),
+            F.count_if(F.col("own.verdict") == "allow").alias("allowed"),
         ),
         "groups",
     )
