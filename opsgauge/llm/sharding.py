@@ -16,7 +16,7 @@ from opsgauge.llm.shared import MAX_BROADCAST_BYTES, col, fresh, written
 
 SHARDS = 24
 # A shard is permuted in parts of about this many rows, each in a task of its own.
-ROWS_PER_PART = 20_000
+ROWS_PER_PART = 5_000
 # Draws are by inversion within so many standard deviations: beyond lies less than 1e-30.
 _DEVIATIONS = 12
 
