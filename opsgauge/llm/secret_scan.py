@@ -34,6 +34,9 @@ SENSITIVE = re.compile(
 )
 NEAR_CHARS, AROUND_CHARS = 48, 400
 MIN_NOVELTY = 0.85
+# Compressed in blocks of fewer bytes than zstd's entropy coding starts at: a random string keeps all its
+# bytes whatever its length and alphabet, and only what was seen before becomes shorter.
+BLOCK_BYTES, BLOCK_HEADER = 63, 3
 
 # Words of code and configuration that are no secrets.
 IDENTIFIERS = (
@@ -63,7 +66,16 @@ def novelty(candidate: bytes, around: bytes) -> float:
     press = zstandard.ZstdCompressor(
         level=3, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False
     )
-    return (len(press.compress(candidate)) - len(press.compress(b""))) / len(candidate)
+    blocks = -(-len(candidate) // BLOCK_BYTES)
+    if blocks <= 1:
+        return (len(press.compress(candidate)) - len(press.compress(b""))) / len(candidate)
+    # Blocks of equal size; each sees all bytes before it.
+    size = -(-len(candidate) // blocks)
+    stream, added = press.compressobj(size=len(candidate)), -len(press.compress(b""))
+    for at in range(0, len(candidate), size):
+        added += len(stream.compress(candidate[at : at + size]))
+        added += len(stream.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)) - BLOCK_HEADER
+    return (added + len(stream.flush())) / len(candidate)
 
 
 def find_spans(raw: bytes | None, min_novelty: float = MIN_NOVELTY) -> list[tuple[str, int, int, float | None]]:

@@ -4,6 +4,8 @@ import random
 import re
 import string
 
+import pytest
+
 from opsgauge.llm.secret_scan import find_spans, listed, novelty, secrets
 
 HEX = "0123456789abcdef"
@@ -62,6 +64,20 @@ def test_novelty_is_low_for_what_was_seen():
     assert novelty(b"zK3q9Xw8Lm5Tb2Vn7Rp4", b"some other text") > 0.9
 
 
+@pytest.mark.parametrize("size", [64, 96, 128, 450, 1024])
+@pytest.mark.parametrize(
+    "alphabet", [HEX.upper(), string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "+/"]
+)
+def test_long_random_keys_are_novel_whatever_their_alphabet(alphabet, size):
+    rng = random.Random(size)
+    for _ in range(20):
+        key = "".join(rng.choices(alphabet, k=size))
+        text = f"The header is Authorization: Bearer {key} and more text follows"
+        assert [(kind, text[start:end]) for kind, start, end, _ in find_spans(text.encode())] == [("novel", key)]
+        # What repeats inside a long string is not new.
+        assert novelty((key[:32] * 20).encode(), b"") < 0.5
+
+
 def test_empty_table_and_long_text(spark):
     rows = spark.createDataFrame([], "text string")
     assert secrets(rows).count() == 0
