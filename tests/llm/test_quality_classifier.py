@@ -42,6 +42,31 @@ def test_held_out_accuracy(spark):
     assert right / len(unseen) > 0.95
 
 
+def test_one_bad_word_counts_in_texts_of_any_length(spark):
+    rng = random.Random(5)
+    words = [f"word{at}" for at in range(300)]
+    rows, labels = [], []
+    for doc in range(600):
+        bad = doc % 4 == 0
+        parts = rng.choices(words, k=3000 if doc % 40 == 0 else rng.randint(30, 120))
+        if bad:
+            parts[len(parts) // 2] = rng.choice(["moron", "scum"])
+        # Good documents with many words that are common in unlabelled ones only.
+        elif doc % 3 == 0:
+            parts = ["odd", "strange"] * 50
+        elif doc % 10 == 1:
+            parts[::10] = ["odd"] * len(parts[::10])
+        rows.append((doc, " ".join(parts)))
+        if doc % 3:
+            labels.append((doc, 1, int(bad)))
+    docs, labelled = frames(spark, rows, labels)
+    kept = {row.doc_id for row in resample(docs, labelled).filter("kept").collect()}
+    bad = {doc for doc in range(600) if doc % 4 == 0}
+    good = {doc for doc in range(600) if doc % 4 and doc % 3}
+    assert not kept & bad
+    assert len(kept & good) > 0.95 * len(good)
+
+
 def test_weights_equal_the_log_ratios(spark):
     rows, labels = corpus(spark, size=40)
     docs, labelled = frames(spark, rows, labels)
