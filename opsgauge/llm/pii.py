@@ -31,7 +31,19 @@ PATTERNS = {
     "date": r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9./])[0-9]{2}([./])[0-9]{2}\4(?:19|20)[0-9]{2}(?![0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
 }
-ANY = "|".join(PATTERNS[kind] for kind in KINDS)
+# Every place where an account number may start, with the longest text that looks like one.
+IBAN_STARTS = _EDGE + "(?=(" + PATTERNS["iban"] + "))"
+# Lengths by country, of the IBAN registry; elsewhere any length.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 # The days of the 200 years from here on are 17 x 4297.
 FIRST_DAY, DAY_ROWS, DAY_COLUMNS = "1900-01-01", 17, 4297
 
@@ -244,9 +256,47 @@ def _iban(text: Column, key: str) -> Column:
         )
 
     plain = F.replace(text, F.lit(" "), F.lit(""))
-    valid = _iban_rest(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1
-    has_digits = F.length(_digits(F.substring(plain, F.lit(5), F.length(plain)))) > 0
-    return F.when(valid & has_digits, _once(changed(plain), lambda digits: _refilled(text, digits)))
+    return F.when(_is_iban(plain), _once(changed(plain), lambda digits: _refilled(text, digits)))
+
+
+def _is_iban(plain: Column) -> Column:
+    """Whether a number without blanks has its country's length, a digit in the account and fitting check digits."""
+    account = F.substring(plain, F.lit(5), F.length(plain))
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    length = F.coalesce(F.try_element_at(lengths, F.substring(plain, 1, 2)), F.length(plain))
+    fits = (F.length(plain) == length) & (F.length(_digits(account)) > 0)
+    return F.when(fits, _iban_rest(F.concat(account, F.substring(plain, 1, 4))) == 1).otherwise(F.lit(False))
+
+
+def _ibans(text: Column) -> Column:
+    """The account numbers of a text, as written, longest first.
+
+    What follows a number can look like more of it, so of each start the longest part up to a blank
+    that is valid is taken.
+    """
+
+    def longest(found: Column) -> Column:
+        words = F.split(found, " ")
+        parts = F.transform(
+            F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " ")
+        )
+        # As long as the pattern asks for.
+        return F.get(
+            F.filter(parts, lambda x: (F.length(F.replace(x, F.lit(" "), F.lit(""))) >= 12) & _is_iban(F.replace(x, F.lit(" "), F.lit("")))),
+            F.lit(0),
+        )
+
+    starts = F.array_distinct(F.coalesce(F.regexp_extract_all(text, F.lit(IBAN_STARTS), F.lit(1)), F.array().cast("array<string>")))
+    found = F.array_distinct(F.filter(F.transform(starts, longest), lambda x: x.isNotNull()))
+    return F.array_sort(found, lambda a, b: F.length(b) - F.length(a))
+
+
+def _any(ibans: Column) -> Column:
+    """The pattern of all kinds for a text that holds ``ibans``: no other text is taken for an account number."""
+    at = KINDS.index("iban")
+    before, after = ("|".join(PATTERNS[kind] for kind in kinds) for kinds in (KINDS[:at], KINDS[at + 1 :]))
+    own = F.concat(F.lit(f"{before}|{_EDGE}(?=[A-Z]{{2}}[0-9]{{2}})(?:"), F.array_join(ibans, "|"), F.lit(f"){_END}|{after}"))
+    return F.when(F.size(ibans) > 0, own).otherwise(F.lit(f"{before}|{after}"))
 
 
 def _pseudonym(found: Column, key: str) -> Column:
@@ -272,15 +322,17 @@ def pseudonymized(docs: DataFrame, key: str, text_column: str = "text", name: st
 
     ``key`` is secret: with the same key, equal values get equal pseudonyms in all documents and runs.
     What only looks like personal data (a card number that fails its check digit, the 31st of
-    June, an address above 255) stays as it is.  NULL stays NULL and empty stays empty, without counts.  Other
+    June, an address above 255, an account number without its country's length) stays as it is.  NULL stays NULL and empty stays empty, without counts.  Other
     columns are kept, an existing column ``name`` is replaced.  No rows: no rows.
     """
-    matches, gaps, made = fresh(docs.columns, "matches", "gaps", "made")
+    ibans, pattern, matches, gaps, made = fresh(docs.columns, "ibans", "pattern", "matches", "gaps", "made")
     text = col(text_column)
-    step = docs.withColumn(matches, F.coalesce(F.regexp_extract_all(text, F.lit("(?:" + ANY + ")"), F.lit(0)), F.array().cast("array<string>")))
+    step = docs.withColumn(ibans, _ibans(text))
+    step = step.withColumn(pattern, _any(F.col(ibans)))
+    step = step.withColumn(matches, F.coalesce(F.regexp_extract_all(text, F.col(pattern), F.lit(0)), F.array().cast("array<string>")))
     step = step.withColumn(made, F.transform(matches, lambda m: _pseudonym(m, key)))
     # The text between the matches; most texts have none and are not cut.
-    step = step.withColumn(gaps, F.when(F.size(matches) > 0, F.split(text, ANY)))
+    step = step.withColumn(gaps, F.when(F.size(matches) > 0, F.split(text, F.col(pattern))))
     new = F.transform(
         gaps,
         lambda gap, at: F.concat(gap, F.coalesce(F.get(F.col(made), at)["text"], F.get(F.col(matches), at), F.lit(""))),
@@ -293,5 +345,5 @@ def pseudonymized(docs: DataFrame, key: str, text_column: str = "text", name: st
         ),
     )
     return step.withColumns({text_column: F.when(F.size(matches) > 0, F.array_join(new, "")).otherwise(text), name: counts}).drop(
-        matches, gaps, made
+        ibans, pattern, matches, gaps, made
     )

@@ -77,6 +77,36 @@ def test_invalid_values_and_other_text_stay(spark):
     assert all(x.n == 0 for row in found.values() for x in row.pii)
 
 
+IBANS = ["BE68 5390 0754 7034", "BE68539007547034", "ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "NO93 8601 1117 947"]
+
+
+@pytest.mark.parametrize("after", [" EUR 20", " BIC", " CODE ABCD", " EUROPA", " 2024", " and", ""])
+def test_account_numbers_end_where_their_country_says(spark, after):
+    found = run(spark, [f"to {iban}{after}" for iban in IBANS])
+    for at, iban in enumerate(IBANS):
+        new = found[at].text.removeprefix("to ").removesuffix(after)
+        assert len(new) == len(iban) and new != iban and shape(new) == shape(iban)
+        plain = new.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+        assert {x.kind: x.n for x in found[at].pii if x.n} == {"iban": 1}
+
+
+def test_what_follows_an_account_number_is_left_to_other_kinds(spark):
+    texts = [
+        ("BE68 5390 0754 7034 2024-01-31", {"iban": 1, "date": 1}),
+        ("BE68 5390 0754 7034 4111 1111 1111 1111", {"iban": 1, "card": 1}),
+        # Not valid, or of no country: the rest is found all the same.
+        ("BE12 3456 7890 2024-01-31", {"date": 1}),
+        ("AB12 3456 7890 2024-01-31", {"date": 1}),
+        ("AB12 3456 7890 BE68 5390 0754 7034 EUR", {"iban": 1}),
+        ("BE68 5390 0754 7034 ES91 2100 0418 4502 0005 1332 EUR", {"iban": 2}),
+    ]
+    found = run(spark, [text for text, _ in texts])
+    for at, (text, kinds) in enumerate(texts):
+        assert {x.kind: x.n for x in found[at].pii if x.n} == kinds, text
+        assert shape(found[at].text) == shape(text) and found[at].text != text
+
+
 def test_equal_values_are_linked_and_different_ones_stay_different(spark):
     rng = random.Random(1)
     cards = [card(rng, rng.choice([13, 15, 16, 19])) for _ in range(200)]
