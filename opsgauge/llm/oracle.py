@@ -1,7 +1,7 @@
 """The SQL that the text queries must equal, for those that SQL can express.
 
 Not here: sharding and mixing (random draws), the classifier (hashed counts), the secret scan
-(a compressor) and the pseudonyms (a keyed network).  They are tested by brute force, by
+(a compressor), the pseudonyms (a keyed network) and the token alignment (tokenizers).  They are tested by brute force, by
 invariants and by held-out accuracy.
 """
 
@@ -178,10 +178,61 @@ FROM pages2 LEFT JOIN best USING (page_id)
 """
 
 
+_TRIE = """
+WITH turns AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+bits AS (
+  SELECT *, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+                                   lambda c: [CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])) AS steps
+  FROM turns),
+shared AS (
+  SELECT conv_id, turns,
+         CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), steps),
+              lambda crc, step: xor(xor(crc, step) >> 1, 3988292384 * (xor(crc, step) & 1))), 4294967295) % 6 AS INT) AS h
+  FROM bits),
+rebuilt AS (
+  SELECT s.conv_id, list_concat(coalesce(t.turns[1 : s.h], []), s.turns[s.h + 1 :]) AS turns
+  FROM shared s LEFT JOIN turns t ON t.conv_id = s.conv_id - s.conv_id % 100),
+steps AS (SELECT conv_id, len(turns) AS size, d, turns[1 : d] AS path FROM rebuilt, unnest(range(0, len(turns) + 1)) AS t(d)),
+nodes AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (size = d), '')) AS ends_sha256
+  FROM steps GROUP BY path, d),
+kids AS (SELECT path[1 : d - 1] AS path, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+own AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children,
+         CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(path[d].text) END AS saved
+  FROM nodes LEFT JOIN kids USING (path, d)),
+sums AS (
+  SELECT path[1 : up] AS path, up AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM own, unnest(range(0, d + 1)) AS t(up) GROUP BY ALL)
+SELECT own.conv_id, own.d AS depth, above.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, own.ends_sha256
+FROM own JOIN sums USING (path, d) LEFT JOIN nodes above ON above.path = own.path[1 : own.d - 1] AND above.d = own.d - 1
+"""
+
+_LINES = f"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+keyed AS (
+  SELECT *, {_lower("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM lines),
+many AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+judged AS (SELECT doc_id, pos, line, keeper IS NULL OR doc_id = keeper AS stays FROM keyed LEFT JOIN many USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_decontamination": _DECONTAMINATION,
     "op3_minhash_near_dedup": _NEAR,
     "op4_quality_rules": _quality(),
     "op6_substring_dedup": _REPEATS,
     "op8_url_filter": _urls(),
+    "op11_prefix_trie": _TRIE,
+    "op12_line_dedup": _LINES,
 }

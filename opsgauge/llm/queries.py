@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsgauge.llm.decontamination import contamination
+from opsgauge.llm.line_dedup import without_repeated_lines
 from opsgauge.llm.mixing import mixed
 from opsgauge.llm.near_duplicates import near_duplicates
 from opsgauge.llm.pii import KINDS as PII_KINDS
 from opsgauge.llm.pii import pseudonymized
+from opsgauge.llm.prefix_trie import prefix_trie, turn_sequences, with_ends_digest, with_shared_heads
 from opsgauge.llm.quality_classifier import resample
 from opsgauge.llm.quality_rules import quality_rules
 from opsgauge.llm.secret_scan import listed, secrets
 from opsgauge.llm.sharding import SHARDS, sharded
 from opsgauge.llm.substring_dedup import remove_repeats
+from opsgauge.llm.token_alignment import align_tokens
 from opsgauge.llm.url_filter import url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +147,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source"
     )
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # How many turns a conversation shares with the first one of its hundred: 0 to 5, by its id.
+    shared = F.crc32(F.encode(F.col("conv_id").cast("string"), "UTF-8")) % 6
+    sequences = turn_sequences(table(spark, sf_dir, "conversations"))
+    nodes, ends = prefix_trie(with_shared_heads(sequences, block=100, shared=shared, most=5))
+    return with_ends_digest(nodes, ends).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = align_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
