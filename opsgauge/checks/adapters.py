@@ -143,6 +143,21 @@ SELECT {_scope("l_partkey")}, l_partkey AS object_id, 2 AS index_id,
 FROM {{lineitem}}
 GROUP BY l_partkey
 HAVING max(l_shipdate) >= TIMESTAMP '2000-06-01 00:00:00'""",
+    "usage_snapshots": f"""
+SELECT server, database_id, object_id, 2 AS index_id, snapshot_ts, stats_since,
+       CAST(sum(seeks) OVER w AS BIGINT) AS user_seeks, CAST(sum(scans) OVER w AS BIGINT) AS user_scans,
+       CAST(sum(lookups) OVER w AS BIGINT) AS user_lookups, CAST(sum(updates) OVER w AS BIGINT) AS user_updates
+FROM (
+    SELECT {_scope("l_partkey")}, l_partkey AS object_id, max(l_shipdate) AS snapshot_ts,
+           CASE WHEN year(l_shipdate) < 1997 THEN TIMESTAMP '1990-01-01 00:00:00'
+                WHEN year(l_shipdate) * 100 + month(l_shipdate) < 199907 THEN TIMESTAMP '1997-01-01 00:00:00'
+                ELSE TIMESTAMP '1999-07-01 00:00:00' END AS stats_since,
+           count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS seeks,
+           count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS scans,
+           count(CASE WHEN l_returnflag = 'N' THEN 1 END) AS lookups, count(*) AS updates
+    FROM {{lineitem}}
+    GROUP BY l_partkey, year(l_shipdate), month(l_shipdate)) AS monthly
+WINDOW w AS (PARTITION BY object_id, stats_since ORDER BY snapshot_ts)""",
     "part_partitions": f"""
 SELECT {_scope("p_partkey")}, p_partkey AS object_id, 2 AS index_id,
        p_partkey * 2 AS partition_id, CAST(p_size AS BIGINT) AS rows
@@ -183,6 +198,29 @@ SELECT {_scope("doc_id")}, doc_id AS plan_handle,
                  || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
                  || CASE doc_id % 3 WHEN 0 THEN '<MissingIndex Database="d"/>' WHEN 1 THEN 'no MissingIndex here' ELSE '' END
                  || '</S></ShowPlanXML>' END AS query_plan
+FROM {{documents}}""",
+    "advice_plans": f"""
+SELECT {_scope("doc_id")}, doc_id AS plan_handle,
+       CASE WHEN doc_id % 10 <> 9 THEN doc_id % 100 END AS object_id,
+       CASE WHEN doc_id % 50 = 7 THEN '<ShowPlanXML><MissingIndexGroup Impact="1"><MissingIndex Database="d"/>'
+            ELSE '<ShowPlanXML xmlns="http://schemas.example.org/showplan"><!-- <MissingIndexGroup Impact="1"></MissingIndexGroup> -->'
+                 || '<Statements><StmtSimple StatementText="q"><QueryPlan>'
+                 || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
+                 || CASE WHEN doc_id % 4 < 3 THEN '<MissingIndexes>'
+                    || '<MissingIndexGroup Impact="' || CAST(doc_id % 90 + 10 AS STRING) || '.5">'
+                    || '<MissingIndex Database="[db]" Schema="[dbo]" Table="[t' || CAST(doc_id % 20 AS STRING) || ']">'
+                    || '<ColumnGroup Usage="EQUALITY"><Column Name="[a' || CAST(doc_id % 3 AS STRING) || ']" ColumnId="1"/>'
+                    || '<Column Name="[b]" ColumnId="2"/></ColumnGroup>'
+                    || CASE WHEN doc_id % 2 = 0 THEN '<ColumnGroup Usage="INCLUDE"><Column Name="[c]" ColumnId="3"/></ColumnGroup>'
+                       ELSE '' END
+                    || '</MissingIndex></MissingIndexGroup>'
+                    || CASE WHEN doc_id % 4 = 1 THEN '<MissingIndexGroup Impact="50.25">'
+                       || '<MissingIndex Database="[db]" Schema="[dbo]" Table="[u]"><ColumnGroup Usage="INEQUALITY">'
+                       || '<Column Name="[d]" ColumnId="4"/></ColumnGroup></MissingIndex>'
+                       || '<MissingIndex Database="[db]" Schema="[dbo]" Table="[v]"><ColumnGroup Usage="EQUALITY">'
+                       || '<Column Name="[e]" ColumnId="5"/></ColumnGroup></MissingIndex></MissingIndexGroup>' ELSE '' END
+                    || '</MissingIndexes>' ELSE '' END
+                 || '</QueryPlan></StmtSimple></Statements></ShowPlanXML>' END AS query_plan
 FROM {{documents}}""",
     "query_stats": f"""
 SELECT CASE WHEN CAST(floor(event_id / 10) AS BIGINT) % 25 < 13 THEN 'east' ELSE 'west' END AS server,
@@ -260,6 +298,20 @@ SELECT server, publication, tracer_id, 'mirror' AS subscriber, 'db9' AS subscrib
        ts + INTERVAL 1 SECOND * CAST(event_id % 7 + event_id % 5 AS INT) AS subscriber_ts
 FROM {tokens}
 WHERE publication = 'view'""",
+    "subscriptions": """
+SELECT server, publication, 'sub' || CAST(no AS STRING) AS subscriber, 'db' || CAST(no % 2 AS STRING) AS subscriber_db
+FROM (SELECT DISTINCT server, publication FROM {tokens}) AS published
+CROSS JOIN (SELECT DISTINCT r_regionkey AS no FROM {region} WHERE r_regionkey < 3) AS numbers
+WHERE publication <> 'error' OR server = 'west'""",
+    "deliveries": """
+SELECT t.server, t.publication, tracer_id, subscriber, subscriber_db,
+       ts + INTERVAL 1 SECOND * CAST(event_id % 7 AS INT) AS distributor_ts,
+       CASE WHEN event_id % 50 <> 3
+            THEN ts + INTERVAL 1 SECOND * CAST(event_id % 7 + event_id % 11 AS INT) END AS subscriber_ts
+FROM {tokens} AS t
+JOIN {subscriptions} AS s ON s.server = t.server AND s.publication = t.publication
+WHERE NOT (t.server = 'east' AND subscriber = 'sub1' AND ts >= TIMESTAMP '2024-01-16 00:00:00')
+  AND NOT (t.publication = 'view' AND subscriber = 'sub2')""",
     "fleet_columns": """
 SELECT 'srv' || CAST(p_partkey % 20 AS STRING) AS server,
        'db' || CAST(CAST(floor(p_partkey / 20) AS BIGINT) % 3 AS STRING) AS database,

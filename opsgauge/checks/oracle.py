@@ -474,6 +474,20 @@ SELECT * FROM (
         FROM ({_RUN}) WHERE action <> 'SKIP')
     WINDOW w AS (ORDER BY range_scan_count DESC, {_UNIT_ORDER}))
 WHERE seconds_before < 1200""")
+# Runs 1 and 2 print 20 units each, run 3 works on all, run 4 starts over; the last scan's status is left.
+_WORK = _decided(_CANDIDATES)
+ORACLE["maintenance_cycle"] = f"""
+WITH work AS (
+    SELECT *, row_number() OVER (ORDER BY range_scan_count DESC, {_UNIT_ORDER}) AS place
+    FROM ({_WORK}) WHERE action <> 'SKIP'),
+runs(run_id, low, high, logged) AS (
+    VALUES ('run1', 0, 20, FALSE), ('run2', 20, 40, FALSE), ('run3', 0, 1000000000, TRUE), ('run4', 0, 20, FALSE))
+SELECT run_id, {_UNIT_ORDER}, place - low AS priority, action,
+       CASE WHEN logged THEN CASE WHEN object_id % 7 = 3 THEN 'FAILED' ELSE 'DONE' END END AS status,
+       CASE WHEN logged THEN CASE WHEN object_id % 7 = 3 THEN -1 ELSE page_count END END AS durationSeconds,
+       CASE WHEN logged AND object_id % 7 = 3 THEN 'deadlock' END AS errorMessage,
+       place <= 20 AS printStatus, FALSE AS done
+FROM work JOIN runs ON place > low AND place <= high"""
 ORACLE["maintenance_plan"] = f"""
 SELECT *, row_number() OVER (ORDER BY range_scan_count DESC, server, database_id, object_id, index_id, partition_number) AS priority
 FROM ({_decided(_MASKED.replace("{units}", ORACLE["maintenance_without_latest"]))})"""
@@ -640,6 +654,80 @@ ORACLE["latency_stream"] = f"""
 SELECT server, publication, tracer_id, post_ts, {_HOPS}
 FROM {{posts}} LEFT JOIN {{receipts}} USING (server, publication, tracer_id)"""
 
+# Every token once for each subscription; a publication without one keeps a single row.
+_BY_SUBSCRIPTION = f"""
+SELECT server, publication, iteration, tracer_id, post_ts, {_HOPS}
+FROM (
+    SELECT server, publication, tracer_id, post_ts,
+           row_number() OVER (PARTITION BY server, publication ORDER BY post_ts, tracer_id) AS iteration FROM {{posts}})
+LEFT JOIN {{subscriptions}} USING (server, publication)
+LEFT JOIN (SELECT server, publication, tracer_id, subscriber, subscriber_db, distributor_ts, subscriber_ts FROM {{deliveries}})
+    USING (server, publication, tracer_id, subscriber, subscriber_db)"""
+ORACLE["subscription_latency"] = f"SELECT * EXCLUDE (post_ts) FROM ({_BY_SUBSCRIPTION})"
+ORACLE["subscription_stream"] = _BY_SUBSCRIPTION
+_REPORT = """server, publication, subscriber, subscriber_db, count(*) AS tokens,
+       count(*) - count(overall_latency) AS undelivered, CAST(sum(overall_latency) AS BIGINT) AS total_latency,
+       max(overall_latency) AS max_latency"""
+ORACLE["latency_windows_stream"] = f"""
+SELECT from_ts, from_ts + INTERVAL 6 HOURS AS to_ts, {_REPORT}
+FROM (
+    SELECT *, time_bucket(INTERVAL 3 HOURS, post_ts, TIMESTAMP '2024-01-01 00:00:00') - INTERVAL 3 HOURS * back AS from_ts
+    FROM ({_BY_SUBSCRIPTION}), (VALUES (0), (1)) AS v(back))
+GROUP BY ALL"""
+ORACLE["latency_sessions"] = f"""
+SELECT min(post_ts) AS from_ts, max(post_ts) + INTERVAL 15 MINUTES AS to_ts, {_REPORT}
+FROM (
+    SELECT *, sum(CAST(begins AS INT)) OVER (PARTITION BY server, publication, subscriber, subscriber_db
+                                             ORDER BY post_ts, tracer_id) AS no
+    FROM (
+        SELECT *, coalesce(post_ts >= lag(post_ts) OVER (PARTITION BY server, publication, subscriber, subscriber_db
+                                                        ORDER BY post_ts, tracer_id) + INTERVAL 15 MINUTES, TRUE) AS begins
+        FROM ({_BY_SUBSCRIPTION})))
+GROUP BY server, publication, subscriber, subscriber_db, no"""
+
+ORACLE["latency_purge_hour"] = """
+SELECT server, publication AS publicationName, tracer_id, post_ts AS monitorDate
+FROM {posts} WHERE post_ts >= TIMESTAMP '2024-01-15 12:37:20'"""
+
+# Counted from the rows themselves, not from snapshots.
+_IN_PERIOD = "l_shipdate > TIMESTAMP '1995-05-31 12:00:00'"
+_PERIOD = f"""
+SELECT CASE WHEN l_partkey % 25 < 13 THEN 'east' ELSE 'west' END AS server, CAST(l_partkey % 25 AS INT) AS database_id,
+       l_partkey AS object_id, 2 AS index_id,
+       count(*) FILTER ({_IN_PERIOD} AND l_returnflag = 'R') AS user_seeks,
+       count(*) FILTER ({_IN_PERIOD} AND l_returnflag = 'A') AS user_scans,
+       count(*) FILTER ({_IN_PERIOD} AND l_returnflag = 'N') AS user_lookups,
+       count(*) FILTER ({_IN_PERIOD}) AS user_updates,
+       TIMESTAMP '1995-05-31 12:00:00' AS stats_since,
+       count(DISTINCT CASE WHEN l_shipdate < TIMESTAMP '1997-01-01' THEN 1 WHEN l_shipdate < TIMESTAMP '1999-07-01' THEN 2
+                           ELSE 3 END) - 1 AS resets
+FROM {{lineitem}} WHERE l_shipdate <= TIMESTAMP '2001-02-28 12:00:00' GROUP BY l_partkey"""
+ORACLE["usage_between_resets"] = _PERIOD
+ORACLE["unused_between_resets"] = (
+    _unused("", 12).replace("{part_usage}", f"({_PERIOD}) AS u").replace("partitioned,", "partitioned, stats_since,")
+)
+
+_ADVICE = """
+SELECT p.server, p.plan_handle, object_id, statement_executions, suggestion, impact, '[db]' AS database, '[dbo]' AS schema,
+       "table", equality_columns, inequality_columns, included_columns
+FROM {advice_plans} AS p
+JOIN ({hot}) AS h ON h.server = p.server AND h.plan_handle = p.plan_handle
+JOIN (
+    SELECT doc_id AS plan_handle, 0 AS suggestion, CAST(doc_id % 90 + 10.5 AS DOUBLE) AS impact,
+           '[t' || doc_id % 20 || ']' AS "table", '[a' || doc_id % 3 || '],[b]' AS equality_columns,
+           CAST(NULL AS VARCHAR) AS inequality_columns, CASE WHEN doc_id % 2 = 0 THEN '[c]' END AS included_columns
+    FROM {documents} WHERE doc_id % 4 < 3
+    UNION ALL SELECT doc_id, 1000, 50.25, '[u]', NULL, '[d]', NULL FROM {documents} WHERE doc_id % 4 = 1
+    UNION ALL SELECT doc_id, 1001, 50.25, '[v]', '[e]', NULL, NULL FROM {documents} WHERE doc_id % 4 = 1) AS s
+  ON s.plan_handle = p.plan_handle
+WHERE object_id IS NOT NULL AND p.plan_handle % 50 <> 7""".replace("{hot}", ORACLE["hot_plans"])
+ORACLE["plan_suggestions"] = _ADVICE
+ORACLE["suggested_indexes"] = f"""
+SELECT server, database, schema, "table", equality_columns, inequality_columns, included_columns,
+       count(DISTINCT plan_handle) AS plans, CAST(sum(statement_executions) AS BIGINT) AS executions,
+       sum(impact * statement_executions) AS est_impact
+FROM ({_ADVICE}) GROUP BY ALL"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: text if name == "definition_drift" else with_adapters(text) for name, text in ORACLE.items()}

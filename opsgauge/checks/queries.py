@@ -4,26 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsgauge.checks.adapters import TABLES, adapter, table
 from opsgauge.functions.calendar import weekdays
-from opsgauge.operators import audit, fleet, jobs, latency, maintenance, usage
+from opsgauge.operators import UNIT, audit, fleet, jobs, latency, maintenance, usage
+from opsgauge.operators.advice import plan_suggestions, suggested_indexes
 from opsgauge.operators.compaction import compact
+from opsgauge.operators.counters import usage_between
 from opsgauge.operators.export import export_delimited, render_inserts, sanitize_for_export
 from opsgauge.operators.profiling import profile_columns, wasted_space, wasted_space_all
 from opsgauge.operators.splitting import filter_by_list, split_rows
 from opsgauge.operators.translation import generate_ddl, translate_types
 from opsgauge.plans.compaction import compaction_plan
-from opsgauge.plans.maintenance import maintenance_plan, maintenance_run
+from opsgauge.plans.maintenance import maintenance_plan, maintenance_run, record_run, stored_run
 from opsgauge.plans.missing_plans import log_missing_plans
 from opsgauge.session import working_path
 from opsgauge.sources import versioned
 from opsgauge.sources.layout import layout_stats
 from opsgauge.sources.logs import COMPACTION_LOG, MAINTENANCE_LOG, append_log, read_log
+from opsgauge.sources.status import current_status
 from opsgauge.streaming.latency import ProbeParams, run_probe, stream_latency, stream_session
+from opsgauge.streaming.numbering import numbered_latency
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,6 +46,8 @@ SUPPLIER_LIST = " Supplier#000000003,,Supplier#000000007 ,Supplier#000000042,nob
 SUNDAY = date(2024, 1, 7)
 HISTORY_RUN = datetime(2024, 2, 1, 12, 0)
 PURGE_CUTOFF = datetime(2024, 1, 15, 12, 0)
+HOUR_CUTOFF = datetime(2024, 1, 15, 12, 37, 20)
+PERIOD_START, PERIOD_END = datetime(1995, 5, 31, 12), datetime(2001, 2, 28, 12)
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -282,6 +289,21 @@ def unused_parts_never_seen(spark, sf):
     return usage.unused(**_part_inputs(spark, sf), max_reads=1, include_never_seen=True)
 
 
+def _period_usage(spark, sf):
+    return usage_between(adapter(spark, sf, "usage_snapshots"), PERIOD_START, PERIOD_END, bucket="90 days")
+
+
+@query("usage_between_resets")
+def usage_between_resets(spark, sf):
+    """Six years across two restarts, from counters that each restart set back."""
+    return _period_usage(spark, sf)
+
+
+@query("unused_between_resets")
+def unused_between_resets(spark, sf):
+    return usage.unused(**_part_inputs(spark, sf) | {"usage": _period_usage(spark, sf)}, max_reads=12)
+
+
 def _missing_inputs(spark, sf):
     return {
         "groups": adapter(spark, sf, "missing_groups"),
@@ -322,6 +344,20 @@ def plan_log_missing(spark, sf):
     return usage.plans_with_missing_index(_hot(spark, sf), adapter(spark, sf, "query_plans"))
 
 
+def _suggestions(spark, sf):
+    return plan_suggestions(_hot(spark, sf), adapter(spark, sf, "advice_plans"))
+
+
+@query("plan_suggestions")
+def plan_suggestion_rows(spark, sf):
+    return _suggestions(spark, sf)
+
+
+@query("suggested_indexes")
+def suggested_index_totals(spark, sf):
+    return suggested_indexes(_suggestions(spark, sf))
+
+
 @query("missing_plan_log")
 def missing_plan_log(spark, sf):
     """Two runs of the log; the second one's rows are returned."""
@@ -407,6 +443,37 @@ def maintenance_run_queue(spark, sf):
     )
 
 
+@query("maintenance_cycle")
+def maintenance_cycle(spark, sf):
+    """Four runs over a stored status.
+
+    The first two print what fits into 20 minutes, the second from where the first stopped; the third works
+    on all units, of which some fail; the fourth finds all done and scans again.
+    """
+    path, log_path = working_path(spark, "status"), working_path(spark, "cycle-log")
+    minute = adapter(spark, sf, "index_physical").select(*UNIT, F.lit(60).alias("est_seconds"))
+    inputs = _inputs_as(spark, sf, physical="index_physical", operational="index_operational") | _inputs(
+        spark, sf, "partitions", "columns", "indexes", "objects", "schemas", "databases"
+    )
+    inputs["exclusions"] = adapter(spark, sf, "exclusions").where("exclusionMask % 2 = 0")
+    failing = F.when(F.col("object_id") % 7 == 3, F.lit("deadlock"))
+    found = []
+    for number, (minutes, print_only) in enumerate([(20, True), (20, True), (None, False), (20, True)], 1):
+        settings = maintenance.MaintenanceSettings(minutes=minutes, pause_seconds=0)
+        run_ts, run_id = datetime(2024, 1, 7, number), f"run{number}"
+        queue = stored_run(
+            spark, path, run_ts, settings=settings, print_only=print_only, estimates=minute, **inputs
+        )
+        for _ in range(2):
+            record_run(queue, path, run_id, run_ts, log_path, failing, F.col("page_count"), print_only)
+        found.append(queue.select(F.lit(run_id).alias("run_id"), *UNIT, "priority", "action"))
+    runs = reduce(DataFrame.unionByName, found)
+    log = read_log(spark, log_path, MAINTENANCE_LOG)
+    states = maintenance.maintenance_state(log).select("run_id", *UNIT, "status", "durationSeconds", "errorMessage")
+    left = current_status(spark, path).select(*UNIT, "printStatus", F.col("defragDate").isNotNull().alias("done"))
+    return runs.join(states, ["run_id", *UNIT], "left").join(left, list(UNIT))
+
+
 @query("maintenance_budget")
 def maintenance_budget(spark, sf):
     units = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count(F.lit(1)).alias("size"))
@@ -586,18 +653,47 @@ def latency_purge(spark, sf):
     return spark.read.parquet(path).drop("monitorDay", "runKey")
 
 
-@query("latency_stream")
-def latency_stream(spark, sf):
-    """The batch measurement as a stream, run until all input is read.
+@query("latency_purge_hour")
+def latency_purge_hour(spark, sf):
+    """A streamed history, one folder for each hour and batch, purged within an hour."""
+    path = working_path(spark, "purge-hour")
+    posts = adapter(spark, sf, "posts").withColumnsRenamed({"post_ts": "monitorDate", "publication": "publicationName"})
+    posts = posts.repartition(8, F.hour("monitorDate"), F.to_date("monitorDate"))
+    for batch in range(2):
+        latency.write_streamed_history(posts.where(F.col("tracer_id") % 2 == batch), path, "stream", batch)
+    latency.purge_history_table(spark, path, HOUR_CUTOFF)
+    return latency.read_history(spark, path).select("server", "publicationName", "tracer_id", "monitorDate")
+
+
+def _with_subscriptions(spark, sf):
+    posts, receipts = adapter(spark, sf, "posts"), adapter(spark, sf, "deliveries")
+    return latency.token_latency(posts, receipts, adapter(spark, sf, "subscriptions"))
+
+
+@query("subscription_latency")
+def subscription_latency(spark, sf):
+    """Three subscribers to each publication, of which one stops midway and one never receives."""
+    return _with_subscriptions(spark, sf)
+
+
+@query("latency_sessions")
+def latency_sessions(spark, sf):
+    """Sessions of posts that are at most a quarter of an hour apart."""
+    dated = _with_subscriptions(spark, sf).join(adapter(spark, sf, "posts"), list(latency.TOKEN))
+    return latency.latency_report(dated, gap="15 minutes")
+
+
+def _streamed(spark, sf, receipts_name, transform, end_after="1 HOUR", subscriptions=None):
+    """What ``transform`` makes of the streamed latencies, run until all input is read.
 
-    Time must pass the last token for it to be reported, so the posts end with a token of a
-    later hour, which is not part of the result.  No receipt follows it.
+    Time must pass the last token for it to be reported, so the posts end with a token that follows
+    the others, which is not part of the result.  No receipt follows it.
     """
     source, out, checkpoint = (working_path(spark, name) for name in ("stream-in", "stream-out", "stream-state"))
     params = ProbeParams(bounded=True)
     session, streams = stream_session(spark, params), {}
-    posts, receipts = adapter(spark, sf, "posts"), adapter(spark, sf, "receipts")
-    end = posts.agg((F.max("post_ts") + F.expr("INTERVAL 1 HOUR")).alias("post_ts"))
+    posts, receipts = adapter(spark, sf, "posts"), adapter(spark, sf, receipts_name)
+    end = posts.agg((F.max("post_ts") + F.expr(f"INTERVAL {end_after}")).alias("post_ts"))
     end = end.select(F.lit("").alias("server"), F.lit("").alias("publication"), F.lit(-1).cast("bigint").alias("tracer_id"), "post_ts")
     inputs = {
         "posts": posts.unionByName(end),
@@ -609,13 +705,37 @@ def latency_stream(spark, sf):
         )
         timed.write.parquet(f"{source}/{name}")
         streams[name] = session.readStream.schema(timed.schema).parquet(f"{source}/{name}")
+    if subscriptions is not None:
+        subscriptions.write.parquet(f"{source}/subscriptions")
+        subscriptions = session.read.parquet(f"{source}/subscriptions")
     running = (
-        stream_latency(**streams, params=params)
+        transform(stream_latency(**streams, params=params, subscriptions=subscriptions))
         .writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
         .trigger(**params.trigger())
         .start(out)
     )
     run_probe(running, params)
-    found = spark.read.parquet(out).where(F.col("tracer_id") >= 0)
-    return found.withColumn("post_ts", F.col("post_ts").cast("timestamp_ntz"))
+    found = spark.read.parquet(out).where("server <> ''")
+    return found.withColumns(
+        {name: F.col(name).cast("timestamp_ntz") for name, kind in found.dtypes if kind == "timestamp"}
+    )
+
+
+@query("latency_stream")
+def latency_stream(spark, sf):
+    """The batch measurement as a stream."""
+    return _streamed(spark, sf, "receipts", lambda latencies: latencies)
+
+
+@query("subscription_stream")
+def subscription_stream(spark, sf):
+    """Streamed tokens with a row for each subscription, numbered like those of the batch."""
+    return _streamed(spark, sf, "deliveries", numbered_latency, subscriptions=adapter(spark, sf, "subscriptions"))
+
+
+@query("latency_windows_stream")
+def latency_windows_stream(spark, sf):
+    """Sliding windows over the stream of latencies: a second aggregation after the join."""
+    report = partial(latency.latency_report, width="6 hours", slide="3 hours")
+    return _streamed(spark, sf, "deliveries", report, "2 DAYS", adapter(spark, sf, "subscriptions"))

@@ -76,85 +76,124 @@ def _streamed(min_docs: int):
     """Over rows sorted by key and document: lines to drop, rows to be decided later, ids at the task's ends."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = last_id = None  # the open group, and the last id met in it
-        seen = 0  # its different ids so far
-        first_ids: list = []  # the first of them
-        undecided = True  # its rows are left to the merge: the task's first group is
-        started = False
-        held: list[pa.RecordBatch] = []
-        held_rows = 0
-
-        def marked(rows: pa.RecordBatch, kind: int) -> pa.RecordBatch:
-            kinds = pa.array(np.full(rows.num_rows, kind, np.int32))
-            return pa.RecordBatch.from_arrays([kinds, *rows.columns], ["kind", *rows.schema.names])
-
-        def edge(schema: pa.Schema) -> pa.RecordBatch:
-            count = len(first_ids)
-            columns = [
-                pa.array([key] * count, schema.field("key").type),
-                pa.array(first_ids, schema.field("id").type),
-                pa.nulls(count, schema.field("doc").type),
-                pa.nulls(count, schema.field("lines").type),
-            ]
-            return marked(pa.RecordBatch.from_arrays(columns, ["key", "id", "doc", "lines"]), _EDGE)
-
+        group = None  # the group that is still open at the end of a batch
         schema = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             schema = batch.schema
             keys, ids = batch.column("key"), batch.column("id")
-            new_key, new_id = _changes(keys), _changes(ids)
-            begins = np.flatnonzero(new_key).tolist()
-            for begin, end in zip(begins, [*begins[1:], batch.num_rows], strict=True):
-                own_key = keys[begin].as_py()
-                if not started or own_key != key:
-                    if started:
-                        # The open group ends inside the task.
-                        if undecided:
-                            yield edge(schema)
-                        held, held_rows = [], 0
-                    undecided, started = not started, True
-                    key, last_id, seen, first_ids = own_key, None, 0, []
-                elif begin == 0 and seen and ids[0].as_py() == last_id:
-                    new_id[0] = False
-                fresh = new_id[begin:end].copy()
-                if seen == 0:
-                    fresh[0] = True
-                nth = seen + np.cumsum(fresh)
-                for at in np.flatnonzero(fresh)[: max(min_docs - len(first_ids), 0)]:
-                    first_ids.append(ids[begin + int(at)].as_py())
-                seen, last_id = int(nth[-1]), ids[end - 1].as_py()
-                rows = batch.slice(begin, end - begin)
-                if undecided:
-                    yield marked(rows, _OPEN)
-                    continue
-                early = int(np.searchsorted(nth, min_docs))  # rows of the documents before the decisive one
-                if early:
-                    held.append(rows.slice(0, early))
-                    held_rows += early
-                if seen >= min_docs:
-                    # Held rows but those of the first document, and all later ones, go.
-                    for part in held:
-                        others = _not_of(part, first_ids[0])
-                        if others.num_rows:
-                            yield marked(others, _DROP)
-                    held, held_rows = [], 0
-                    if early < rows.num_rows:
-                        yield marked(rows.slice(early), _DROP)
-                elif held_rows > _HELD_ROWS:
-                    undecided = True
-                    for part in held:
-                        yield marked(part, _OPEN)
-                    held, held_rows = [], 0
-        if started:
-            for part in held:
-                yield marked(part, _OPEN)
-            yield edge(schema)
+            new_key = _changes(keys)
+            new_id = _changes(ids) | new_key
+            begins = np.flatnonzero(new_key)
+            out: list[pa.RecordBatch] = []
+            low = 0
+            if group is not None and keys[0].as_py() == group.key:
+                # The open group goes on.
+                low = int(begins[1]) if len(begins) > 1 else batch.num_rows
+                group.add(batch.slice(0, low), new_id[:low], out)
+            high = max(int(begins[-1]), low)
+            if low < batch.num_rows:
+                if group is not None:
+                    group.close(out)
+                first = group is None
+                if first and low < high:
+                    # The task's first group may have begun in another task.
+                    high_first = int(begins[1])
+                    group = _Group(keys[0].as_py(), min_docs, undecided=True)
+                    group.add(batch.slice(0, high_first), new_id[:high_first], out)
+                    group.close(out)
+                    low, first = high_first, False
+                if low < high:
+                    # Groups that lie inside the batch, all at once.
+                    inside = slice(low, high)
+                    starts = begins[(begins >= low) & (begins < high)]
+                    seen = np.cumsum(new_id[inside])
+                    sizes = np.diff(np.append(starts, high))
+                    nth = seen - np.repeat(seen[starts - low] - 1, sizes)
+                    total = np.repeat(np.maximum.reduceat(nth, starts - low), sizes)
+                    gone = (total >= min_docs) & (nth > 1)
+                    if gone.any():
+                        out.append(_marked(batch.slice(low, high - low).filter(pa.array(gone)), _DROP))
+                group = _Group(keys[high].as_py(), min_docs, undecided=first)
+                group.add(batch.slice(high), new_id[high:], out)
+            if out:
+                yield _joined(out)
+        if group is not None:
+            out = []
+            group.end(out, schema)
+            yield _joined(out)
 
     return read
 
 
+class _Group:
+    """A group of equal lines that batches, or the ends of a task, cut."""
+
+    def __init__(self, key: bytes, min_docs: int, undecided: bool) -> None:
+        self.key, self.min_docs, self.undecided = key, min_docs, undecided
+        self.seen, self.first_ids, self.last_id = 0, [], None
+        self.held: list[pa.RecordBatch] = []
+        self.held_rows = 0
+
+    def add(self, rows: pa.RecordBatch, new_id: np.ndarray, out: list[pa.RecordBatch]) -> None:
+        ids = rows.column("id")
+        fresh = new_id.copy()
+        fresh[0] = self.seen == 0 or ids[0].as_py() != self.last_id
+        nth = self.seen + np.cumsum(fresh)
+        for at in np.flatnonzero(fresh)[: max(self.min_docs - len(self.first_ids), 0)]:
+            self.first_ids.append(ids[int(at)].as_py())
+        self.seen, self.last_id = int(nth[-1]), ids[len(ids) - 1].as_py()
+        self._schema = rows.schema
+        if self.undecided:
+            out.append(_marked(rows, _OPEN))
+            return
+        early = int(np.searchsorted(nth, self.min_docs))  # rows of the documents before the decisive one
+        if early:
+            self.held.append(rows.slice(0, early))
+            self.held_rows += early
+        if self.seen >= self.min_docs:
+            # Held rows but those of the first document, and all later ones, go.
+            out.extend(_marked(_not_of(part, self.first_ids[0]), _DROP) for part in self.held)
+            self.held, self.held_rows = [], 0
+            out.append(_marked(rows.slice(early), _DROP))
+        elif self.held_rows > _HELD_ROWS:
+            self.undecided = True
+            self._release(out)
+
+    def _release(self, out: list[pa.RecordBatch]) -> None:
+        out.extend(_marked(part, _OPEN) for part in self.held)
+        self.held, self.held_rows = [], 0
+
+    def close(self, out: list[pa.RecordBatch]) -> None:
+        """The group ended inside the task."""
+        if self.undecided:
+            self.end(out, self._schema)
+
+    def end(self, out: list[pa.RecordBatch], schema: pa.Schema) -> None:
+        """What the merge has to know about the group."""
+        self._release(out)
+        count = len(self.first_ids)
+        columns = [
+            pa.array([self.key] * count, schema.field("key").type),
+            pa.array(self.first_ids, schema.field("id").type),
+            pa.nulls(count, schema.field("doc").type),
+            pa.nulls(count, schema.field("lines").type),
+        ]
+        out.append(_marked(pa.RecordBatch.from_arrays(columns, ["key", "id", "doc", "lines"]), _EDGE))
+
+
+def _marked(rows: pa.RecordBatch, kind: int) -> pa.RecordBatch:
+    kinds = pa.array(np.full(rows.num_rows, kind, np.int32))
+    return pa.RecordBatch.from_arrays([kinds, *rows.columns], ["kind", *rows.schema.names])
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One batch of several: many small ones would cost more than their rows."""
+    table = pa.Table.from_batches(parts).combine_chunks()
+    return table.to_batches()[0] if table.num_rows else parts[0]
+
+
 def _not_of(rows: pa.RecordBatch, first) -> pa.RecordBatch:
     ids = rows.column("id")
     same = pc.is_null(ids) if first is None else pc.fill_null(pc.equal(ids, pa.scalar(first, ids.type)), False)

@@ -2,8 +2,9 @@
 
 Each source should give a share of all words.  Among all document rates that meet these
 constraints, entropy balancing takes the ones nearest to 1: they are the exponential of
-the multipliers of the constraints, found by Newton's method on the convex dual.  The rates
-are then rounded into whole copies whose words meet the targets.
+the multipliers of the constraints, found by Newton's method on the convex dual.  With one constraint for
+each source the solution is one rate for each source, its target through its size: the sums over documents
+that a Newton step needs are the sources' sizes.  The rates are then rounded into whole copies whose words meet the targets.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ MAX_RATE = 3
 NEWTON_STEPS = 80
 # A source's documents are in a random order of 120 bits, read 10 bits at a time.
 _LEVEL_BITS, _HALF_LEVELS = 10, 6
-# Prefixes of this order taken one after the other, each from what still fits.
+# Prefixes of this order taken one after the other, each from what still fits; what is missing then is filled by size.
 PASSES = 3
+# Documents of one size are numbered in so many parts first.
+_PARTS = 64
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE) -> DataFrame:
@@ -69,10 +72,11 @@ def balanced_rates(targets: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Mix:
-    """A source's targets and rounding, one row per source."""
+    """A source's targets and rounding, one row per source, and documents with further copies (``high, low, more``)."""
 
     sources: DataFrame
     passes: int
+    filled: DataFrame
 
 
 def _levels(document: Column, row: Column) -> tuple[Column, Column]:
@@ -107,7 +111,8 @@ def plan_mix(
     Every document gets the whole part of its source's rate in copies.  What is then missing in
     a source is filled with one more copy of documents in a random order, as far as they fit:
     a prefix of the order, then of the documents that fit in what is left, a few times.  Where a
-    prefix ends is found from sums of ever narrower ranges, so no source is sorted in one place.
+    prefix ends is found from sums of ever narrower ranges, so no source is sorted in one place.  The rest is filled
+    with the largest sizes that fit, up to ``max_rate`` copies of a document, until no allowed copy fits.
     """
     rows = docs.select(
         col(source_column).alias("source"),
@@ -124,7 +129,51 @@ def plan_mix(
     sources = state.count()
     for at in range(PASSES):
         state = _with_prefix(rows, state, at, sources)
-    return Mix(state, PASSES)
+    return Mix(state, PASSES, _filled(rows, state, PASSES, max_rate))
+
+
+def _filled(rows: DataFrame, state: DataFrame, passes: int, max_rate: int) -> DataFrame:
+    """``high, low, more``: further copies of documents, until none that is allowed fits in what its source misses.
+
+    From the largest size on each source takes as many copies of a size as there are and as fit: afterwards none of
+    that size fits or is left, and what is missing only falls.  Which documents of a size is by their random order.
+    """
+    columns = [name for name in state.columns if name not in ("source_size", "target", "rate")]
+    known = small(state.select(*columns).withColumnRenamed("source", "source0"), 300)
+    left = rows.join(known, F.col("source").eqNullSafe(F.col("source0")))
+    left = left.withColumn("more", F.lit(max_rate) - F.col("base") - _taken(passes).cast("bigint"))
+    left = left.filter((F.col("size") > 0) & (F.col("size") <= F.col("missing")) & (F.col("more") > 0))
+    left = left.select("source", "size", "high", "low", "more", "missing")
+    # A source misses less than its longest document has, so its sizes are few.
+    cells = left.groupBy("source", "size").agg(F.sum("more").alias("n"), F.max("missing").alias("missing"))
+    quotas = written(cells.groupBy("source").applyInPandas(_largest_first, _quota_schema(rows)), "quotas")
+    most = quotas.agg(F.max("quota")).first()[0] or 0
+    wanted = small(quotas.withColumnsRenamed({"source": "source0", "size": "size0"}), 64)
+    picked = left.join(wanted, F.col("source").eqNullSafe(F.col("source0")) & (F.col("size") == F.col("size0")))
+    # No more than the largest quota are looked at of a size: of each part first, then of all.
+    part = Window.partitionBy("source", "size", F.pmod("low", F.lit(_PARTS))).orderBy("high", "low")
+    picked = picked.withColumn("place", F.row_number().over(part)).filter(F.col("place") <= most)
+    order = Window.partitionBy("source", "size").orderBy("high", "low").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.greatest(F.col("quota") - F.coalesce(F.sum("more").over(order), F.lit(0)), F.lit(0))
+    chosen = picked.select("high", "low", F.least("more", room).cast("bigint").alias("more"))
+    return written(chosen.filter("more > 0"), "filled")
+
+
+def _quota_schema(rows: DataFrame) -> str:
+    kind = rows.schema["source"].dataType.simpleString()
+    return f"source {kind}, size bigint, quota bigint"
+
+
+def _largest_first(cells):
+    """From a source's sizes, numbers of copies and missing words to the copies it takes of each size."""
+    cells = cells.sort_values("size", ascending=False)
+    left, quotas = int(cells["missing"].iloc[0]), []
+    for size, count in zip(cells["size"], cells["n"], strict=True):
+        quota = min(int(count), left // int(size))
+        left -= quota * int(size)
+        quotas.append(quota)
+    cells = cells.assign(quota=quotas)
+    return cells[cells["quota"] > 0][["source", "size", "quota"]]
 
 
 def _with_prefix(rows: DataFrame, state: DataFrame, at: int, sources: int) -> DataFrame:
@@ -190,8 +239,8 @@ def mixed(
 ) -> DataFrame:
     """``docs`` with ``size`` (words), ``source_size``, ``target``, ``rate`` and ``copies``.
 
-    The copies of a source's documents have about ``target`` words; none is taken more than
-    ``max_rate`` times.  Choices are hashes of id, source and text: runs agree, and of equal
+    The copies of a source's documents have at most ``target`` words and miss less than any copy that is still
+    allowed has; none is taken more than ``max_rate`` times.  Choices are hashes of id, source and text: runs agree, and of equal
     rows it only matters how many get one more copy.  NULL and blank texts have size 0; NULL sources are
     a source, the last one.  Columns with the new names are replaced.  No rows: no rows.
     """
@@ -211,13 +260,15 @@ def mixed(
     sources = small(mix.sources.withColumnRenamed("source", "source0"), 200)
     extra = (F.col("size") > 0) & _taken(mix.passes)
     joined = rows.join(sources, F.col("source").eqNullSafe(F.col("source0")), "left")
+    more = small(mix.filled.withColumnsRenamed({"high": "high_", "low": "low_"}), 24)
+    joined = joined.join(more, (F.col("high") == F.col("high_")) & (F.col("low") == F.col("low_")), "left")
     return joined.select(
         *[F.col("columns")[name].alias(name) for name in names],
         "size",
         "source_size",
         "target",
         "rate",
-        (F.col("base") + extra.cast("bigint")).alias("copies"),
+        (F.col("base") + extra.cast("bigint") + F.coalesce("more", F.lit(0))).cast("bigint").alias("copies"),
     )
 
 

@@ -1,10 +1,11 @@
 """Removal of passages that were seen before, found by level-wise doubling.
 
-A passage of ``length`` words can repeat only if the shorter windows inside it do.
-Level 1 counts windows of a quarter of the length; of these it takes, from each window of
-full length, only the one with the smallest hash: equal passages take the same one, so
-nothing is missed and about an eighth of all windows is counted.  Windows repeated at one
-length alone are extended to twice that length around their place, until the full length.
+A passage of ``length`` words can repeat only if the shorter windows inside it do.  Level 1 counts windows
+of a quarter of the length; of these it takes, from each window of full length, only the one with the smallest hash:
+equal passages take the same one, so nothing is missed and about an eighth of all windows is counted.  Neighbouring
+full windows that share their short one are a run; runs that are equal as a whole need no further
+look.  The others, around short windows repeated at level 1, are extended: level 2 counts the first halves of
+their windows, and of windows repeated at that length alone level 3 compares all words.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsgauge.llm.shared import bounded_batches, col, small, text_key, written
+from opsgauge.llm.shared import bounded_batches, col, text_key, written
 from opsgauge.llm.wordhash import EXACT, chunks, mixed, random_values, windows
 
 LENGTH = 20
@@ -74,7 +75,7 @@ def _short_windows(length: int):
     return F.arrow_udf(read, "array<bigint>")
 
 
-_RUN = "array<struct<short:bigint,run:bigint,start:bigint,windows:array<bigint>>>"
+_RUN = "array<struct<short:bigint,run:bigint,start:bigint,count:int>>"
 
 
 def _repeated_runs(length: int):
@@ -95,25 +96,23 @@ def _repeated_runs(length: int):
                     asked[own] = np.isin(grams[own], values[cuts[low + at] : cuts[low + at + 1]])
                 grams, start, sizes, row = grams[asked], start[asked], sizes[asked], row[asked]
                 full = windows(hashes, length)
-                total = int(sizes.sum())
-                begin = np.cumsum(sizes) - sizes
-                inside = np.arange(total) - np.repeat(begin, sizes)
-                listed = full[np.repeat(start, sizes) + inside] if total else full[:0]
+                inside = _inside(sizes)
                 run = grams
-                if total:
+                if len(inside):
                     factors = random_values(9, int(sizes.max())) | np.uint64(1)
-                    run = mixed(np.add.reduceat(listed * factors[inside], begin) + sizes.astype(np.uint64))
-                kept.append((grams, run, start - firsts[row], sizes, listed))
+                    listed = full[np.repeat(start, sizes) + inside] * factors[inside]
+                    run = mixed(np.add.reduceat(listed, np.cumsum(sizes) - sizes) + sizes.astype(np.uint64))
+                kept.append((grams, run, start - firsts[row], sizes))
                 per_row[low:high] = np.bincount(row, minlength=high - low)
-            grams, run, start, sizes, listed = (
-                np.concatenate(parts) for parts in (zip(*kept, strict=True) if kept else [[np.zeros(0, np.uint64)]] * 5)
-            )
-            lists = pa.ListArray.from_arrays(
-                np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(listed.view(np.int64))
-            )
+            grams, run, start, sizes = _together(kept, 4)
             rows = pa.StructArray.from_arrays(
-                [pa.array(grams.view(np.int64)), pa.array(run.view(np.int64)), pa.array(start.astype(np.int64)), lists],
-                ["short", "run", "start", "windows"],
+                [
+                    pa.array(grams.view(np.int64)),
+                    pa.array(run.view(np.int64)),
+                    pa.array(start.astype(np.int64)),
+                    pa.array(sizes.astype(np.int32)),
+                ],
+                ["short", "run", "start", "count"],
             )
             yield pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32), rows)
 
@@ -121,6 +120,47 @@ def _repeated_runs(length: int):
     return F.arrow_udf(read, _RUN)
 
 
+def _inside(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of consecutive groups of these sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _together(parts: list[tuple[np.ndarray, ...]], count: int) -> list[np.ndarray]:
+    return [np.concatenate(column) for column in zip(*parts, strict=True)] if parts else [np.zeros(0, np.uint64)] * count
+
+
+_WINDOW = "array<struct<start:bigint,half:bigint,full:bigint>>"
+
+
+def _run_windows(length: int):
+    """From texts and places of runs to the windows of these: where they start, hashes of first half and whole."""
+
+    def read(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, starts, counts in batches:
+            kept: list[tuple[np.ndarray, ...]] = []
+            per_row = np.zeros(len(texts), np.int64)
+            cuts = starts.offsets.to_numpy()
+            begin = starts.values.to_numpy(zero_copy_only=False)
+            sizes = counts.values.to_numpy(zero_copy_only=False)
+            for low, high, hashes, firsts in chunks(texts, EXACT):
+                own = slice(cuts[low], cuts[high])
+                base = np.repeat(firsts[:-1], np.diff(cuts[low : high + 1]))
+                start = np.repeat(begin[own], sizes[own]) + _inside(sizes[own])
+                place = np.repeat(base, sizes[own]) + start
+                kept.append((start, windows(hashes, max(length // 2, 1), 5)[place], windows(hashes, length)[place]))
+                for at in range(low, high):
+                    per_row[at] = sizes[cuts[at] : cuts[at + 1]].sum()
+            start, half, full = _together(kept, 3)
+            rows = pa.StructArray.from_arrays(
+                [pa.array(start.astype(np.int64)), pa.array(half.view(np.int64)), pa.array(full.view(np.int64))],
+                ["start", "half", "full"],
+            )
+            yield pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32), rows)
+
+    read.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(read, _WINDOW)
+
+
 _CUT = "struct<n_words:bigint,n_removed:bigint,kept:binary>"
 
 
@@ -164,43 +204,55 @@ def repeated_windows(
     keyed = docs.select(
         col(id_column).alias("id"), text_key(col(text_column), col(id_column)).alias("doc"), col(text_column).alias("body")
     )
+    # Level 1: one short window of each full one.
     short = keyed.select("doc", F.explode(_short_windows(length)("body")).alias("short"))
-    twice = written(short.groupBy("short").agg(F.count("*").alias("n")).filter("n > 1").select("short"), "twice")
-    asked = written(
-        short.join(twice, "short", "left_semi").groupBy("doc").agg(F.collect_set("short").alias("wanted")), "asked"
-    )
-    near = keyed.join(small(asked.select("doc"), 8), "doc", "left_semi").join(asked, "doc")
+    twice = written(_repeated(short, "short"), "twice")
+    asked = short.join(twice.hint("merge"), "short", "left_semi").groupBy("doc")
+    near = keyed.join(asked.agg(F.collect_set("short").alias("wanted")).hint("merge"), "doc")
     runs = near.select("doc", "id", F.explode(_repeated_runs(length)("body", "wanted")).alias("r"))
     runs = written(runs.select("doc", "id", "r.*"), "runs")
 
     place = F.struct(F.col("id").isNull().alias("noid"), "id", "doc", "start")
     # Runs that are equal as a whole: all but the first are repeats.
     first = written(
-        runs.groupBy("run").agg(F.min(place).alias("at"), F.any_value("short").alias("short"), F.count("*").alias("n")),
+        runs.groupBy("run").agg(
+            F.min(place).alias("at"),
+            F.any_value("short").alias("short"),
+            F.any_value("count").alias("count"),
+            F.count("*").alias("n"),
+        ),
         "first_runs",
     )
-    seen = runs.select("run", "doc", "id", "start", F.size("windows").cast("bigint").alias("count")).join(
-        first.filter("n > 1").select("run", "at"), "run"
+    seen = runs.select("run", "doc", "id", "start", F.col("count").cast("bigint").alias("count")).join(
+        first.filter("n > 1").select("run", "at").hint("merge"), "run"
     )
     seen = seen.filter((F.col("doc") != F.col("at.doc")) | (F.col("start") != F.col("at.start")))
-    # First runs that share a short window with a different one: compare their windows.
-    mixed_short = written(first.groupBy("short").agg(F.count("*").alias("n")).filter("n > 1").select("short"), "mixed")
-    contested = first.join(mixed_short, "short", "left_semi")
-    contested = contested.select("run", F.col("at.doc").alias("doc"), F.col("at.start").alias("start"))
-    contested = written(contested, "contested")
-    rows = runs.join(small(contested, 24), ["run", "doc", "start"], "left_semi")
-    rows = rows.select("doc", "id", F.col("start").alias("begin"), F.posexplode("windows").alias("offset", "window"))
-    rows = written(rows.select("doc", "id", (F.col("begin") + F.col("offset")).alias("start"), "window"), "windows")
-    earliest = written(
-        rows.groupBy("window").agg(F.min(place).alias("at"), F.count("*").alias("n")).filter("n > 1").select("window", "at"),
-        "first_windows",
+    # First runs that share a short window with a different one: look at their windows.
+    contested = first.join(_repeated(first, "short").hint("merge"), "short", "left_semi")
+    contested = contested.groupBy("at.doc").agg(F.collect_list(F.struct("at.start", "count")).alias("places"))
+    found = keyed.join(contested.hint("merge"), "doc").select(
+        "doc",
+        "id",
+        F.explode(_run_windows(length)("body", F.col("places.start"), F.col("places.count"))).alias("w"),
+    )
+    found = written(found.select("doc", "id", "w.*"), "windows")
+    # Level 2, then level 3 for what is left.
+    rows = found.join(_repeated(found, "half").hint("merge"), "half", "left_semi")
+    rows = written(rows.select("doc", "id", "start", "full"), "survivors")
+    earliest = rows.groupBy("full").agg(F.min(place).alias("at"), F.count("*").alias("n")).filter("n > 1")
+    later = rows.join(earliest.select("full", "at").hint("merge"), "full").filter(
+        (F.col("doc") != F.col("at.doc")) | (F.col("start") != F.col("at.start"))
     )
-    later = rows.join(earliest, "window").filter((F.col("doc") != F.col("at.doc")) | (F.col("start") != F.col("at.start")))
     return seen.select("doc", "id", "start", "count").union(
         later.select("doc", "id", "start", F.lit(1).cast("bigint").alias("count"))
     )
 
 
+def _repeated(rows: DataFrame, name: str) -> DataFrame:
+    """The values that several rows have, each once."""
+    return rows.groupBy(name).agg(F.count("*").alias("n")).filter("n > 1").select(name)
+
+
 def remove_repeats(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH
 ) -> DataFrame:
@@ -222,11 +274,12 @@ def remove_repeats(
         F.struct(*[col(name) for name in names]).alias("row"),
         col(text_column).alias("body"),
     )
-    touched = small(cuts.select("doc"), 8)
-    hit = keyed.join(touched, "doc", "left_semi").join(cuts, "doc")
     none = F.array().cast("array<bigint>")
-    free = keyed.join(touched, "doc", "left_anti").withColumns({"starts": none, "counts": none})
-    out = hit.union(free).select("row", _cutter(length)("body", "starts", "counts").alias("cut"))
+    # By shuffle whatever the number of touched documents: the plan is the same at every size.
+    joined = keyed.join(cuts.hint("merge"), "doc", "left").withColumns(
+        {"starts": F.coalesce("starts", none), "counts": F.coalesce("counts", none)}
+    )
+    out = joined.select("row", _cutter(length)("body", "starts", "counts").alias("cut"))
     return out.select(
         *[F.col("row")[name].alias(name) for name in names],
         "cut.n_words",

@@ -13,8 +13,9 @@ import hashlib
 import json
 import os
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsgauge.llm.shared import bounded_batches, col, fresh, worker_cache, written
+from opsgauge.llm.wordhash import mixed
 
 FOLDER = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # The pattern that parts a text before the merges of the byte-level vocabulary: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-# Remembered windows of a worker, and the tokens of the longest one that is remembered.
-_MEMO_WINDOWS, _MEMO_TOKENS = 200_000, 64
+# Windows after which a worker forgets those it has met, and characters it aligns at once.
+_MEMO_WINDOWS, _PART_CHARS = 200_000, 1_000_000
+# A group with more links is counted by its different ids.
+_LISTED_LINKS = 10_000
 # Pairs whose counts are sent to every task at once: 16 bytes each.
 PAIRS_PER_BLOCK = 2_000_000
 
@@ -114,72 +118,188 @@ def tokenizers(byte_bpe: str, piece_bpe: str) -> Tokenizers:
     return cache[key]
 
 
-def anchors(first: np.ndarray, second: np.ndarray, tok: Tokenizers) -> tuple[np.ndarray, np.ndarray]:
-    """Where windows begin in both token lists, with the end of the last one."""
-    ends, other = np.cumsum(tok.first_sizes[first]), np.cumsum(tok.second_sizes[second])
-    shared = np.intersect1d(ends, other)
-    after, other_after = np.searchsorted(ends, shared, "right"), np.searchsorted(other, shared, "right")
-    inside = after < len(first)
-    after, other_after = after[inside], other_after[inside]
-    marked = tok.first_marked[first[after]] & tok.second_marked[second[other_after]]
-    return (
-        np.concatenate([[0], after[marked], [len(first)]]),
-        np.concatenate([[0], other_after[marked], [len(second)]]),
-    )
+@dataclass
+class Texts:
+    """Tokenised texts one after the other: ids, the bytes until the end of each token, where each text begins."""
+
+    first: np.ndarray
+    second: np.ndarray
+    ends: np.ndarray
+    other_ends: np.ndarray
+    texts: np.ndarray
+
+    @classmethod
+    def of(cls, ids: list[tuple[list[int], list[int]]], tok: Tokenizers) -> Texts:
+        first = np.fromiter(chain.from_iterable(own for own, _ in ids), np.int64)
+        second = np.fromiter(chain.from_iterable(other for _, other in ids), np.int64)
+        ends, other_ends = np.cumsum(tok.first_sizes[first]), np.cumsum(tok.second_sizes[second])
+        last = np.cumsum([len(own) for own, _ in ids]) - 1
+        return cls(first, second, ends, other_ends, np.concatenate([[0], ends[last]]))
+
+
+def anchors(texts: Texts, tok: Tokenizers) -> np.ndarray:
+    """The byte offsets where windows begin, and the last end.
+
+    Both tokenizers have a token end there, and both next tokens begin with a blank; texts end there too.
+    """
+    shared = _shared(texts.ends, texts.other_ends)
+    after = np.searchsorted(texts.ends, shared[:-1], "right")
+    other_after = np.searchsorted(texts.other_ends, shared[:-1], "right")
+    marked = tok.first_marked[texts.first[after]] & tok.second_marked[texts.second[other_after]]
+    marked[np.searchsorted(shared, texts.texts[1:-1])] = True
+    return np.concatenate([[0], shared[:-1][marked], shared[-1:]])
+
 
+def _shared(ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The ends that both ascending lists have; the last one of both is the same."""
+    both = ends[others[np.searchsorted(others, ends)] == ends]
+    return both[np.append(True, both[1:] != both[:-1])]
 
-def align(first: tuple[int, ...], second: tuple[int, ...], tok: Tokenizers) -> tuple[str, int, int, np.ndarray, np.ndarray]:
-    """The groups of a window, as text and number, its number of links, its different id pairs and their links.
 
-    A group ends where a token of each ends; each of its first tokens is linked with each of its second ones.
+def _inside(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of consecutive groups of these sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, with the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)]
+    return keys[starts], np.add.reduceat(values[order], starts) if len(keys) else values
+
+
+class Windows:
+    """The windows that a worker has met, by the pair of their id tuples, with what is linked in them.
+
+    Forgotten all at once when they are too many.
     """
-    sizes, other_sizes = tok.first_sizes, tok.second_sizes
-    width = len(other_sizes)
-    shown, pairs, links = [], Counter(), 0
-    at = other_at = 0
-    while at < len(first) or other_at < len(second):
-        begin, other_begin = at, other_at
-        end = other_end = 0
-        while True:
-            if end <= other_end and at < len(first):
-                end += int(sizes[first[at]])
-                at += 1
-            elif other_at < len(second):
-                other_end += int(other_sizes[second[other_at]])
-                other_at += 1
-            if end == other_end and at > begin and other_at > other_begin or at == len(first) and other_at == len(second):
-                break
-        own, other = first[begin:at], second[other_begin:other_at]
-        shown.append(",".join(map(str, own)) + "|" + ",".join(map(str, other)))
-        links += len(own) * len(other)
-        if len(own) == len(other) == 1:
-            pairs[own[0] * width + other[0]] += 1
-        else:
-            others = Counter(other).items()
-            for a, n in Counter(own).items():
-                for b, m in others:
-                    pairs[a * width + b] += n * m
-    codes = np.fromiter(pairs.keys(), np.int64, len(pairs))
-    return ";".join(shown), len(shown), links, codes, np.fromiter(pairs.values(), np.int64, len(pairs))
-
-
-class _Memo:
-    """Alignments by id tuples; forgotten all at once when they are too many."""
 
     def __init__(self, tok: Tokenizers) -> None:
-        self.tok, self.known = tok, {}
-
-    def __call__(self, first: tuple[int, ...], second: tuple[int, ...]) -> tuple:
-        key = (first, second)
-        found = self.known.get(key)
-        if found is None:
-            found = align(first, second, self.tok)
-            if len(first) + len(second) <= _MEMO_TOKENS:
-                if len(self.known) >= _MEMO_WINDOWS:
-                    self.known.clear()
-                self.known[key] = found
+        self.tok = tok
+        self.width = len(tok.second_sizes)
+        decimals = [str(at) for at in range(max(len(tok.first_sizes), self.width))]
+        # An id with what follows it: another of its group, the other side, the next group, nothing.
+        self._pieces = [number + mark for mark in (",", "|", ";", "") for number in decimals]
+        self._piece_sizes = np.array([len(piece) for piece in self._pieces])
+        self._kinds = len(decimals)
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[tuple[bytes, bytes], int] = {}
+        self.shown: list[str] = []
+        self.groups, self.links = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.starts = np.zeros(1, np.int64)
+        self.codes, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def number(self, texts: Texts, cuts: np.ndarray) -> np.ndarray:
+        """The numbers of the windows between ``cuts``; unknown ones are aligned together."""
+        if len(self.numbers) > _MEMO_WINDOWS:
+            self.forget()
+        begins = np.concatenate([[0], np.searchsorted(texts.ends, cuts[1:], "right")])
+        other_begins = np.concatenate([[0], np.searchsorted(texts.other_ends, cuts[1:], "right")])
+        own, other = texts.first.astype("<u4").tobytes(), texts.second.astype("<u4").tobytes()
+        unknown: list[int] = []
+        numbers, known = self.numbers, len(self.shown)
+        edges, other_edges = (begins * 4).tolist(), (other_begins * 4).tolist()
+        likes = _alike((texts.first, begins), (texts.second, other_begins))
+        leaders = np.flatnonzero(likes == np.arange(len(likes)))
+        found = np.zeros(len(likes), np.int64)
+        for at in leaders.tolist():
+            key = own[edges[at] : edges[at + 1]], other[other_edges[at] : other_edges[at + 1]]
+            number = numbers.get(key)
+            if number is None:
+                number = numbers[key] = known + len(unknown)
+                unknown.append(at)
+            found[at] = number
+        found = found[likes]
+        if unknown:
+            new = np.array(unknown)
+            self._align(
+                texts.first[_ranges(begins, new)],
+                texts.second[_ranges(other_begins, new)],
+                np.diff(cuts)[new],
+            )
         return found
 
+    def _align(self, first: np.ndarray, second: np.ndarray, sizes: np.ndarray) -> None:
+        """Add windows of these ids and sizes in bytes, one after the other.
+
+        A group ends where a token of each ends; each of its first tokens is linked with each of its second ones.
+        """
+        windows = np.cumsum(sizes)
+        ends, other_ends = np.cumsum(self.tok.first_sizes[first]), np.cumsum(self.tok.second_sizes[second])
+        shared = _shared(ends, other_ends)
+        group, other_group = np.searchsorted(shared, ends), np.searchsorted(shared, other_ends)
+        size, other_size = np.bincount(group, minlength=len(shared)), np.bincount(other_group, minlength=len(shared))
+        window = np.searchsorted(windows, shared)
+        count = len(sizes)
+
+        self.groups = np.append(self.groups, np.bincount(window, minlength=count))
+        self.links = np.append(self.links, np.bincount(window, size * other_size, minlength=count).astype(np.int64))
+        self._show(first, second, group, other_group, shared, windows)
+
+        begin, other_begin = np.cumsum(size) - size, np.cumsum(other_size) - other_size
+        small = size * other_size <= _LISTED_LINKS
+        links = np.where(small, size * other_size, 0)
+        of, at = np.repeat(np.arange(len(shared)), links), _inside(links)
+        codes = first[begin[of] + at // other_size[of]] * self.width + second[other_begin[of] + at % other_size[of]]
+        windows_of, weights = window[of], np.ones(len(of), np.int64)
+        parts = [(windows_of, codes, weights)]
+        for big in np.flatnonzero(~small):
+            # So many tokens without a common end: counted by their different ids.
+            own, n = np.unique(first[begin[big] : begin[big] + size[big]], return_counts=True)
+            other, m = np.unique(second[other_begin[big] : other_begin[big] + other_size[big]], return_counts=True)
+            product = (own[:, None] * self.width + other[None, :]).ravel()
+            parts.append((np.full(len(product), window[big]), product, (n[:, None] * m[None, :]).ravel()))
+        windows_of, codes, weights = (np.concatenate(column) for column in zip(*parts, strict=True))
+        top = len(self.tok.first_sizes) * self.width
+        keys, counts = _summed(windows_of * top + codes, weights)
+        per_window = np.bincount(keys // top, minlength=count)
+        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(per_window))
+        self.codes, self.counts = np.append(self.codes, keys % top), np.append(self.counts, counts)
+
+    def _show(self, first, second, group, other_group, shared, windows) -> None:
+        """The groups of each window as text."""
+        comma, bar, semicolon, nothing = (mark * self._kinds for mark in range(4))
+        more = np.append(group[1:] == group[:-1], False)
+        other_more = np.append(other_group[1:] == other_group[:-1], False)
+        ends_window = np.isin(shared, windows)[other_group]
+        after = np.where(other_more, comma, np.where(ends_window, nothing, semicolon))
+        pieces = np.concatenate([first + np.where(more, comma, bar), second + after])
+        order = np.argsort(np.concatenate([group * 2, other_group * 2 + 1]), kind="stable")
+        pieces = pieces[order]
+        joined = "".join(map(self._pieces.__getitem__, pieces.tolist()))
+        owner = np.concatenate([np.searchsorted(windows, shared)[group], np.searchsorted(windows, shared)[other_group]])
+        widths = np.bincount(owner[order], self._piece_sizes[pieces], minlength=len(windows)).astype(np.int64)
+        cuts = np.concatenate([[0], np.cumsum(widths)]).tolist()
+        self.shown.extend(joined[cuts[at] : cuts[at + 1]] for at in range(len(windows)))
+
+
+def _alike(*sides: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each window the first one with the same ids: found by a hash, then compared id by id."""
+    count = len(sides[0][1]) - 1
+    keys = np.zeros(count, np.uint64)
+    for ids, begins in sides:
+        sizes = np.diff(begins)
+        spread = mixed(ids.astype(np.uint64) + (_inside(sizes).astype(np.uint64) << np.uint64(32)))
+        keys = mixed(keys + np.add.reduceat(spread, begins[:-1]))
+    order = np.argsort(keys, kind="stable")
+    new = np.append(True, keys[order][1:] != keys[order][:-1])
+    likes = np.zeros(count, np.int64)
+    likes[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    for ids, begins in sides:
+        same = np.array_equal(np.diff(begins)[likes], np.diff(begins))
+        if not same or not np.array_equal(ids[_ranges(begins, likes)], ids):
+            return np.arange(count)  # a collision: every window for itself
+    return likes
+
+
+def _ranges(begins: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The places from ``begins`` of each chosen one up to the next."""
+    sizes = begins[chosen + 1] - begins[chosen]
+    return np.repeat(begins[chosen], sizes) + _inside(sizes)
+
 
 def packed(codes: np.ndarray, links: np.ndarray) -> bytes:
     """Ascending pair codes and their numbers of links, compressed."""
@@ -219,50 +339,65 @@ _ALIGNED = pa.struct(
 )
 
 
-def aligned_text(text: str | None, memo: _Memo) -> dict:
-    """One text's counts, the digest of its groups and its packed pairs."""
-    ids = memo.tok.encode(text)
-    if ids is None:
-        return {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "pairs": None}
-    first, second = ids
-    begins, other_begins = anchors(np.array(first), np.array(second), memo.tok)
-    digest, groups, links = hashlib.sha256(), 0, 0
-    windows: Counter = Counter()
-    begins, other_begins = begins.tolist(), other_begins.tolist()
-    shown: list[str] = []
-    for at in range(len(begins) - 1):
-        own = tuple(first[begins[at] : begins[at + 1]]), tuple(second[other_begins[at] : other_begins[at + 1]])
-        windows[own] += 1
-        shown.append(own)
-    texts: dict = {}
-    codes, weights = [], []
-    for own, times in windows.items():
-        text_of, n_groups, n_links, pairs, linked = memo(*own)
-        texts[own] = text_of
-        groups += n_groups * times
-        links += n_links * times
-        codes.append(pairs)
-        weights.append(linked * times if times > 1 else linked)
-    digest.update(";".join(map(texts.__getitem__, shown)).encode())
-    codes, weights = np.concatenate(codes), np.concatenate(weights)
-    order = np.argsort(codes, kind="stable")
-    codes = codes[order]
-    starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
-    return {
-        "n_a": len(first),
-        "n_b": len(second),
-        "n_groups": groups,
-        "n_links": links,
-        "groups_sha256": digest.hexdigest(),
-        "pairs": packed(codes[starts], np.add.reduceat(weights[order], starts)),
-    }
+_NOTHING = {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "pairs": None}
+
+
+def aligned_texts(texts: list[str | None], known: Windows) -> list[dict]:
+    """The texts' counts, the digests of their groups and their packed pairs."""
+    ids = [known.tok.encode(text) for text in texts]
+    present = [at for at, found in enumerate(ids) if found is not None]
+    rows = [_NOTHING] * len(texts)
+    if not present:
+        return rows
+    tokenised = Texts.of([ids[at] for at in present], known.tok)
+    cuts = anchors(tokenised, known.tok)
+    window = known.number(tokenised, cuts)
+    # Windows by text: no window crosses one.
+    edges = np.searchsorted(cuts, tokenised.texts)
+    text_of = np.repeat(np.arange(len(present)), np.diff(edges))
+    groups, links = np.add.reduceat(known.groups[window], edges[:-1]), np.add.reduceat(known.links[window], edges[:-1])
+    total = len(known.shown)
+    met, times = _summed(text_of * total + window, np.ones(len(window), np.int64))
+    owner, window_of = met // total, met % total
+    sizes = known.starts[window_of + 1] - known.starts[window_of]
+    place = np.repeat(known.starts[window_of], sizes) + _inside(sizes)
+    top = len(known.tok.first_sizes) * known.width
+    pairs, counts = _summed(np.repeat(owner, sizes) * top + known.codes[place], known.counts[place] * np.repeat(times, sizes))
+    bounds = np.searchsorted(pairs, np.arange(len(present) + 1) * top).tolist()
+    window, edges = window.tolist(), edges.tolist()
+    for at, row in enumerate(present):
+        shown = ";".join(map(known.shown.__getitem__, window[edges[at] : edges[at + 1]]))
+        own = slice(bounds[at], bounds[at + 1])
+        rows[row] = {
+            "n_a": len(ids[row][0]),
+            "n_b": len(ids[row][1]),
+            "n_groups": int(groups[at]),
+            "n_links": int(links[at]),
+            "groups_sha256": hashlib.sha256(shown.encode()).hexdigest(),
+            "pairs": packed(pairs[own] - at * top, counts[own]),
+        }
+    return rows
+
+
+def _parts(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in parts of bounded length; a longer one is a part of its own."""
+    part, held = [], 0
+    for text in texts:
+        size = len(text or "")
+        if part and held + size > _PART_CHARS:
+            yield part
+            part, held = [], 0
+        part.append(text)
+        held += size
+    if part:
+        yield part
 
 
 def _aligner(byte_bpe: str, piece_bpe: str):
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memo = _Memo(tokenizers(byte_bpe, piece_bpe))
+        known = Windows(tokenizers(byte_bpe, piece_bpe))
         for texts in batches:
-            yield pa.array([aligned_text(text, memo) for text in texts.to_pylist()], _ALIGNED)
+            yield pa.array([row for part in _parts(texts.to_pylist()) for row in aligned_texts(part, known)], _ALIGNED)
 
     read.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     kinds = "n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string,pairs:binary"

@@ -80,7 +80,10 @@ def _resolved(target: Column, url: Column) -> Column:
 
 
 def alias_links(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """``a, b``: the addresses that redirects and canonical links of the pages connect."""
+    """``a, b``: the addresses that redirects and canonical links of the pages connect.
+
+    A link from or to a URL without a host connects nothing.
+    """
     html, url = F.coalesce(col(html_column), F.lit("")), col(url_column)
     canonical = F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
     refresh = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
@@ -90,7 +93,12 @@ def alias_links(pages: DataFrame, url_column: str = "url", html_column: str = "h
     )
     found = pages.filter(url.contains("://")).select(url.alias("url"), F.explode(targets).alias("target"))
     found = found.filter("target != ''").withColumn("target", _resolved(F.col("target"), F.col("url")))
-    return found.select(url_address(F.col("url")).alias("a"), url_address(F.col("target")).alias("b"))
+    return _with_hosts(found.select(url_address(F.col("url")).alias("a"), url_address(F.col("target")).alias("b")))
+
+
+def _with_hosts(edges: DataFrame) -> DataFrame:
+    """Edges whose ends are addresses: those without a host are empty or begin with their path or query."""
+    return edges.filter(~F.col("a").rlike("^(?:$|[/?])") & ~F.col("b").rlike("^(?:$|[/?])"))
 
 
 def url_verdicts(
@@ -113,7 +121,8 @@ def url_verdicts(
     """
     edges = alias_links(pages, url_column, html_column)
     if links is not None:
-        edges = edges.union(links.select(url_address(F.col("a")), url_address(F.col("b"))))
+        given = links.select(url_address(F.col("a")).alias("a"), url_address(F.col("b")).alias("b"))
+        edges = edges.union(_with_hosts(given))
     edges = written(edges.filter("a != b").distinct(), "aliases")
     roots = components(edges)
     members = edges.select(F.col("a").alias("address")).union(edges.select("b")).distinct()

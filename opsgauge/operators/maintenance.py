@@ -252,8 +252,9 @@ def render_commands(planned: DataFrame, rebuild_options: str = REBUILD_OPTIONS)
     return planned.withColumn("sql_statement", command)
 
 
-# What a log event may say.
+# What an event may say.  The last two are not logged: a command was only printed, or there is none.
 STARTED, FINISHED, FAILED = "started", "finished", "failed"
+PRINTED, SKIPPED = "printed", "skipped"
 LOG_DETAILS = ("databaseName", "objectName", "indexName", "fragmentation", "page_count", "sql_statement")
 
 
@@ -261,7 +262,7 @@ def maintenance_state(log: DataFrame, keys: Sequence[str] = ("run_id", *UNIT)) -
     """Current state of every unit in an append-only log of events.
 
     The latest attempt counts: its duration is in whole seconds, -1 when it
-    failed and NULL while it runs.
+    failed and NULL while it runs.  A unit of which only unknown events are logged has no status.
     """
     happened = F.col("event_ts")
     # A tie in time is won by the end of the attempt.
@@ -281,7 +282,7 @@ def maintenance_state(log: DataFrame, keys: Sequence[str] = ("run_id", *UNIT)) -
     seconds = F.when(code == 2, F.lit(-1).cast("bigint")).otherwise(whole_seconds(F.col("dateTimeStart"), end))
     return state.join(errors, list(keys), "left").select(
         *keys,
-        F.when(code == 0, "RUNNING").when(code == 1, "DONE").otherwise("FAILED").alias("status"),
+        F.when(code == 0, "RUNNING").when(code == 1, "DONE").when(code == 2, "FAILED").alias("status"),
         "dateTimeStart",
         end.alias("dateTimeEnd"),
         seconds.alias("durationSeconds"),
@@ -308,6 +309,25 @@ def maintenance_summary(
     return ended.orderBy("dateTimeEnd", *keys)
 
 
+def unit_events(
+    units: DataFrame, run_id: str, event: str | Column, at: Column, error: Column | None = None
+) -> DataFrame:
+    """One event for each unit of a run, as a row of the log; what is known of a unit goes with its start."""
+    known = F.lit(event) == STARTED if isinstance(event, str) else event == STARTED
+    details = [
+        F.when(known, F.col(name)).alias(name) if name in units.columns else F.lit(None).alias(name)
+        for name in LOG_DETAILS
+    ]
+    return units.select(
+        F.lit(run_id).alias("run_id"),
+        *UNIT,
+        (F.lit(event) if isinstance(event, str) else event).alias("event"),
+        at.cast("timestamp_ntz").alias("event_ts"),
+        (F.lit(None) if error is None else error).cast("string").alias("error_message"),
+        *details,
+    )
+
+
 def to_retry(log: DataFrame, keys: Sequence[str] = UNIT) -> DataFrame:
     """Units whose latest attempt failed."""
     return maintenance_state(log, keys).where(F.col("status") == "FAILED").select(*keys, "errorMessage")

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from datetime import date
+from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsgauge.operators.maintenance import (
+    FAILED,
+    FINISHED,
+    PRINTED,
+    SKIPPED,
+    STARTED,
     MaintenanceSettings,
     apply_exclusion_mask,
     choose_action,
@@ -20,11 +25,15 @@ from opsgauge.operators.maintenance import (
     render_commands,
     resolve_names,
     scan_candidates,
+    unit_events,
     within_budget,
     work_order,
 )
 from opsgauge.operators import OBJECT, SCOPE, UNIT
 from opsgauge.operators.splitting import filter_by_list
+from opsgauge.session import working_path
+from opsgauge.sources.logs import append_log
+from opsgauge.sources.status import current_status, mark_units, store_scan
 
 
 def maintenance_plan(
@@ -77,16 +86,17 @@ def maintenance_run(
     database_names: Iterable[str] | None = None,
     table: str | None = None,
     print_only: bool = False,
+    rescanned: bool = False,
 ) -> DataFrame:
     """What one maintenance run would do: the units in work order with names and commands.
 
     A ``status`` of an earlier scan is used as long as it has units that are not done; otherwise, or
-    with ``force_rescan``, everything is scanned again.  ``database_names`` and ``table`` limit the run.  What
+    with ``force_rescan``, everything is scanned again, unless the status was just ``rescanned``.  ``database_names`` and ``table`` limit the run.  What
     rests on the day, is done, was printed (with ``print_only``), has no size in range or does not start
     within the time budget is left out; so is what can be neither reorganised nor rebuilt.
     """
     chosen = settings.validated()
-    if status is None or needs_rescan(status, bool(chosen.force_rescan)):
+    if status is None or not rescanned and needs_rescan(status, bool(chosen.force_rescan)):
         status = scan_status(physical, operational, partitions, exclusions, chosen)
     if database_names is not None:
         named = filter_by_list(databases, "name", ",".join(database_names)).select(*SCOPE)
@@ -125,3 +135,74 @@ def _queue(
     order = work_order(chosen.order_by, chosen.order)
     started = within_budget(timed, F.col("est_seconds"), chosen.minutes, order, chosen.pause_seconds)
     return started.withColumnRenamed("position", "priority")
+
+
+def stored_run(
+    spark: SparkSession,
+    path: str,
+    run_ts: datetime,
+    physical: DataFrame,
+    operational: DataFrame,
+    partitions: DataFrame,
+    columns: DataFrame,
+    indexes: DataFrame,
+    exclusions: DataFrame,
+    settings: MaintenanceSettings = MaintenanceSettings(),
+    print_only: bool = False,
+    **more,
+) -> DataFrame:
+    """The work of a run that goes on where the last one stopped, by the status kept at ``path``.
+
+    The fleet is scanned if it never was, if every unit is done or with ``force_rescan``.  Units that nothing can be
+    done about are marked as done first, so that they do not hold up the next scan.  The queue is stored: it stays as
+    it is while ``record_run`` marks its units.  ``more`` are the other arguments of ``maintenance_run``.
+    """
+    chosen = settings.validated()
+    status = current_status(spark, path)
+    if status is None or needs_rescan(status, bool(chosen.force_rescan)):
+        store_scan(scan_status(physical, operational, partitions, exclusions, chosen), path, run_ts)
+        status = current_status(spark, path)
+        decided = choose_action(status, partitions, columns, indexes, chosen.rebuild_threshold)
+        mark_units(unit_events(decided.where("action = 'SKIP'"), "", SKIPPED, _at(run_ts)), path)
+        status = current_status(spark, path)
+    queue = maintenance_run(
+        physical, operational, partitions, columns, indexes, exclusions,
+        as_of=run_ts.date(), settings=chosen, status=status, print_only=print_only, rescanned=True, **more,
+    )
+    stored = working_path(spark, "queue")
+    queue.write.parquet(stored)
+    return spark.read.schema(queue.schema).parquet(stored)
+
+
+def record_run(
+    queue: DataFrame,
+    path: str,
+    run_id: str,
+    run_ts: datetime,
+    log_path: str | None = None,
+    error: Column | None = None,
+    seconds: Column | None = None,
+    print_only: bool = False,
+) -> None:
+    """Mark the units of a run at ``path`` and log them at ``log_path``.
+
+    Without ``print_only`` each unit has a start and an end in the log: ``error`` says why its work failed (NULL if it did
+    not) and ``seconds`` how long it took.  Repeating the call with the same arguments changes nothing.
+    """
+    at = _at(run_ts)
+    if print_only:
+        mark_units(unit_events(queue, run_id, PRINTED, at), path)
+        return
+    error = F.lit(None).cast("string") if error is None else error
+    took = F.lit(0) if seconds is None else seconds
+    started = unit_events(queue, run_id, STARTED, at)
+    event = F.when(error.isNotNull(), FAILED).otherwise(FINISHED)
+    ended = unit_events(queue, run_id, event, at + F.make_dt_interval(secs=took.cast("decimal(18,6)")), error)
+    if log_path is not None:
+        append_log(started.unionByName(ended), log_path, "event_ts", run_id)
+    mark_units(ended, path)
+
+
+def _at(run_ts: datetime) -> Column:
+    return F.lit(run_ts.isoformat(sep=" ")).cast("timestamp_ntz")
+

@@ -14,7 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from opsgauge.operators.latency import TOKEN, latency_columns, stamped, write_streamed_history
+from opsgauge.operators.latency import (
+    TOKEN,
+    expected_subscriptions,
+    latency_columns,
+    same_subscription,
+    same_token,
+    stamped,
+    write_streamed_history,
+)
 from opsgauge.session import RECOMMENDED_CONF
 
 
@@ -51,22 +59,29 @@ def stream_session(spark: SparkSession, params: ProbeParams = ProbeParams()) ->
     return session
 
 
-def stream_latency(posts: DataFrame, receipts: DataFrame, params: ProbeParams = ProbeParams()) -> DataFrame:
+def stream_latency(
+    posts: DataFrame,
+    receipts: DataFrame,
+    params: ProbeParams = ProbeParams(),
+    subscriptions: DataFrame | None = None,
+) -> DataFrame:
     """Latencies of streamed tokens; unmatched ones come out with NULLs.
 
     Both sides have a watermark and the join a time bound, so a token leaves the
     state when its delay is over.  ``seen_ts`` of a receipt is its last known hop.  Run it in a
     ``stream_session``: there the watermark follows the side that is ahead, so tokens are reported
-    undelivered also when no receipts come any more.
+    undelivered also when no receipts come any more.  ``subscriptions``, a table, says which subscribers each
+    token is waited for from, as in ``token_latency``: each has a row of its own.
     """
     sent = posts.withWatermark("post_ts", params.lateness)
     seen = receipts.withColumnsRenamed({name: f"_seen_{name}" for name in TOKEN}).withWatermark("seen_ts", params.lateness)
-    same = " AND ".join(f"{name} = _seen_{name}" for name in TOKEN)
-    in_time = F.expr(
-        f"{same} AND seen_ts >= post_ts AND seen_ts <= post_ts + INTERVAL {params.replication_delay}"
-    )
-    joined = sent.join(seen, in_time, "leftOuter")
-    return joined.select(*TOKEN, "post_ts", *latency_columns())
+    conditions = [*same_token(), f"seen_ts >= post_ts AND seen_ts <= post_ts + INTERVAL {params.replication_delay}"]
+    if subscriptions is not None:
+        # A join of the stream with a table, before any state: one waiting row for each subscription.
+        sent = sent.join(expected_subscriptions(subscriptions), ["server", "publication"], "left")
+        conditions.append(same_subscription())
+    joined = sent.join(seen, F.expr(" AND ".join(conditions)), "leftOuter")
+    return joined.select(*TOKEN, "post_ts", *latency_columns(expected=subscriptions is not None))
 
 
 def run_probe(query: StreamingQuery, params: ProbeParams) -> None:

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from opsgauge.llm.mixing import balanced_rates, mixed, repeated, source_targets
+from opsgauge.llm.mixing import _largest_first, balanced_rates, mixed, repeated, source_targets
 from tests.llm import brute
 
 SCHEMA = "doc_id bigint, text string, source string, size int, high string, row int"
@@ -54,6 +54,27 @@ def test_taken_words_meet_the_targets(spark, seed):
     assert goal[large] - taken[large] < 0.01 * goal[large]
 
 
+@pytest.mark.parametrize("seed", [1, 6])
+def test_no_allowed_copy_fits_in_what_is_missing(spark, seed):
+    rows = sample(seed, 300) + [(2000 + at, "w " * 9, "few") for at in range(2)] + [(3000, "w " * 700, "few")]
+    found = mixed(docs_of(spark, rows)).collect()
+    taken, goal, least = defaultdict(int), {}, {}
+    for row in found:
+        taken[row.source] += row.copies * row.size
+        goal[row.source] = row.target
+        if row.size and row.copies < 3:
+            least[row.source] = min(least.get(row.source, row.size), row.size)
+    for source, target in goal.items():
+        assert taken[source] <= target + 1e-6
+        assert source not in least or target - taken[source] < least[source]
+
+
+def test_quotas_by_size():
+    pd = pytest.importorskip("pandas")
+    cells = pd.DataFrame({"source": ["a"] * 3, "size": [3, 50, 7], "n": [9, 1, 2], "missing": [80.5] * 3})
+    assert _largest_first(cells).values.tolist() == [["a", 50, 1], ["a", 7, 2], ["a", 3, 5]]
+
+
 def test_runs_agree_whatever_the_partitions(spark):
     docs = docs_of(spark, sample(4))
     runs = [sorted(map(str, mixed(docs.repartition(n)).collect())) for n in (1, 5)]

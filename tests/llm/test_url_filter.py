@@ -61,6 +61,22 @@ def test_blocks_reach_aliases_unless_one_is_allowed(spark):
     assert len({found[at][1] for at in (0, 1, 2, 8)}) == 1 and found[5][1] == found[6][1] != found[7][1]
 
 
+def test_addresses_without_a_host_connect_nothing(spark):
+    rows = [
+        ("http://b.com/de/1", page("http://")),
+        ("http://b.com/de/2", page("http:///x")),
+        (None, None),
+        ("no scheme", page("http://b.com/de/1")),
+        ("http://", page("http://b.com/de/1")),
+        ("http:///x", None),
+        ("http://?q", page(refresh="http://b.com/de/3")),
+    ]
+    links = spark.createDataFrame([(None, "http://b.com/de/1"), ("http://b.com/de/2", "x")], "a string, b string")
+    found = url_verdicts(pages_of(spark, rows), links=links).collect()
+    assert {row.id: row.verdict for row in found} == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "allow"}
+    assert all(row.n_aliases_blocked == 0 for row in found)
+
+
 def test_given_redirects_and_explicit_rules(spark):
     links = spark.createDataFrame([("http://x.net/", "http://y.com/de/"), (None, "http://q.net/")], "a string, b string")
     rows = [("http://x.net/", None), ("http://y.com/fr/", None), ("http://y.com/de/", None)]
