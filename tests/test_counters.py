@@ -46,7 +46,7 @@ def _plain(snapshots, since, until):
                 total[at] += row[2 + at] if reset else row[2 + at] - prior[2 + at]
             prior = row
         found[key] = (*total, begin, resets)
-    return sorted([(*key, *value) for key, value in found.items()])
+    return sorted([(*key, *value) for key, value in found.items()], key=repr)
 
 
 def test_random_snapshots(spark):
