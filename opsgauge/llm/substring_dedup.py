@@ -59,42 +59,18 @@ def _runs(hashes: np.ndarray, firsts: np.ndarray, length: int) -> tuple[np.ndarr
     return grams[place[start]], place[start], start, sizes, row[start]
 
 
-def _short_windows(length: int):
-    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            found, sizes = [], np.zeros(len(texts), np.int64)
-            for low, high, hashes, firsts in chunks(texts, EXACT):
-                grams, _, _, _, row = _runs(hashes, firsts, length)
-                found.append(grams)
-                sizes[low:high] = np.bincount(row, minlength=high - low)
-            values = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))
-
-    read.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(read, "array<bigint>")
+_RUN = "array<struct<short:bigint,run:bigint,start:int,count:int>>"
 
 
-_RUN = "array<struct<short:bigint,run:bigint,start:bigint,count:int>>"
+def _run_rows(length: int):
+    """From texts to their runs: short window, hash of all full windows, first one, number of them."""
 
-
-def _repeated_runs(length: int):
-    """From texts and their repeated short windows to the runs of full windows around these."""
-
-    def read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, wanted in batches:
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
             kept: list[tuple[np.ndarray, ...]] = []
             per_row = np.zeros(len(texts), np.int64)
-            cuts = wanted.offsets.to_numpy()
-            values = wanted.values.to_numpy(zero_copy_only=False).view(np.uint64)
             for low, high, hashes, firsts in chunks(texts, EXACT):
                 grams, _, start, sizes, row = _runs(hashes, firsts, length)
-                asked = np.zeros(len(grams), bool)
-                edges = np.searchsorted(row, np.arange(high - low + 1))
-                for at in range(high - low):
-                    own = slice(edges[at], edges[at + 1])
-                    asked[own] = np.isin(grams[own], values[cuts[low + at] : cuts[low + at + 1]])
-                grams, start, sizes, row = grams[asked], start[asked], sizes[asked], row[asked]
                 full = windows(hashes, length)
                 inside = _inside(sizes)
                 run = grams
@@ -109,14 +85,14 @@ def _repeated_runs(length: int):
                 [
                     pa.array(grams.view(np.int64)),
                     pa.array(run.view(np.int64)),
-                    pa.array(start.astype(np.int64)),
+                    pa.array(start.astype(np.int32)),
                     pa.array(sizes.astype(np.int32)),
                 ],
                 ["short", "run", "start", "count"],
             )
             yield pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32), rows)
 
-    read.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    read.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(read, _RUN)
 
 
@@ -204,13 +180,11 @@ def repeated_windows(
     keyed = docs.select(
         col(id_column).alias("id"), text_key(col(text_column), col(id_column)).alias("doc"), col(text_column).alias("body")
     )
-    # Level 1: one short window of each full one.
-    short = keyed.select("doc", F.explode(_short_windows(length)("body")).alias("short"))
-    twice = written(_repeated(short, "short"), "twice")
-    asked = short.join(twice.hint("merge"), "short", "left_semi").groupBy("doc")
-    near = keyed.join(asked.agg(F.collect_set("short").alias("wanted")).hint("merge"), "doc")
-    runs = near.select("doc", "id", F.explode(_repeated_runs(length)("body", "wanted")).alias("r"))
-    runs = written(runs.select("doc", "id", "r.*"), "runs")
+    # Level 1: one short window of each full one, with its run.  Texts are read for it but not shuffled.
+    listed = written(keyed.select("doc", "id", F.explode(_run_rows(length)("body")).alias("r")).select("doc", "id", "r.*"), "listed")
+    twice = written(_repeated(listed, "short"), "twice")
+    runs = listed.join(twice.hint("merge"), "short", "left_semi")
+    runs = written(runs.withColumn("start", F.col("start").cast("bigint")), "runs")
 
     place = F.struct(F.col("id").isNull().alias("noid"), "id", "doc", "start")
     # Runs that are equal as a whole: all but the first are repeats.
