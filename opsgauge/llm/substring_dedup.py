@@ -243,19 +243,21 @@ def remove_repeats(
     cuts = written(
         repeats.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("cuts")), "cuts"
     ).select("doc", F.col("cuts.start").alias("starts"), F.col("cuts.count").alias("counts"))
-    keyed = docs.select(
-        text_key(col(text_column), col(id_column)).alias("doc"),
-        F.struct(*[col(name) for name in names]).alias("row"),
-        col(text_column).alias("body"),
-    )
+    # Plain columns, so that those nobody asks for, and a second copy of the text, are not shuffled.
+    columns = {name: f"c{at}" for at, name in enumerate(names)}
+    carried = [col(name).alias(short) for name, short in columns.items()]
+    body = columns.get(text_column, "body")
+    if text_column not in columns:
+        carried.append(col(text_column).alias(body))
+    keyed = docs.select(text_key(col(text_column), col(id_column)).alias("doc"), *carried)
     none = F.array().cast("array<bigint>")
     # By shuffle whatever the number of touched documents: the plan is the same at every size.
     joined = keyed.join(cuts.hint("merge"), "doc", "left").withColumns(
         {"starts": F.coalesce("starts", none), "counts": F.coalesce("counts", none)}
     )
-    out = joined.select("row", _cutter(length)("body", "starts", "counts").alias("cut"))
+    out = joined.select(*columns.values(), _cutter(length)(body, "starts", "counts").alias("cut"))
     return out.select(
-        *[F.col("row")[name].alias(name) for name in names],
+        *[F.col(short).alias(name) for name, short in columns.items()],
         "cut.n_words",
         "cut.n_removed",
         F.col("cut.kept").cast("string").alias("kept_text"),
