@@ -109,6 +109,10 @@ ORACLE["profile_lineitem"] = _profile(
     },
 )
 
+# Merged from the states of parts, both are those of the whole table.
+ORACLE["profile_merged"] = ORACLE["profile_lineitem"]
+ORACLE["wasted_space_merged"] = ORACLE["wasted_space_lineitem"]
+
 ORACLE["split_documents"] = """
 SELECT doc_id, CAST(generate_subscripts(parts, 1) AS INTEGER) AS pos, unnest(parts) AS stringValue
 FROM (SELECT doc_id, list_filter(string_split(trim(text), ','), lambda x: length(trim(x)) > 0) AS parts

@@ -16,6 +16,7 @@ from opsgauge.operators.advice import plan_suggestions, suggested_indexes
 from opsgauge.operators.compaction import compact
 from opsgauge.operators.counters import usage_between
 from opsgauge.operators.export import export_delimited, render_inserts, sanitize_for_export
+from opsgauge.operators.profile_store import merged_profile, merged_wasted_space, stored_states, update_profile
 from opsgauge.operators.profiling import profile_columns, wasted_space, wasted_space_all
 from opsgauge.operators.splitting import filter_by_list, split_rows
 from opsgauge.operators.translation import generate_ddl, translate_types
@@ -96,6 +97,26 @@ def profile_lineitem(spark, sf):
     return profile_columns(table(spark, sf, "lineitem"))
 
 
+def _grown_profile(spark, sf):
+    """States of a table that is profiled, grows by its later years and is profiled again."""
+    data, states = working_path(spark, "by-year"), working_path(spark, "profile-states")
+    rows = table(spark, sf, "lineitem").withColumn("ship_year", F.year("l_shipdate"))
+    for added in ("ship_year < 1996", "ship_year >= 1996 OR ship_year IS NULL"):
+        rows.where(added).write.mode("append").partitionBy("ship_year").parquet(data)
+        update_profile(spark.read.parquet(data), states, "ship_year", declared_lengths=LINEITEM_WIDTHS)
+    return stored_states(spark, states)
+
+
+@query("profile_merged")
+def profile_merged(spark, sf):
+    return merged_profile(_grown_profile(spark, sf))
+
+
+@query("wasted_space_merged")
+def wasted_space_merged(spark, sf):
+    return merged_wasted_space(_grown_profile(spark, sf))
+
+
 # Splitting and list filters
 
 

@@ -38,7 +38,7 @@ def wasted_space(
     count in the total.
     """
     profile = _profile(df, profilable_columns(df.schema, cols, declared_lengths))
-    return _with_totals(_reductions(profile, percent_growth, compat), ["columnName"], unit)
+    return with_totals(reductions(profile, percent_growth, compat), ["columnName"], unit)
 
 
 def wasted_space_all(
@@ -56,8 +56,8 @@ def wasted_space_all(
             profiles.append(_profile(df, fields).selectExpr(f"{literal(name)} AS tableName", "*"))
     if not profiles:
         raise ValueError("no table has an integer or character column")
-    sized = _reductions(_union(profiles), percent_growth, compat)
-    return _with_totals(sized, ["tableName", "columnName"], unit)
+    sized = reductions(_union(profiles), percent_growth, compat)
+    return with_totals(sized, ["tableName", "columnName"], unit)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -96,7 +96,8 @@ def _profile(df: DataFrame, fields: list[SizedColumn]) -> DataFrame:
     return df.selectExpr(*measures).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def _reductions(profile: DataFrame, percent_growth: int, compat: bool) -> DataFrame:
+def reductions(profile: DataFrame, percent_growth: int, compat: bool) -> DataFrame:
+    """Declared minus required bytes of profiled columns."""
     needed = required_bytes(
         F.col("kind") != "string",
         F.col("max"),
@@ -108,7 +109,8 @@ def _reductions(profile: DataFrame, percent_growth: int, compat: bool) -> DataFr
     return profile.withColumnRenamed("column", "columnName").withColumn("byteReduction", F.col("declared") - needed)
 
 
-def _with_totals(sized: DataFrame, levels: list[str], unit: str) -> DataFrame:
+def with_totals(sized: DataFrame, levels: list[str], unit: str) -> DataFrame:
+    """Reductions by column with the space they free, and totals."""
     if unit not in UNIT_BYTES:
         raise ValueError(f"unit must be one of {', '.join(UNIT_BYTES)}")
     detail = F.grouping_id() == 0
