@@ -216,15 +216,23 @@ def _roots(
     roots, apart = _star_rounds(members, roots, sets, percent)
     if apart is None:
         return roots
-    light = apart.filter("pairs <= size * " + str(LIGHT_PAIRS)).select("bucket", "node", "root")
-    other = light.select("bucket", F.col("node").alias("node2"), F.col("root").alias("root2"))
-    pairs = light.join(other, "bucket").filter("root < root2")
+    pairs = _light_pairs(apart.filter("pairs <= size * " + str(LIGHT_PAIRS)))
     pairs = pairs.select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct()
     found = _confirmed(pairs, sets, percent)
     found = found.union(_block_links(apart.filter("pairs > size * " + str(LIGHT_PAIRS)), sets, percent))
     return _joined_roots(roots, written(found, "confirmed"))
 
 
+def _light_pairs(light: DataFrame) -> DataFrame:
+    """``node, node2, root, root2``: members of a bucket with different roots.
+
+    Members outside the bucket's largest root meet all others, so those already joined in it never meet each other.
+    """
+    outside = light.filter("root != top").select("bucket", "node", "root", "top")
+    other = light.select("bucket", F.col("node").alias("node2"), F.col("root").alias("root2"))
+    return outside.join(other, "bucket").filter("root2 = top or root < root2").select("node", "node2", "root", "root2")
+
+
 def _block_links(heavy: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that join what is apart in buckets with many pairs: every two blocks of members are compared in a task.
 
@@ -312,7 +320,7 @@ def _star_rounds(
         if not in_apart:
             return roots, None
         if pairs <= BLOCK_PAIRS * rows or (before is not None and pairs > 0.8 * before):
-            rest = placed.join(apart.select("bucket", "size", "pairs"), "bucket")
+            rest = placed.join(apart.select("bucket", "size", "pairs", F.get("stars", F.lit(0))["root"].alias("top")), "bucket")
             return roots, written(rest, "rest", rows)
         star = placed.join(apart.select("bucket", "stars"), "bucket")
         star = star.select("node", "root", F.explode("stars").alias("star")).filter("root != star.root")

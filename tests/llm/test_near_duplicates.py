@@ -57,6 +57,16 @@ def test_chain_of_edits_in_blocks(spark, monkeypatch):
     assert {row.id: (row.n_shingles, row.component_id) for row in found} == expected
 
 
+def test_joined_copies_of_a_light_bucket_form_no_pairs(spark):
+    # A hundred copies joined under node 1, two that are apart from them.
+    joined = spark.range(1, 101).selectExpr("7L bucket", "id node", "1L root", "1L top")
+    others = spark.range(200, 202).selectExpr("7L bucket", "id node", "id root", "1L top")
+    pairs = nd._light_pairs(joined.union(others)).collect()
+    assert len(pairs) == 2 * 100 + 1
+    assert len({frozenset((row.node, row.node2)) for row in pairs}) == len(pairs)
+    assert all(row.root != row.root2 for row in pairs)
+
+
 def test_rounds_and_pairs_agree(spark, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK_PAIRS", 0)
     rows = some_texts(3)
