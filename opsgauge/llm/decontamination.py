@@ -123,12 +123,20 @@ def scan(text: bytes | None, numbers: dict[bytes, int], machine, before: dict |
     }
 
 
-def _scanner(name: str, windows):
+def _kept_automaton(query: str, block: int, windows) -> tuple:
+    """The automaton of a block, made once in a worker, which keeps those of one query only."""
+    cache = worker_cache()
+    if cache.get("windows", ("", {}))[0] != query:
+        cache["windows"] = (query, {})
+    blocks = cache["windows"][1]
+    if block not in blocks:
+        blocks[block] = automaton(windows.value)
+    return blocks[block]
+
+
+def _scanner(query: str, block: int, windows):
     def read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        cache = worker_cache()
-        if name not in cache:
-            cache[name] = automaton(windows.value)
-        numbers, machine = cache[name]
+        numbers, machine = _kept_automaton(query, block, windows)
         for texts, before in batches:
             raw = texts.cast(pa.binary()).to_pylist()
             yield pa.array(
@@ -178,9 +186,10 @@ def contamination(
     context = docs.sparkSession.sparkContext
     [hits] = fresh(docs.columns, "hits")
     out = docs.withColumn(hits, F.lit(None).cast(_HITS))
-    for block in _blocks(benchmark, item_column, item_text_column, block_bytes):
+    query = uuid.uuid4().hex
+    for number, block in enumerate(_blocks(benchmark, item_column, item_text_column, block_bytes)):
         sent = context.broadcast(sorted(windows_of(block, window).items()))
-        scanner = _scanner(f"windows-{uuid.uuid4().hex}", sent)
+        scanner = _scanner(query, number, sent)
         out = out.withColumn(hits, scanner(col(text_column), col(hits)))
     h = col(hits)
     spans = F.arrays_zip(h["starts"].alias("start"), h["ends"].alias("end"))

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from opsgauge.llm import decontamination as dc
 from opsgauge.llm.decontamination import contamination, without_contaminated
 from tests.llm import brute
 
@@ -72,3 +73,15 @@ def test_very_long_text_and_repeated_rows(spark):
     assert {(s.start, s.end) for row in found if row.doc_id for s in row.contamination.spans} == {
         (800_000, 800_000 + len(question))
     }
+
+
+def test_a_worker_keeps_the_automata_of_one_query():
+    class Sent:
+        value = sorted(dc.windows_of([("a", "one two three")], 10).items())
+
+    first = dc._kept_automaton("x", 0, Sent)
+    assert dc._kept_automaton("x", 0, Sent) is first
+    dc._kept_automaton("x", 1, Sent)
+    dc._kept_automaton("y", 0, Sent)
+    query, blocks = dc.worker_cache()["windows"]
+    assert (query, list(blocks)) == ("y", [0])
