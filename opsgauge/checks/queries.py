@@ -30,6 +30,7 @@ from opsgauge.sources.logs import COMPACTION_LOG, MAINTENANCE_LOG, append_log, r
 from opsgauge.sources.status import current_status
 from opsgauge.streaming.latency import ProbeParams, run_probe, stream_latency, stream_session
 from opsgauge.streaming.numbering import numbered_latency
+from opsgauge.streaming.replay import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,6 +46,7 @@ TABLE_WIDTHS = {
 }
 SUPPLIER_LIST = " Supplier#000000003,,Supplier#000000007 ,Supplier#000000042,nobody,Supplier#000000003"
 SUNDAY = date(2024, 1, 7)
+POSTS_PER_BATCH = 500_000
 HISTORY_RUN = datetime(2024, 2, 1, 12, 0)
 PURGE_CUTOFF = datetime(2024, 1, 15, 12, 0)
 HOUR_CUTOFF = datetime(2024, 1, 15, 12, 37, 20)
@@ -712,20 +714,22 @@ def _streamed(spark, sf, receipts_name, transform, end_after="1 HOUR", subscript
     """
     source, out, checkpoint = (working_path(spark, name) for name in ("stream-in", "stream-out", "stream-state"))
     params = ProbeParams(bounded=True)
-    session, streams = stream_session(spark, params), {}
+    session = stream_session(spark, params)
     posts, receipts = adapter(spark, sf, "posts"), adapter(spark, sf, receipts_name)
     end = posts.agg((F.max("post_ts") + F.expr(f"INTERVAL {end_after}")).alias("post_ts"))
     end = end.select(F.lit("").alias("server"), F.lit("").alias("publication"), F.lit(-1).cast("bigint").alias("tracer_id"), "post_ts")
     inputs = {
-        "posts": posts.unionByName(end),
-        "receipts": receipts.withColumn("seen_ts", F.coalesce("subscriber_ts", "distributor_ts")),
+        "posts": (posts.unionByName(end), "post_ts"),
+        "receipts": (receipts.withColumn("seen_ts", F.coalesce("subscriber_ts", "distributor_ts")), "seen_ts"),
     }
-    for name, rows in inputs.items():
-        timed = rows.withColumns(
-            {f.name: F.col(f.name).cast("timestamp") for f in rows.schema.fields if f.name.endswith("_ts")}
+    timed = {
+        name: (
+            rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in rows.schema.fields if f.name.endswith("_ts")}),
+            at,
         )
-        timed.write.parquet(f"{source}/{name}")
-        streams[name] = session.readStream.schema(timed.schema).parquet(f"{source}/{name}")
+        for name, (rows, at) in inputs.items()
+    }
+    streams = replay(session, timed, source, POSTS_PER_BATCH)
     if subscriptions is not None:
         subscriptions.write.parquet(f"{source}/subscriptions")
         subscriptions = session.read.parquet(f"{source}/subscriptions")

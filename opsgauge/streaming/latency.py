@@ -18,7 +18,6 @@ from opsgauge.operators.latency import (
     TOKEN,
     expected_subscriptions,
     latency_columns,
-    same_subscription,
     same_token,
     stamped,
     write_streamed_history,
@@ -54,6 +53,10 @@ def stream_session(spark: SparkSession, params: ProbeParams = ProbeParams()) ->
     session.conf.set("spark.sql.shuffle.partitions", partitions)
     for key in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.session.timeZone"):
         session.conf.set(key, RECOMMENDED_CONF[key])
+    # Counting the rows of the state costs a lookup for each one that is written.
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
+    # A batch stores its changes; whole copies of the state follow in the background.
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     # When a subscriber dies its receipts stop: time goes on with the posts.
     session.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "max")
     return session
@@ -77,13 +80,36 @@ def stream_latency(
     seen = receipts.withColumnsRenamed({name: f"_seen_{name}" for name in TOKEN}).withWatermark("seen_ts", params.lateness)
     conditions = [*same_token(), f"seen_ts >= post_ts AND seen_ts <= post_ts + INTERVAL {params.replication_delay}"]
     if subscriptions is not None:
-        # A join of the stream with a table, before any state: one waiting row for each subscription.
-        sent = sent.join(expected_subscriptions(subscriptions), ["server", "publication"], "left")
-        conditions.append(same_subscription())
+        sent, seen = _by_subscription(sent, seen, expected_subscriptions(subscriptions))
+        conditions += ["_for = _seen_for", "_for_db = _seen_for_db"]
     joined = sent.join(seen, F.expr(" AND ".join(conditions)), "leftOuter")
     return joined.select(*TOKEN, "post_ts", *latency_columns(expected=subscriptions is not None))
 
 
+def _by_subscription(sent: DataFrame, seen: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the subscription as part of their key, so that a row meets only those of its own subscriber.
+
+    The streams are joined with tables before any state.  A token has one waiting row for each subscription; where
+    none is listed its key is empty, and so is that of the publication's receipts.
+    """
+    named = F.col("_subscriber").isNotNull()
+    waiting = sent.join(expected, ["server", "publication"], "left").withColumns(
+        {
+            "_for": F.when(named, F.concat(F.lit("="), "_subscriber")).otherwise(F.lit("")),
+            "_for_db": F.when(named, F.col("_subscriber_db")).otherwise(F.lit("")),
+        }
+    )
+    # A publication listed with and without a subscriber has both kinds of keys.
+    kinds = expected.select(F.col("server").alias("_seen_server"), F.col("publication").alias("_seen_publication"), named.alias("_named"))
+    keyed = seen.join(kinds.distinct(), ["_seen_server", "_seen_publication"], "left").withColumns(
+        {
+            "_seen_for": F.when(F.col("_named"), F.concat(F.lit("="), "subscriber")).otherwise(F.lit("")),
+            "_seen_for_db": F.when(F.col("_named"), F.coalesce("subscriber_db", F.lit(""))).otherwise(F.lit("")),
+        }
+    )
+    return waiting, keyed.drop("_named")
+
+
 def run_probe(query: StreamingQuery, params: ProbeParams) -> None:
     """Let a query run for its rounds, or to its end if bounded, and stop it."""
     if params.bounded:

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,6 +21,8 @@ _WAITING = (
 )
 _NUMBERED = "server string, publication string, iteration bigint, " + _WAITING
 _NAMES = [field.split()[0] for field in _WAITING.split(", ")]
+# Rows of one publication that leave the state together.
+_ROWS_AT_ONCE = 100_000
 
 
 def _ripe_at(post_us: int) -> int:
@@ -26,43 +30,66 @@ def _ripe_at(post_us: int) -> int:
     return -(-post_us // 1000)
 
 
+def _packed(rows: pd.DataFrame) -> tuple[int, int, bytes]:
+    """Waiting rows as one value of the state, with their first and last time."""
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_table(table)
+    return int(rows["post_us"].min()), int(rows["post_us"].max()), sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(packed).read_pandas()
+
+
 class _Numbering(StatefulProcessor):
     """State of one publication: the number of its last token and the rows that wait for theirs.
 
-    Waiting rows are bounded by what is posted during the lateness of the stream.
+    Waiting rows are bounded by what is posted during the lateness of the stream and what one batch brings.  They are
+    kept and numbered many at a time, as columns.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._last = handle.getValueState("last", "iteration bigint")
-        self._waiting = handle.getListState("waiting", _WAITING)
+        self._waiting = handle.getListState("waiting", "first_us bigint, last_us bigint, packed binary")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        fresh = [tuple(row[name] for name in _NAMES) for row in rows]
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = [_packed(part[_NAMES]) for part in rows if len(part)]
         if fresh:
             self._waiting.appendList(fresh)
-            self._handle.registerTimer(_ripe_at(min(row[1] for row in fresh)))
+            self._handle.registerTimer(_ripe_at(min(first for first, _, _ in fresh)))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        rows = [tuple(row) for row in self._waiting.get()]
-        ripe = [row for row in rows if _ripe_at(row[1]) <= watermark]
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() * 1000  # what is posted up to here is ripe
+        ripe, rest = [], []
+        for first, last, packed in self._waiting.get():
+            if first > until:
+                rest.append((first, last, packed))
+                continue
+            rows = _unpacked(packed)
+            if last > until:
+                rest.append(_packed(rows[rows["post_us"] > until]))
+                rows = rows[rows["post_us"] <= until]
+            ripe.append(rows)
         if not ripe:
             return
-        rest = [row for row in rows if _ripe_at(row[1]) > watermark]
         if rest:
             self._waiting.put(rest)
-            self._handle.registerTimer(_ripe_at(min(row[1] for row in rest)))
+            self._handle.registerTimer(_ripe_at(min(first for first, _, _ in rest)))
         else:
             self._waiting.clear()
+        rows = pd.concat(ripe, ignore_index=True).sort_values(["post_us", "tracer_id"], ignore_index=True)
+        token = rows[["post_us", "tracer_id"]]
         number = self._last.get()[0] if self._last.exists() else 0
-        token = None
-        for row in sorted(ripe, key=lambda row: (row[1], row[0], row[3] or "", row[4] or "")):
-            if row[1::-1] != token:
-                token, number = row[1::-1], number + 1
-            yield Row(server=key[0], publication=key[1], iteration=number, **dict(zip(_NAMES, row, strict=True)))
-        self._last.update((number,))
+        rows.insert(0, "iteration", number + (token != token.shift()).any(axis=1).cumsum())
+        rows.insert(0, "publication", key[1])
+        rows.insert(0, "server", key[0])
+        for start in range(0, len(rows), _ROWS_AT_ONCE):
+            yield rows.iloc[start : start + _ROWS_AT_ONCE]
+        self._last.update((int(rows["iteration"].iloc[-1]),))
 
     def close(self) -> None:
         pass
@@ -76,7 +103,7 @@ def numbered_latency(latencies: DataFrame) -> DataFrame:
     state store (``stream_session`` sets it).
     """
     timed = latencies.withColumn("post_us", F.unix_micros("post_ts"))
-    numbered = timed.groupBy("server", "publication").transformWithState(
+    numbered = timed.groupBy("server", "publication").transformWithStateInPandas(
         statefulProcessor=_Numbering(), outputStructType=_NUMBERED, outputMode="Append", timeMode="EventTime"
     )
     return numbered.withColumn("post_ts", F.timestamp_micros("post_us")).drop("post_us")
