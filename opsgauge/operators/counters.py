@@ -58,16 +58,22 @@ def usage_between(
     within = snapshots.where((at > start) & (at <= end)).withColumn("bucket", F.window(at, bucket)["start"].cast("timestamp"))
     order = Window.partitionBy(*keys, "bucket").orderBy("snapshot_ts")
     grown = _increments(within, order, counters, {name: name for name in counters}, "stats_since", "stats_since")
-    pieces = grown.groupBy(*keys, "bucket").agg(
+    # The last row of a bucket has its totals: the rows are sorted already, so no task holds a table of all buckets.
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pieces = grown.select(
+        *keys,
+        "bucket",
         F.lit(False).alias("base"),
-        F.min(at).alias("first_ts"),
-        F.min_by(epoch, at).alias("first_epoch"),
-        F.max_by(epoch, at).alias("last_epoch"),
-        *[F.min_by(name, at).alias(f"first_{name}") for name in counters],
-        *[F.max_by(name, at).alias(f"last_{name}") for name in counters],
-        *[F.sum(F.coalesce(f"grown_{name}", F.lit(0))).cast("bigint").alias(f"more_{name}") for name in counters],
-        F.count_if("reset").alias("resets"),
+        F.first(at).over(so_far).alias("first_ts"),
+        F.first(epoch).over(so_far).alias("first_epoch"),
+        epoch.alias("last_epoch"),
+        *[F.first(name).over(so_far).alias(f"first_{name}") for name in counters],
+        *[F.col(name).alias(f"last_{name}") for name in counters],
+        *[F.sum(F.coalesce(f"grown_{name}", F.lit(0))).over(so_far).cast("bigint").alias(f"more_{name}") for name in counters],
+        F.sum(F.col("reset").cast("bigint")).over(so_far).alias("resets"),
+        F.lead(F.lit(True)).over(order).isNull().alias("_ends"),
     )
+    pieces = pieces.where("_ends").drop("_ends")
 
     joined = pieces.unionByName(baseline)
     order = Window.partitionBy(*keys).orderBy(F.desc("base"), F.asc("bucket"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import datetime, timedelta
 
 from opsgauge.operators.counters import usage_between
@@ -86,3 +87,8 @@ def test_a_short_history_says_where_it_begins(spark):
 def test_a_key_is_sorted_in_buckets_only(spark):
     plan = executed(_usage(spark, [("a", 1, _day(1), _day(0), 5, 5)], _day(0), _day(20)))
     assert "Python" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_no_task_holds_a_table_of_buckets(spark):
+    plan = executed(_usage(spark, [("a", 1, _day(1), _day(0), 5, 5), ("a", 1, _day(2), _day(0), 6, 6)], _day(0), _day(20)))
+    assert "bucket" in plan and not re.search(r"Aggregate\(keys=\[[^\]]*bucket", plan)
