@@ -320,3 +320,22 @@ def test_a_run_honours_its_settings(spark, sf):
     assert maintenance_run(**inputs, as_of=day, status=done).count() == len(everything)
     forced = m.MaintenanceSettings(force_rescan=True)
     assert maintenance_run(**inputs, as_of=day, status=one, settings=forced).count() == len(everything)
+
+
+def test_a_cycle_reads_snapshots_that_are_derived_once(spark, sf, monkeypatch):
+    """Four runs read each snapshot several times; none of them goes back to the large tables."""
+    from opsgauge.checks import queries
+
+    class Seen(Exception):
+        pass
+
+    def first_run(spark, path, run_ts, settings, print_only, **inputs):
+        files = {name: rows.inputFiles() for name, rows in inputs.items()}
+        raise Seen(files)
+
+    monkeypatch.setattr(queries, "stored_run", first_run)
+    with pytest.raises(Seen) as found:
+        queries.QUERIES["maintenance_cycle"](spark, sf)
+    files = found.value.args[0]
+    assert {"physical", "partitions", "columns", "indexes", "estimates"} <= set(files)
+    assert all("/snapshot-" in file for names in files.values() for file in names) and all(files.values())
